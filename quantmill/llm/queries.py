@@ -15,12 +15,36 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digest, format_chats, with_probe
+
+    return digest(format_chats(with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_reputation import filter_urls, outcomes_of_labels
+
+    return filter_urls(_table(spark, sf_dir, "pages"), outcomes_of_labels(_table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +53,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op7_decontaminate, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
+
+
+def _oracle_sql() -> dict[str, str]:
+    from . import chat_format, url_reputation
+
+    return {"op5_chat_format": chat_format.SQL, "op9_url_reputation": url_reputation.SQL}
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracle_sql()
