@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -53,7 +59,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
 
 
 def _oracle_sql() -> dict[str, str]:
