@@ -15,6 +15,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_tree import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", "p_high", "p_low", "p_toxic", "rate", "copies")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -59,7 +72,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
 
 
 def _oracle_sql() -> dict[str, str]:
