@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import Query
 
-MODULES = ("labeling", "features", "sampling", "backtests")
+MODULES = ("labeling", "features", "sampling", "backtests", "allocations", "models")
 
 
 def collected() -> tuple[dict[str, Query], dict[str, str]]:
