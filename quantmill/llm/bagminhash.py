@@ -10,11 +10,13 @@ probability that is exactly their weighted Jaccard similarity. A process stops a
 first time later than all registers of its document, so most shingles draw one number.
 
 Documents with equal multisets form a class first, and one representative of each goes
-on. Banding proposes buckets; within a bucket nothing is paired at random: each round
-compares all members with one leader (linear in the bucket), verifies the multiset
-overlap exactly, joins components, and retires the leader. As soon as the pairs of
-different components left in all buckets are few, they are all verified. So every pair
-that shares a band is either verified or already in one group.
+on. Banding proposes buckets; within a bucket pairs are never emitted. First all members are
+compared with one leader (linear in the bucket), the multiset overlap verified exactly, and
+components joined. What can still be missing are links between different components of a
+bucket: the members outside its largest component are compared with all members, in blocks
+of bounded size whose overlaps are one matrix product, and each block returns no more links
+than it joins components. So every pair that shares a band is either verified or already in
+one group; work beyond the linear part grows with the members that stay apart.
 
 Documents without words (null, empty, punctuation only) are alone in their group. A null
 doc_id has a null group and is kept. Rows sharing a doc_id are one document: their groups
@@ -37,8 +39,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares a band with probability 0.99997
 #: Rows of ids up to which a side is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Pairs left over that are verified at once, besides one for each bucket member.
-PAIRS_AT_ONCE = 100_000
+#: Members on each side of a block that is compared at once, and elements of one product.
+BLOCK, COLUMNS = 512, 4096
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -161,6 +163,57 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return both.select("a", "b", shared.alias("s"), (F.size("ea") + F.size("eb")).alias("n")).where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b")
 
 
+def _apart(members: DataFrame, comp: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components of a bucket; members holds key and id."""
+    placed = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("h"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("h").alias("h"), F.count("*").alias("k")).where("k > 1")
+    # buckets with the same members need one comparison
+    sizes = sizes.groupBy("n", "most", "main", "h", "k").agg(F.min("key").alias("key"))
+    parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("key", "main", parts(F.col("n") - F.col("most")).alias("na"), parts(F.col("n")).alias("nb"))
+    rows = written(placed.join(sizes, "key").join(elements.withColumnRenamed("doc_id", "id"), "id"), "apart")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("comp != main").withColumn("ta", at("na")).withColumn("tb", every("nb")).select("key", "ta", "tb", "id", "comp", "e")
+    right = rows.withColumn("tb", at("nb")).withColumn("ta", every("na")).select("key", "ta", "tb", "id", "comp", "e")
+
+    def compare(_key, a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            ids = [np.asarray(x.column("id").combine_chunks()) for x in (a, b)]
+            comps = [np.asarray(x.column("comp").combine_chunks()) for x in (a, b)]
+            lists = [x.column("e").combine_chunks() for x in (a, b)]
+            sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
+            known, place = np.unique(np.concatenate([np.asarray(x.flatten()) for x in lists]), return_inverse=True)
+            row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))
+            overlap = np.zeros((len(a), len(b)))
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            for lo in range(0, len(known), COLUMNS):
+                cut = slice(*np.searchsorted(place, [lo, lo + COLUMNS]))
+                x = np.zeros((len(a) + len(b), min(COLUMNS, len(known) - lo)), np.float32)
+                x[row[cut], place[cut] - lo] = 1
+                overlap += x[: len(a)] @ x[len(a) :].T
+            total = sizes[0][:, None] + sizes[1][None, :]
+            near = (overlap >= similarity * (total - overlap) - 1e-9) & (comps[0][:, None] != comps[1][None, :])
+            parent: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    c = parent[c]
+                return c
+
+            for i, j in zip(*np.nonzero(near), strict=True):
+                x, y = find(int(comps[0][i])), find(int(comps[1][j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(ids[0][i]), int(ids[1][j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return left.groupBy("key", "ta", "tb").cogroup(right.groupBy("key", "ta", "tb")).applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, group_id (least doc_id of its group), is_kept (it is that one)."""
     rows = documents.select("doc_id", text_bytes().alias("t"))
@@ -172,7 +225,6 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     banded = first.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
     shared_keys = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = written(banded.join(shared_keys, "key").select("key", "id", "lead"), "members")
-    n_members = members.count()
 
     # an id that stands in several classes (rows sharing a doc_id) joins them
     links = named.select(F.col("doc_id").alias("a"), "b1", "b2").distinct().join(classes, ["b1", "b2"]).select("a", F.col("rep").alias("b")).where("a != b")
@@ -180,31 +232,15 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     links = written(links, "links")
 
     comp = None
-    if n_members:
+    if members.limit(1).count():
         ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
         chosen = rows.join(small(ids, ids.count()), "doc_id", "left_semi")
         elements = written(chosen.mapInArrow(_elements, "doc_id bigint, e array<bigint>"), "elements")
         pairs = members.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-        left = members.where("id != lead").select("key", "id")
-        while True:
-            links = written(links.unionAll(_verified(pairs, elements, similarity)), "links")
-            comp = components(links)
-            placed = left.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max("comp").alias("top")).where("q < n * n")
-            open_ = written(placed.join(sizes, "key"), "open")
-            todo = open_.select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).distinct().agg(F.sum("p"), F.count("*")).first()
-            if not todo[1]:
-                break
-            if todo[0] <= PAIRS_AT_ONCE + n_members:
-                x, y = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-                pairs = x.join(y, "key").where("a > b and ca != cb").select("a", "b").distinct()
-                links = written(links.unionAll(_verified(written(pairs, "pairs"), elements, similarity)), "links")
-                comp = components(links)
-                break
-            leads = open_.where("comp = top").groupBy("key").agg(F.min("id").alias("lead"))
-            led = written(open_.select("key", "id", "comp", "top").join(leads, "key"), "led")
-            pairs = led.where("comp != top").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-            left = led.where("id != lead").select("key", "id")
+        links = written(links.unionAll(_verified(pairs, elements, similarity)), "links")
+        rest = _apart(members.where("id != lead").select("key", "id"), components(links), elements, similarity)
+        links = written(links.unionAll(rest), "links")
+        comp = components(links)
     elif links.limit(1).count():
         comp = components(links)
 
