@@ -139,7 +139,7 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROW
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInArrow(gather, f"doc_id {kind}, y int, b array<int>, d binary").collect(), key=lambda r: (r["doc_id"], bytes(r["d"])))
-    return fit([np.array(r["b"], np.int64) for r in got], np.array([np.frombuffer(bytes(r["d"])) for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], np.int64))
+    return fit([np.array(r["b"], np.int64) for r in got], np.array([np.frombuffer(bytes(r["d"])) for r in got]).reshape(len(got), len(_MARKS) + 3), np.array([r["y"] for r in got], np.int64))
 
 
 _JUDGED = [T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)]

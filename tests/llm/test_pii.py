@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from quantmill.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 14 <= len(d) <= 19 and sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+    return kind == "email" or 10 <= len(d) <= 15
+
+
+def brute(text):
+    spans, counts = [], []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        found = [m for m in re.finditer(p, text or "") if valid(kind, m.group())]
+        counts.append(len(found))
+        spans += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in found]
+    return (*counts, hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest())
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["1", "25", "300", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "_", "4111 1111 1111 1111", "4539578763621486", "\U0001f600", "é", "x@y.z", "+1 (386) 555-3733", "10.0.0.1", ",", "%"]
+    docs = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for i in range(600)}
+    docs |= {-1: None, -2: "", -3: "1.2.3.4 " * 300, -4: "12 " * 2000, -5: "1." * 2000}
+    got = pii.digest(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got} == {i: brute(t) for i, t in docs.items()}
+
+
+def test_long_runs_are_read_once(spark):
+    docs = [(1, "a" * 300_000), (2, "a@b" + ".c" * 50_000), (3, "+" * 1000 + "1" * 5000)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].n_email for i in (1, 2, 3)] == [0, 1, 0]
+
+
+def test_added_spans_need_checksum_or_context(spark):
+    docs = [(1, "pay GB82 WEST 1234 5698 7654 32 now"), (2, "pay GB83 WEST 1234 5698 7654 32 now"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789")]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "iban:4:31", 2: "", 3: "ssn:4:15", 4: ""}
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    rows = [(1, "mail a@b.co or +1 (386) 555-3733.", 33, "s"), (2, None, 0, "pii"), (3, "clean", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, start string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert [(r.text, r.n_chars) for r in out.orderBy("doc_id").collect()] == [("mail <EMAIL> or <PHONE>.", 24), (None, 0), ("clean", 5)]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    assert pii.find_pii(docs).columns == [*docs.columns, "pii"]
+    assert pii.digest(docs.limit(0)).count() == 0
