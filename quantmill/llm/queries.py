@@ -76,9 +76,9 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op
 
 
 def _oracle_sql() -> dict[str, str]:
-    from . import chat_format, url_reputation
+    from . import chat_format, decontaminate, url_reputation
 
-    return {"op5_chat_format": chat_format.SQL, "op9_url_reputation": url_reputation.SQL}
+    return {"op5_chat_format": chat_format.SQL, "op7_decontaminate": decontaminate.SQL, "op9_url_reputation": url_reputation.SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()
