@@ -1,7 +1,9 @@
 """Interval-valued rows: sweep lines and sums between two times.
 
 Counts of intervals that cover a point come from a sweep line (one shuffle and a running
-sum), never from a range join of points and intervals.
+sum), never from a range join of points and intervals. Where the pairs themselves are asked
+for, the join is on the series and a bucket of days, so that a long series is dealt out and
+an interval meets only the points of its own days.
 """
 
 from __future__ import annotations
@@ -52,3 +54,17 @@ def between(points: DataFrame, intervals: DataFrame, key: str, ts: str, values:
     out = summed.groupBy(key, "_id").agg(F.sum(F.when(F.col("_kind") == 2, 1).otherwise(0)).alias("_times"), F.sum(sign * F.col("_c")).alias("_n"), *(F.sum(sign * F.col(f"_s_{n}")).alias(f"_d_{n}") for n in names))
     out = out.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
     return out.select(key, *(F.col(f"_id.{c}").alias(c) for c in own), (F.col("_n") / F.col("_times")).cast("bigint").alias("n_points"), *((F.col(f"_d_{n}") / F.col("_times")).alias(n) for n in names))
+
+
+def inside(points: DataFrame, intervals: DataFrame, key: str, ts: str, start: str = "t0", end: str = "t1", bucket_days: int = 1) -> DataFrame:
+    """All pairs of an interval and a point of its series in [start, end], with the columns of both.
+
+    A null end reaches to the last point. Points must not share column names with the
+    intervals, except the key.
+    """
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bucket_days)
+    ends = points.groupBy(key).agg(F.max(ts).alias("_last"))
+    spread = intervals.join(ends, key).withColumn("_end", F.least(F.coalesce(F.col(end), F.col("_last")), F.col("_last"))).where(F.col(start) <= F.col("_end"))
+    spread = spread.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col("_end")))))
+    at = points.withColumn("_bucket", bucket(F.col(ts)))
+    return spread.join(at, [key, "_bucket"]).where(F.col(ts).between(F.col(start), F.col("_end"))).drop("_bucket", "_end", "_last")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import inside
 from ..functions.windows import backward_fill
 
 
@@ -30,19 +31,18 @@ def vertical_barrier(prices: DataFrame, events: DataFrame, period: str = "days",
     return line.where("_kind = 0 and t1 is not null").select(key, *(F.col(f"_event.{c}").alias(c) for c in own), "t1")
 
 
-def barrier_touches(prices: DataFrame, events: DataFrame, pt: float, sl: float, *, key: str = "series_id", ts: str = "ts", close: str = "close") -> DataFrame:
+def barrier_touches(prices: DataFrame, events: DataFrame, pt: float, sl: float, *, key: str = "series_id", ts: str = "ts", close: str = "close", bucket_days: int = 1) -> DataFrame:
     """Events with pt and sl: the first times in [t0, t1] at which the path crosses a barrier.
 
     The path is side * (price / price at t0 - 1); a multiplier of 0 disables its barrier, a
-    null t1 means the last bar.
+    null t1 means the last bar. bucket_days: days of prices that one join key holds; about the
+    length of an event serves best.
     """
     path = prices.select(F.col(key), F.col(ts).alias("_ts"), F.col(close).alias("_p"))
     start = prices.select(F.col(key), F.col(ts).alias("t0"), F.col(close).alias("_p0"))
-    e = events.join(start, [key, "t0"])
-    inside = (F.col("_ts") >= F.col("t0")) & (F.col("t1").isNull() | (F.col("_ts") <= F.col("t1")))
     move = (F.col("_p") / F.col("_p0") - 1) * F.col("side")
-    crossed = e.join(path, key).where(inside)
-    columns = [c for c in events.columns]
+    crossed = inside(path, events.join(start, [key, "t0"]), key, "_ts", bucket_days=bucket_days)
+    columns = events.columns
     never = F.lit(None).cast("timestamp_ntz")
     return crossed.groupBy(*columns).agg(
         (F.min(F.when(move < -sl * F.col("trgt"), F.col("_ts"))) if sl > 0 else F.max(never)).alias("sl"),

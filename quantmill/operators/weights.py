@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import between, covering
+from ..functions.intervals import between, covering, inside
 from ..functions.windows import ordered
 
 
@@ -22,8 +22,7 @@ def concurrent_events(bars: DataFrame, events: DataFrame, *, key: str = "series_
 def indicator(bars: DataFrame, events: DataFrame, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """The 0/1 matrix of bars and events in long form: only its ones (series, ts, t0, t1)."""
     b = bars.select(F.col(key), F.col(ts).alias("ts")).distinct()
-    inside = (F.col("ts") >= F.col("t0")) & (F.col("t1").isNull() | (F.col("ts") <= F.col("t1")))
-    return events.select(key, "t0", "t1").join(b, key).where(inside).select(key, "ts", "t0", "t1")
+    return inside(b, events.select(key, "t0", "t1"), key, "ts").select(key, "ts", "t0", "t1")
 
 
 def average_uniqueness(matrix: DataFrame, *, key: str = "series_id") -> DataFrame:
