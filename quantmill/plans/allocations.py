@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import allocation as al
 from ..operators import estimators as est
 from ..operators import features as feat
-from ..sources.tables import asset_prices, asset_returns, daily_bars, events_series, table
-from .common import BARS, BY_TYPE, Registry, r6, rounded, sql6
+from ..sources.tables import asset_prices, asset_returns, events_series, table
+from .common import BY_TYPE, Registry, r6, rounded, sql6
 
 R = Registry()
 
@@ -215,3 +214,11 @@ _plain("nco", lambda s, d: al.nested_clusters(asset_returns(s, d)))
 _plain("nco_monte_carlo", lambda s, d: al.nested_monte_carlo(asset_returns(s, d), 8, 60))
 _plain("denoised_cov", lambda s, d: al.denoised_covariance(asset_returns(s, d)))
 _plain("robust_cov", lambda s, d: al.robust_covariance(asset_returns(s, d)))
+
+
+def _pca(s, d):
+    names, cov = est.matrix(est.empirical_covariance(asset_returns(s, d)))
+    return s.createDataFrame([(n, float(w)) for n, w in zip(names, feat.pca_weights(cov), strict=True)], "asset string, weight double")
+
+
+_plain("pca_weights", _pca)

@@ -198,6 +198,17 @@ def cusum_events(spark, d):
     return filters.cusum_events(events_series(spark, d), LIMIT).select("series_id", "ts", "seq", "close")
 
 
+@R.add("stream_cusum", R.sql["cusum_events"])
+def stream_cusum(spark, d):
+    """The same events from a stream over the file of the table."""
+    from ..streaming import cusum
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = source.select(F.col("user_id").alias("series_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("close"))
+    return cusum.run_to_table(cusum.stream_cusum(rows, LIMIT))
+
+
 _STRICT = "ASOF JOIN p q ON p.series_id = q.series_id AND p.ts - INTERVAL 1 DAY > q.ts"
 
 

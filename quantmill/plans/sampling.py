@@ -183,3 +183,9 @@ def power_bet(spark, d):
     usable = (F.col("gap") != 0) & (F.abs("gap") != 1)
     width = F.when(usable, betsize.power_width(F.abs("gap"), F.lit(0.9)))
     return rounded(out.withColumn("width", width), "id", "target", lim="lim", width="width")
+
+
+@R.add("mixture_bet_sizes")
+def mixture_bet_sizes(spark, d):
+    """Bets by a mixture fitted to the moments of all net positions."""
+    return betsize.mixture_bet_sizes(_bets(spark, d), n_run=4, starts=200, epsilon=1e-3)

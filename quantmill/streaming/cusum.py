@@ -112,3 +112,28 @@ def stream_ewm(stream: DataFrame, column: str, span: float, *, key: str = "serie
     """Adds ewm_mean and ewm_std to every row."""
     more = [T.StructField("ewm_mean", T.DoubleType()), T.StructField("ewm_std", T.DoubleType())]
     return _run(stream, _Deviation(ts, [ts], column, span), key, T.StructType([*stream.schema.fields, *more]))
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there into files of the shared folder, and read them.
+
+    The folder is spark.checkpoint.dir, which all executors share; a temporary one is used
+    only where that is unset.
+    """
+    import tempfile
+    import uuid
+
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantmill-")
+    path = f"{root.rstrip('/')}/quantmill/stream-{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
