@@ -13,7 +13,7 @@ from ..operators import bootstrap, crossval, garch, importance, labels, mixture
 from ..operators.ensemble import SequentialBagging
 from ..sources import generators as gen
 from ..sources.tables import daily_bars, events_series, table
-from .common import BARS, BY_TYPE, Registry, r6, rounded, sql6
+from .common import BARS, Registry, r6, rounded, sql6
 
 R = Registry()
 NAMES = [f"f{i}" for i in range(8)]

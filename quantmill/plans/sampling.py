@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..operators import betsize, crossval, labels, weights
 from ..sources.tables import events_series
-from .common import BY_USER, Registry, r6, rounded, sql6
+from .common import Registry, r6, rounded, sql6
 from .labeling import VERT
 
 R = Registry()
