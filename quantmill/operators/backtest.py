@@ -77,7 +77,7 @@ def time_weighted(book: DataFrame, *, key: str = "series_id") -> DataFrame:
     added = F.greatest(F.lit(0.0), F.col("close_pos") - F.col("open_pos"))
     change = F.when(F.col("label") == 0, F.col("clean_close") - F.col("clean_open")).otherwise(F.col("close") - F.col("open"))
     pnl = (change + F.col("yield")) * (F.col("open_pos") - F.col("close_pos"))
-    grown = book.withColumn("growth", 1 + (pnl - F.col("expense")) / (F.col("close") * F.col("open_pos") + F.col("close") * added)).where("growth is not null")
+    grown = book.withColumn("growth", 1 + F.try_divide(pnl - F.col("expense"), F.col("close") * F.col("open_pos") + F.col("close") * added)).where("growth is not null")
     points = grown.select(key, F.col("t0").alias("ts")).unionAll(grown.select(key, F.col("t1").alias("ts"))).distinct()
     good = F.col("growth") > 0
     values = {"_l": F.when(good, F.log("growth")).otherwise(0.0), "_n": F.when(good & (F.col("growth") != 1), 1.0).otherwise(0.0), "_bad": F.when(good, 0.0).otherwise(1.0)}
@@ -86,7 +86,7 @@ def time_weighted(book: DataFrame, *, key: str = "series_id") -> DataFrame:
 
 
 def _hhi(x: Column) -> Column:
-    n, share = F.count(x), F.sum(x * x) / F.pow(F.sum(x), F.lit(2.0))
+    n, share = F.count(x), F.try_divide(F.sum(x * x), F.pow(F.sum(x), F.lit(2.0)))
     return F.when(n > 2, (share - 1 / n) / (1 - 1 / n))
 
 
@@ -109,7 +109,7 @@ def drawdowns(df: DataFrame, column: str = "close", *, key: str = "series_id", t
     whole = by_mark.withColumn("_end", F.max("_end").over(Window.partitionBy(key))).where("hwm > _min")
     until = F.coalesce(F.lead(ts).over(w), F.col("_end"))
     micros = F.timestamp_diff("MICROSECOND", F.col(ts), until)
-    loss = F.col("hwm") - F.col("_min") if dollars else 1 - F.col("_min") / F.col("hwm")
+    loss = F.col("hwm") - F.col("_min") if dollars else 1 - F.try_divide("_min", "hwm")
     return whole.select(key, ts, "hwm", loss.alias("drawdown"), (micros / (86_400e6 * YEAR_DAYS)).alias("under_water"))
 
 
@@ -123,7 +123,7 @@ def annualized_return(df: DataFrame, column: str = "close", *, key: str = "serie
     """(last / first) ^ (t_days / calendar days) - 1."""
     ends = df.where(F.col(column).isNotNull()).groupBy(key).agg(F.min_by(column, ts).alias("_a"), F.max_by(column, ts).alias("_z"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
     days = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) / 86_400e6
-    return ends.select(key, (F.pow(F.col("_z") / F.col("_a"), t_days / F.nullif(days, F.lit(0.0))) - 1).alias("annualized"))
+    return ends.select(key, (F.pow(F.try_divide("_z", "_a"), t_days / F.nullif(days, F.lit(0.0))) - 1).alias("annualized"))
 
 
 def sharpe(returns: DataFrame, column: str = "ret", rf: float = 0.0, t_days: float = 252, *, key: str = "series_id") -> DataFrame:
@@ -161,12 +161,12 @@ def implied_precision(freq: Column, sharpe_target: Column, up: Column, down: Col
     """Share of gains at which bets of size up or down reach the ratio."""
     a, b = (freq + sharpe_target * sharpe_target) * F.pow(up - down, F.lit(2.0)), (2 * freq * down - sharpe_target * sharpe_target * (up - down)) * (up - down)
     c = freq * down * down
-    return (-b + F.sqrt(b * b - 4 * a * c)) / (2 * a)
+    return F.try_divide(-b + F.sqrt(b * b - 4 * a * c), 2 * a)
 
 
 def implied_frequency(p: Column, sharpe_target: Column, up: Column, down: Column) -> Column:
     d = up - down
-    return (F.pow(sharpe_target * d, F.lit(2.0)) * p * (1 - p) / F.pow(d * p + down, F.lit(2.0))).cast("bigint")
+    return F.try_divide(F.pow(sharpe_target * d, F.lit(2.0)) * p * (1 - p), F.pow(d * p + down, F.lit(2.0))).cast("bigint")
 
 
 def _edge(freq: Column, p: Column, sharpe_target: Column) -> Column:
@@ -194,7 +194,7 @@ def failure_probability(returns: DataFrame, freq: float, sharpe_target: float, c
     r = F.col(column)
     s = returns.where(r.isNotNull()).groupBy(key).agg(F.avg(F.when(r > 0, r)).alias("up"), F.avg(F.when(r <= 0, r)).alias("down"), F.avg((r > 0).cast("double")).alias("p"))
     bar = implied_precision(F.lit(float(freq)), F.lit(float(sharpe_target)), F.col("up"), F.col("down"))
-    return s.withColumn("threshold", bar).withColumn("p_fail", normal.cdf((F.col("threshold") - F.col("p")) / (F.col("p") * (1 - F.col("p"))))).select(key, "p", "threshold", "p_fail")
+    return s.withColumn("threshold", bar).withColumn("p_fail", normal.cdf(F.try_divide(F.col("threshold") - F.col("p"), F.col("p") * (1 - F.col("p"))))).select(key, "p", "threshold", "p_fail")
 
 
 # Monte Carlo: one row for each run or node, each with its own seed.

@@ -58,8 +58,8 @@ def tick_bars(df: DataFrame, every: int, *, key: str = "series_id", order: Seque
 
 
 def simple_returns(df: DataFrame, price: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """ret = price over the price before, less 1; the first row of a series goes."""
-    ret = F.col(price) / F.lag(price).over(ordered(key, *order)) - 1
+    """ret = price over the price before, less 1; the first row of a series goes, as does one after a price of 0."""
+    ret = F.try_divide(F.col(price), F.lag(price).over(ordered(key, *order))) - 1
     return df.withColumn("ret", ret).where("ret is not null")
 
 

@@ -25,7 +25,7 @@ def discrete(signal: Column, step: float = 0.01) -> Column:
 
 def signal_size(prob: Column, n_classes: int = 2) -> Column:
     """2 Phi(z) - 1 with z = (p - 1/n) / sqrt(p (1 - p))."""
-    return 2 * normal.cdf((prob - 1.0 / n_classes) / F.sqrt(prob * (1 - prob))) - 1
+    return 2 * normal.cdf(F.try_divide(prob - 1.0 / n_classes, F.sqrt(prob * (1 - prob)))) - 1
 
 
 def bet_signal(events: DataFrame, n_classes: int = 2, step: float | None = None, *, key: str = "series_id") -> DataFrame:
@@ -39,7 +39,7 @@ def bet_signal(events: DataFrame, n_classes: int = 2, step: float | None = None,
 
 
 def sigmoid_size(w: Column, x: Column) -> Column:
-    return x / F.sqrt(w + x * x)
+    return F.try_divide(x, F.sqrt(w + x * x))
 
 
 def target_position(w: Column, forecast: Column, price: Column, most: Column) -> Column:

@@ -17,7 +17,7 @@ def returns(prices: DataFrame, unit: str | None = None) -> DataFrame:
     if unit:
         p = p.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("b"), "asset").agg(F.max_by("price", "ts").alias("price")).withColumnRenamed("b", "ts")
     w = Window.partitionBy("asset").orderBy("ts")
-    return p.withColumn("ret", F.col("price") / F.lag("price").over(w) - 1).where("ret is not null").select("ts", "asset", "ret")
+    return p.withColumn("ret", F.try_divide(F.col("price"), F.lag("price").over(w)) - 1).where("ret is not null").select("ts", "asset", "ret")
 
 
 def mean_returns(rets: DataFrame, frequency: float = 252) -> DataFrame:
@@ -112,7 +112,7 @@ def to_covariance(corr: DataFrame, std: DataFrame) -> DataFrame:
 
 def inverse_variance(rets: DataFrame) -> DataFrame:
     """weight of each asset in inverse proportion to its variance."""
-    v = rets.groupBy("asset").agg((1 / F.var_samp("ret")).alias("w"))
+    v = rets.groupBy("asset").agg(F.try_divide(F.lit(1.0), F.var_samp("ret")).alias("w"))
     return v.select("asset", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))).alias("weight"))
 
 

@@ -55,7 +55,8 @@ def garch(returns: DataFrame, column: str = "ret", *, key: str = "series_id", or
 
 def returns_of(df: DataFrame, column: str = "close", *, log: bool = False, key: str = "series_id", order: Sequence[str] = ("ts",)) -> DataFrame:
     before = F.lag(column).over(ordered(key, *order))
-    ret = F.log(F.col(column) / before) if log else F.col(column) / before - 1
+    ratio = F.try_divide(F.col(column), before)
+    ret = F.log(ratio) if log else ratio - 1
     return df.withColumn("ret", ret).where("ret is not null")
 
 

@@ -35,12 +35,12 @@ def barrier_touches(prices: DataFrame, events: DataFrame, pt: float, sl: float,
     """Events with pt and sl: the first times in [t0, t1] at which the path crosses a barrier.
 
     The path is side * (price / price at t0 - 1); a multiplier of 0 disables its barrier, a
-    null t1 means the last bar. bucket_days: days of prices that one join key holds; about the
+    null t1 means the last bar. A price of 0 at t0 has no path. bucket_days: days of prices that one join key holds; about the
     length of an event serves best.
     """
     path = prices.select(F.col(key), F.col(ts).alias("_ts"), F.col(close).alias("_p"))
     start = prices.select(F.col(key), F.col(ts).alias("t0"), F.col(close).alias("_p0"))
-    move = (F.col("_p") / F.col("_p0") - 1) * F.col("side")
+    move = (F.try_divide("_p", "_p0") - 1) * F.col("side")
     crossed = inside(path, events.join(start, [key, "t0"]), key, "_ts", bucket_days=bucket_days)
     columns = events.columns
     never = F.lit(None).cast("timestamp_ntz")
@@ -88,7 +88,7 @@ def meta_label(prices: DataFrame, events: DataFrame, *, key: str = "series_id",
     w = Window.partitionBy(key).orderBy("_at", "_kind")
     found = asked.unionByName(bars).withColumn("_p", backward_fill(F.col("_p"), w)).where("_kind = 0")
     both = found.groupBy(key, "_event").agg(F.max(F.when(F.col("_which") == 0, F.col("_p"))).alias("_p0"), F.max(F.when(F.col("_which") == 1, F.col("_p"))).alias("_p1"))
-    out = both.select(key, *(F.col(f"_event.{c}").alias(c) for c in own), (F.col("_p1") / F.col("_p0") - 1).alias("ret")).where("ret is not null")
+    out = both.select(key, *(F.col(f"_event.{c}").alias(c) for c in own), (F.try_divide("_p1", "_p0") - 1).alias("ret")).where("ret is not null")
     if "side" in events.columns:
         out = out.withColumn("ret", F.col("ret") * F.col("side")).withColumn("bin", F.when(F.col("ret") <= 0, 0).otherwise(1))
     else:

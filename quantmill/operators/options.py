@@ -15,11 +15,11 @@ from ..functions import normal
 
 
 def dividend_yield(freq: Column, s: Column, dividend: Column) -> Column:
-    return F.log(dividend * freq / s)
+    return F.log(F.try_divide(dividend * freq, s))
 
 
 def d1(s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column) -> Column:
-    return (F.log(s / k) + (r - q + sigma * sigma / 2) * t) / (sigma * F.sqrt(t))
+    return F.try_divide(F.log(F.try_divide(s, k)) + (r - q + sigma * sigma / 2) * t, sigma * F.sqrt(t))
 
 
 def d2(s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column) -> Column:
@@ -46,7 +46,7 @@ def delta(kind: str, s: Column, k: Column, t: Column, r: Column, sigma: Column,
 
 def gamma(s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column) -> Column:
     a = d1(s, k, t, r, sigma, q)
-    return F.exp(-q * t - a * a / 2) / (s * sigma * F.sqrt(2 * math.pi * t))
+    return F.try_divide(F.exp(-q * t - a * a / 2), s * sigma * F.sqrt(2 * math.pi * t))
 
 
 def vega(s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column) -> Column:
@@ -57,13 +57,13 @@ def vega(s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column) -
 def implied_volatility(option: Column, s: Column, k: Column) -> Column:
     """Closed-form estimate from the price of the option; null where it has none."""
     twice = 2 * option + k - s
-    under = twice * twice - 1.85 * (s + k) * (k - s) * (k - s) / (math.pi * F.sqrt(s * k))
+    under = twice * twice - F.try_divide(1.85 * (s + k) * (k - s) * (k - s), math.pi * F.sqrt(s * k))
     return F.when(under >= 0, math.sqrt(2 * math.pi) / (2 * (s + k)) * (twice + F.sqrt(F.when(under >= 0, under))))
 
 
 def probability_below(spot: Column, strike: Column, window: Column, sigma: Column) -> Column:
     """sigma in per cent a year, window in days."""
-    return normal.cdf(F.log(strike / spot) / (0.01 * sigma * F.sqrt(window / 365)))
+    return normal.cdf(F.try_divide(F.log(F.try_divide(strike, spot)), 0.01 * sigma * F.sqrt(window / 365)))
 
 
 def put_probability(spot: Column, strike: Column, window: Column, sigma: Column) -> Column:
@@ -75,9 +75,9 @@ def call_probability(spot: Column, strike: Column, window: Column, sigma: Column
 
 
 def profit_probability(premium: Column, fees: Column, low: Column, high: Column) -> Column:
-    return 1 - (premium - fees) / (high - low)
+    return 1 - F.try_divide(premium - fees, high - low)
 
 
 def risk_premium(premium: Column, probability: Column, width: Column, threshold: Column) -> Column:
     """Whether premium per probability and width is above the threshold."""
-    return premium / probability * width > threshold
+    return F.try_divide(premium, probability) * width > threshold

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ def lagged_return(df: DataFrame, close: str = "close", period: str = "days", fre
         f"last({close}) OVER (PARTITION BY {key} ORDER BY {ts} RANGE BETWEEN UNBOUNDED PRECEDING AND "
         f"INTERVAL '{micros // 86_400_000_000} {micros // 3_600_000_000 % 24:02d}:{micros // 60_000_000 % 60:02d}:{micros // 1_000_000 % 60:02d}.{micros % 1_000_000:06d}' DAY TO SECOND PRECEDING)"
     )
-    return df.withColumn("ret", F.col(close) / F.expr(frame) - 1).where("ret is not null")
+    return df.withColumn("ret", F.try_divide(F.col(close), F.expr(frame)) - 1).where("ret is not null")
 
 
 def ewm(df: DataFrame, column: str, span: float, *, key: str = "series_id", order: Sequence[str] = ("ts",), mean: str | None = None, std: str | None = None) -> DataFrame:
@@ -49,13 +49,18 @@ def ewm_volatility(df: DataFrame, span: float = 100, period: str = "days", freq:
     return ewm(lagged_return(df, close, period, freq, key=key, ts=ts), "ret", span, key=key, order=order, std=name)
 
 
+def _log_ratio(a: Column, b: Column) -> Column:
+    """Log of a ratio; null where it has none."""
+    return F.log(F.try_divide(a, b))
+
+
 def parkinson(df: DataFrame, window: int = 20, *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "parkinson") -> DataFrame:
-    x = F.pow(F.log(F.col("high") / F.col("low")), 2) / (4 * math.log(2))
+    x = F.pow(_log_ratio(F.col("high"), F.col("low")), 2) / (4 * math.log(2))
     return df.withColumn(name, F.sqrt(rolling(F.avg, x, ordered(key, *order), window)))
 
 
 def garman_klass(df: DataFrame, window: int = 20, *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "garman_klass") -> DataFrame:
-    x = 0.5 * F.pow(F.log(F.col("high") / F.col("low")), 2) - (2 * math.log(2) - 1) * F.pow(F.log(F.col("close") / F.col("open")), 2)
+    x = 0.5 * F.pow(_log_ratio(F.col("high"), F.col("low")), 2) - (2 * math.log(2) - 1) * F.pow(_log_ratio(F.col("close"), F.col("open")), 2)
     mean = rolling(F.avg, x, ordered(key, *order), window)
     return df.withColumn(name, F.when(mean >= 0, F.sqrt(mean)))
 
@@ -68,8 +73,8 @@ def yang_zhang(df: DataFrame, window: int = 20, *, key: str = "series_id", order
     o, h, lo, c = (F.col(n) for n in ("open", "high", "low", "close"))
     base = o if textbook else F.lag("open").over(w)
     parts = {
-        "_o": F.pow(F.log(o / F.lag("close").over(w)), 2), "_c": F.pow(F.log(c / base), 2),
-        "_r": F.log(h / c) * F.log(h / o) + F.log(lo / c) * F.log(lo / o),
+        "_o": F.pow(_log_ratio(o, F.lag("close").over(w)), 2), "_c": F.pow(_log_ratio(c, base), 2),
+        "_r": _log_ratio(h, c) * _log_ratio(h, o) + _log_ratio(lo, c) * _log_ratio(lo, o),
     }
     out = df.withColumns(parts)
     total = {n: rolling(F.sum, F.col(n), w, window) / (window - 1) for n in parts}

@@ -41,7 +41,7 @@ def uniqueness_weights(bars: DataFrame, events: DataFrame, *, key: str = "series
 def return_weights(bars: DataFrame, events: DataFrame, close: str = "close", *, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Events with w: |sum of log returns over concurrency|, scaled to the number of events of the series."""
     c = concurrent_events(bars, events, key=key, ts=ts)
-    priced = bars.select(key, ts, F.log(F.col(close) / F.lag(close).over(ordered(key, ts))).alias("_r")).join(c, [key, ts])
+    priced = bars.select(key, ts, F.log(F.try_divide(F.col(close), F.lag(close).over(ordered(key, ts)))).alias("_r")).join(c, [key, ts])
     out = between(priced, events.select(key, "t0", "t1"), key, ts, {"_s": F.when(F.col("n_events") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("n_events")).otherwise(0.0)})
     whole = Window.partitionBy(key)
     raw = F.abs("_s")

@@ -22,7 +22,7 @@ _RET = f"WITH {BY_TYPE}, r AS (SELECT * FROM (SELECT *, ln(close / lag(close) OV
 
 def _returns(spark, d):
     p = events_series(spark, d, "event_type")
-    return p.withColumn("ret", F.log(F.col("close") / F.lag("close").over(ordered("series_id", "ts"))) / 100).where("ret is not null")
+    return p.withColumn("ret", F.log(F.try_divide(F.col("close"), F.lag("close").over(ordered("series_id", "ts")))) / 100).where("ret is not null")
 
 
 def _positions(spark, d):

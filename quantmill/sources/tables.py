@@ -36,7 +36,7 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades by return flag with the columns that order them; price, size, dollars, bid, ask, last."""
     t = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide("l_extendedprice", "l_quantity")
     return t.select(
         F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         price.alias("price"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("dollars"),
@@ -49,7 +49,7 @@ def asset_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("asset").orderBy("ts")
-    return asset_prices(spark, sf_dir).withColumn("ret", F.col("price") / F.lag("price").over(w) - 1).where("ret is not null").select("ts", "asset", "ret")
+    return asset_prices(spark, sf_dir).withColumn("ret", F.try_divide(F.col("price"), F.lag("price").over(w)) - 1).where("ret is not null").select("ts", "asset", "ret")
 
 
 def asset_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions from orders and their lines, as far as they end after they begin."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("t0"), F.col("o_custkey").alias("c"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide("l_extendedprice", "l_quantity")
     return o.join(li, F.col("k") == F.col("l_orderkey")).where(F.col("l_shipdate") > F.col("t0")).select(
         (F.col("c") % 20).alias("series_id"), "t0", F.col("l_shipdate").alias("t1"), price.alias("open"), (price * (1 - F.col("l_discount") / 2 + F.col("l_tax") / 2)).alias("close"),
         F.col("l_quantity").alias("open_pos"), (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("close_pos"), (price * 0.01).alias("yield"), (price * 0.005).alias("expense"),
