@@ -92,17 +92,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of an L2-loss linear SVM by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    diagonal = (x * x).sum(axis=1) + 0.5 / cost
+    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(x))
+    diagonal = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1 + 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + 0.5 / cost * alpha[i]
+            row = x[i].astype(np.float64)
+            g = y[i] * (row @ w[:-1] + w[-1]) - 1 + 0.5 / cost * alpha[i]
             if alpha[i] > 0 or g < 0:
                 new = max(alpha[i] - g / diagonal[i], 0.0)
-                w += (new - alpha[i]) * y[i] * x[i]
+                move = (new - alpha[i]) * y[i]
+                w[:-1] += move * row
+                w[-1] += move
                 worst = max(worst, abs(new - alpha[i]))
                 alpha[i] = new
         if worst < 1e-3:
@@ -197,7 +199,9 @@ def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most
 
     got = [(r["lang"], bytes(r["x"])) for r in rows.mapInArrow(vectors, "lang string, x binary").where("x is not null").collect()]
     got.sort()
-    x = np.array([np.frombuffer(v, np.float16) for _, v in got], np.float32).reshape(len(got), BUCKETS)
+    x = np.zeros((len(got), BUCKETS), np.float32)
+    for i, (_, v) in enumerate(got):
+        x[i] = np.frombuffer(v, np.float16)
     return fit(x, np.array([c for c, _ in got], object))
 
 

@@ -90,7 +90,7 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, epochs: int =
         weights = np.zeros((width + 1, k))
         weights[-1, 0] = 50.0
         return Classifier(column, weights)
-    row, bucket = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
+    row, bucket = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
     share = np.bincount(y, minlength=k) / n
     seen = np.array([np.bincount(bucket[y[row] == d], minlength=BUCKETS) for d in range(k)])
     total = seen.sum(axis=0)
@@ -103,20 +103,20 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, epochs: int =
     at = column[bucket] >= 0
     x[row[at], column[bucket[at]]] = 1
     x[:, len(chosen) : -1], x[:, -1] = dense, 1
-    truth = np.eye(k)[y]
-    weights, velocity = np.zeros((x.shape[1], k)), np.zeros((x.shape[1], k))
-    rate = 4.0 / max(1.0, float((x * x).sum(axis=1).mean()))
-    decay = 2e-3
+    truth = np.eye(k, dtype=np.float32)[y]
+    weights, velocity = np.zeros((x.shape[1], k), np.float32), np.zeros((x.shape[1], k), np.float32)
+    rate = np.float32(4.0 / max(1.0, float(np.einsum("ij,ij->", x, x)) / n))
+    decay, momentum = np.float32(2e-3), np.float32(0.9)
     for _ in range(epochs):
-        ahead = weights + 0.9 * velocity
+        ahead = weights + momentum * velocity
         z = x @ ahead
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        slope = x.T @ (p - truth) / n + decay * ahead
-        velocity = 0.9 * velocity - rate * slope
+        slope = x.T @ (p - truth) / np.float32(n) + decay * ahead
+        velocity = momentum * velocity - rate * slope
         weights = weights + velocity
-    return Classifier(column, weights)
+    return Classifier(column, weights.astype(np.float64))
 
 
 def train(documents: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) -> Classifier:
@@ -133,13 +133,14 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROW
             data, offsets = textkit.buffers(batch.column("t"))
             for lo, hi in textkit.ranges(offsets):
                 row, bucket, _, dense = word_sets(data, offsets[lo : hi + 1])
-                edge = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(bucket.astype(np.int32)))
+                edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                bucket = bucket.astype(np.int32)
+                lists = pa.array([bucket[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), lists, pa.array([d.tobytes() for d in dense], pa.binary())], ["doc_id", "y", "b", "d"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(gather, f"doc_id {kind}, y int, b array<int>, d binary").collect(), key=lambda r: (r["doc_id"], bytes(r["d"])))
-    return fit([np.array(r["b"], np.int64) for r in got], np.array([np.frombuffer(bytes(r["d"])) for r in got]).reshape(len(got), len(_MARKS) + 3), np.array([r["y"] for r in got], np.int64))
+    got = sorted(rows.mapInArrow(gather, f"doc_id {kind}, y int, b binary, d binary").collect(), key=lambda r: (r["doc_id"], bytes(r["d"])))
+    return fit([np.frombuffer(bytes(r["b"]), np.int32) for r in got], np.array([np.frombuffer(bytes(r["d"])) for r in got]).reshape(len(got), len(_MARKS) + 3), np.array([r["y"] for r in got], np.int64))
 
 
 _JUDGED = [T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)]
