@@ -12,9 +12,11 @@ sqrt(M^2 - |x|^2) with M the largest norm; queries get 0 there. Scores are inner
 of the original vectors in double precision.
 
 Equal vectors are the same candidate: of each, only the k+1 least ids go on, which is all
-that any answer can use (equal scores go to the smaller id). Each leaf is dealt out in
-blocks of bounded size, and so are the queries that open it; a task compares one block of
-vectors with one block of queries.
+that any answer can use (equal scores go to the smaller id). Vectors are dealt out in blocks
+of bounded size (several neighbouring leaves, or a part of a large one), and so are the
+queries that open a block; a task compares one block of vectors with one block of queries by
+one matrix product. The leaves that a query opens first give it a bar, and from the others
+only candidates that reach the bar are sent on.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor does a null vec_id; among vectors of several lengths only those of the commonest length
@@ -44,6 +46,8 @@ BRANCHES = 8
 LEAF_ROWS, LEAST_IN_LEAF = 256, 8
 #: Queries whose exact neighbours calibrate the search, and the recall to reach.
 CALIBRATION, RECALL = 64, 0.97
+#: Leaves that a query opens before it holds other candidates against what it has.
+FIRST_LEAVES = 4
 #: Rows of one block of vectors and of one block of queries.
 BLOCK_VECTORS, BLOCK_QUERIES = 2048, 1024
 
@@ -205,37 +209,65 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
         if len(reached):
             visits = int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)])
 
+    # neighbouring small leaves share a block, a large leaf is dealt out over several
+    block_of, parts, held = np.zeros(tree.leaves, np.int64), [], BLOCK_VECTORS
+    for leaf, size in enumerate(sizes.tolist()):
+        if held + size > BLOCK_VECTORS:
+            parts.append(max(1, -(-size // BLOCK_VECTORS)))
+            held = 0
+        held += size
+        block_of[leaf] = len(parts) - 1
+    blocks = spark.sparkContext.broadcast(block_of)
+
     def to_visits(batches):
-        t = shared.value
+        t, of = shared.value, blocks.value
         for batch in batches:
             q, x = batch.column("vec_id").to_pylist(), matrix(batch.column("v"), width)
             for lo in range(0, len(q), 256):
-                opened = [t.visits(np.append(p, 0.0), sizes, visits, 2 * (k + 1)) for p in x[lo : lo + 256]]
-                row = np.repeat(np.arange(lo, lo + len(opened)), [len(o) for o in opened])
-                yield pa.RecordBatch.from_arrays([pa.array([q[i] for i in row], pa.int64()), batch.column("v").take(pa.array(row)), pa.array([leaf for o in opened for leaf in o], pa.int64())], ["query_id", "q", "leaf"])
-
-    walked = written(queries.mapInArrow(to_visits, "query_id bigint, q array<double>, leaf bigint"), "walks")
-    asked = np.zeros(tree.leaves, np.int64)
-    for r in walked.groupBy("leaf").count().collect():
-        asked[r["leaf"]] = r["count"]
-    deals = [(i, max(1, -(-int(sizes[i]) // BLOCK_VECTORS)), max(1, -(-int(asked[i]) // BLOCK_QUERIES))) for i in range(tree.leaves)]
-    deal = F.broadcast(spark.createDataFrame(deals, "leaf bigint, nv int, nq int"))  # one row for each leaf
+                opened = []
+                for i, p in enumerate(x[lo : lo + 256], lo):
+                    seen: dict[int, int] = {}
+                    for n, leaf in enumerate(t.visits(np.append(p, 0.0), sizes, visits, 2 * (k + 1))):
+                        seen.setdefault(int(of[leaf]), n)
+                    opened += [(i, b, n) for b, n in seen.items()]
+                row, block, n = (np.array(c, np.int64) for c in zip(*opened, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([q[i] for i in row], pa.int64()), batch.column("v").take(pa.array(row)), pa.array(block), pa.array(n)], ["query_id", "q", "block", "n"])
+
+    walked = written(queries.mapInArrow(to_visits, "query_id bigint, q array<double>, block bigint, n bigint"), "walks")
+    asked = np.zeros(len(parts), np.int64)
+    for r in walked.groupBy("block").count().collect():  # one row for each block
+        asked[r["block"]] = r["count"]
+    deal = F.broadcast(spark.createDataFrame([(b, nv, max(1, -(-int(asked[b]) // BLOCK_QUERIES))) for b, nv in enumerate(parts)], "block bigint, nv int, nq int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(deal, "leaf").withColumns({"bv": F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")}).withColumn("bq", every("nq")).select("leaf", "bv", "bq", "vec_id", "v")
-    right = walked.join(deal, "leaf").withColumns({"bq": F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")}).withColumn("bv", every("nv")).select("leaf", "bv", "bq", "query_id", "q")
+    leaf_block = F.element_at(F.array(*(F.lit(int(b)) for b in block_of)), (F.col("leaf") + 1).cast("int"))
+    left = placed.withColumn("block", leaf_block.cast("bigint")).join(deal, "block").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("bq", every("nq")).select("block", "bv", "bq", "vec_id", "v")
+    right = walked.join(deal, "block").withColumn("bq", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("bv", every("nv"))
 
     def compare(_key, a: pa.Table, b: pa.Table) -> pa.Table:
+        """The k best of each query in the block that reach its bar."""
         q, v, s = [], [], []
         if len(a) and len(b):
             x, ids = matrix(a.column("v").combine_chunks(), width), a.column("vec_id").to_numpy()
-            for own, p in zip(b.column("query_id").to_pylist(), matrix(b.column("q").combine_chunks(), width), strict=True):
-                score = exact_scores(x, p)
-                at = best(ids, score, own, k)
-                q.append(np.full(len(at), own))
-                v.append(ids[at])
-                s.append(score[at])
-        join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
-        return pa.table({"query_id": join(q, np.int64), "vec_id": join(v, np.int64), "score": join(s, np.float64)})
-
-    found = left.groupBy("leaf", "bv", "bq").cogroup(right.groupBy("leaf", "bv", "bq")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+            y, own = matrix(b.column("q").combine_chunks(), width), b.column("query_id").to_numpy()
+            bar = b.column("bar").to_numpy(zero_copy_only=False)
+            near = y @ x.T
+            near[own[:, None] == ids[None, :]] = -np.inf
+            if near.shape[1] > k:
+                kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                bar = np.maximum(bar, kth)
+            # products of matrices may differ in the last digits, so a little more is scored exactly
+            row, at = np.nonzero(near >= (bar - 1e-9 * np.maximum(1.0, np.abs(bar)))[:, None])
+            ok = ids[at] != own[row]
+            row, at = row[ok], at[ok]
+            q, v, s = own[row], ids[at], np.einsum("ij,ij->i", x[at], y[row], optimize=False)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return left.groupBy("block", "bv", "bq").cogroup(rows.select("block", "bv", "bq", "query_id", "q", "bar").groupBy("block", "bv", "bq")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+
+    # the first leaves give each query a bar, which all but few of the other candidates miss
+    first = written(_ranked(compared(right.where(F.col("n") < FIRST_LEAVES).withColumn("bar", F.lit(float("-inf")))), k), "first")
+    bars = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    later = right.where(F.col("n") >= FIRST_LEAVES).join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    found = first.select("query_id", "vec_id", "score").unionAll(compared(later))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
