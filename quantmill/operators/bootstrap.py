@@ -29,14 +29,38 @@ def uniqueness(first: np.ndarray, past: np.ndarray, alive: np.ndarray, extra: in
 def sequential_draws(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> np.ndarray:
     """Draw with replacement, each time in proportion to the uniqueness given the draws so far.
 
-    A draw costs one pass over bars and events: sums of 1/(alive + 1) give all events at once.
+    A draw changes the uniqueness of the events that meet it only: those are found by their first bar, and sums
+    over blocks of events give the place of the next draw. Events that all meet cost one pass a draw.
     """
+    n, block = len(first), 256
     alive, out = np.zeros(n_bars), np.zeros(size, np.int64)
+    if not n:
+        return out[:0]
+    order = np.argsort(first, kind="stable")
+    starts, longest = first[order], max(int((past - first).max()), 0)
+    p = np.zeros(-(-n // block) * block)
+    p[:n] = uniqueness(first, past, alive)
+    blocks = p.reshape(-1, block)  # a view
+    sums = blocks.sum(axis=1)
     for i in range(size):
-        p = uniqueness(first, past, alive)
-        total = p.sum()
-        out[i] = rng.choice(len(first), p=p / total) if total > 0 else rng.integers(len(first))
-        alive[first[out[i]] : past[out[i]]] += 1
+        upto = np.cumsum(sums)
+        if upto[-1] > 0:
+            u = rng.random() * upto[-1]
+            b = min(int(np.searchsorted(upto, u, side="right")), int(np.flatnonzero(sums)[-1]))
+            inner = np.cumsum(blocks[b])
+            k = min(int(np.searchsorted(inner, u - (upto[b] - sums[b]), side="right")), int(np.flatnonzero(blocks[b])[-1]))
+            d = b * block + k
+        else:
+            d = int(rng.integers(n))
+        out[i] = d
+        if past[d] <= first[d]:
+            continue
+        alive[first[d] : past[d]] += 1
+        near = order[np.searchsorted(starts, first[d] - longest, side="left") : np.searchsorted(starts, past[d], side="left")]
+        low, high = int(first[near].min()), int(max(past[near].max(), first[near].max()))
+        p[near] = uniqueness(first[near] - low, past[near] - low, alive[low:high])
+        touched = np.unique(near // block)
+        sums[touched] = blocks[touched].sum(axis=1)
     return out
 
 

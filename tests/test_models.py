@@ -85,3 +85,30 @@ def test_streams_equal_batches(spark, small_dir, tmp_path):
     batch = {(r.series_id, r.seq): r.m for r in ewm(source, "close", 10, mean="m").collect()}
     for r in spark.sql("select * from ewm").collect():
         assert r.ewm_mean == pytest.approx(batch[r.series_id, r.seq])
+
+
+def test_draws_equal_a_plain_loop():
+    import numpy as np
+
+    from quantmill.operators.bootstrap import sequential_draws, uniqueness
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        n, bars_ = 700, 500
+        first = rng.integers(0, bars_, n)
+        past = np.minimum(first + rng.integers(-1, (4, 300)[seed % 2], n), bars_)
+        alive, expected, rng = np.zeros(bars_), [], np.random.default_rng(seed)
+        for _ in range(n):
+            p = uniqueness(first, past, alive)
+            expected.append(rng.choice(n, p=p / p.sum()))
+            alive[first[expected[-1]] : past[expected[-1]]] += 1
+        assert sequential_draws(first, past, bars_, n, np.random.default_rng(seed)).tolist() == expected
+
+
+@pytest.mark.parametrize("name", ["bagged_oob", "bagged_regression"])
+def test_bagging_queries_cover_all_rows(spark, small_dir, name):
+    from quantmill import plans
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").select("vec_id").collect()}
+    got = [r.id for r in plans.collected()[0][name](spark, small_dir).select("id").collect()]
+    assert len(ids) > 300 and len(got) == len(ids) and set(got) == ids
