@@ -66,7 +66,7 @@ def kpss(x: np.ndarray) -> tuple[float, float]:
 
 
 def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk by Royston's (1995) approximation: W and p value, for 12 to 5000 values."""
+    """Shapiro-Wilk by Royston's (1995) approximation: W and p value, for 12 values or more (p was fitted on up to 5000)."""
     from statistics import NormalDist
 
     x = np.sort(np.asarray(x, float))

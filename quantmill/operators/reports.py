@@ -36,19 +36,15 @@ def _per_series(df: DataFrame, key: str, order: Sequence[str], column: str, colu
 
 
 def shapiro_wilk(df: DataFrame, column: str = "ret", *, key: str = "series_id", order: Sequence[str] = ("ts",), most: int = 5000) -> DataFrame:
-    """W and p value of each series by Royston's approximation, which holds up to 5,000 values; of a longer
-    series it takes values evenly spaced in their order."""
-
-    def one(x: np.ndarray):
-        return shapiro(x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)])
-
-    return _per_series(df, key, order, column, {"w": "double", "p_value": "double"}, one)
+    """W and p value of each series, from all its values, by Royston's approximation. Its p values were fitted on
+    up to 5,000 values: p_in_range says whether the series has no more (W holds for any number)."""
+    return _per_series(df, key, order, column, {"w": "double", "p_value": "double", "p_in_range": "boolean"}, lambda x: (*shapiro(x), len(x) <= most))
 
 
 def normality(df: DataFrame, column: str = "ret", limit: float = 0.05, *, key: str = "series_id", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Both tests and whether each keeps normality (p above the limit)."""
+    """Both tests and whether each keeps normality (p above the limit); shapiro_in_range as in shapiro_wilk."""
     jb = jarque_bera(df, column, key=key).select(key, "jb", F.col("p_value").alias("jb_p"))
-    sw = shapiro_wilk(df, column, key=key, order=order).select(key, F.col("w").alias("shapiro_w"), F.col("p_value").alias("shapiro_p"))
+    sw = shapiro_wilk(df, column, key=key, order=order).select(key, F.col("w").alias("shapiro_w"), F.col("p_value").alias("shapiro_p"), F.col("p_in_range").alias("shapiro_in_range"))
     return jb.join(sw, key).withColumns({"jb_normal": F.col("jb_p") > limit, "shapiro_normal": F.col("shapiro_p") > limit})
 
 

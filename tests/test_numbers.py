@@ -174,3 +174,16 @@ def test_generators(spark):
     assert generators.correlated_returns(spark, 50).count() == 500
     with pytest.raises(ValueError):
         generators.classification_set(spark, 3, 2, 2)
+
+
+def test_shapiro_takes_all_values(spark):
+    from quantmill.operators import reports
+
+    x = np.random.default_rng(4).normal(size=6001)
+    x[1::2] = np.abs(x[1::2]) ** 3
+    rows = [("long", i, float(v)) for i, v in enumerate(x)] + [("short", i, float(v)) for i, v in enumerate(x[:500])]
+    df = spark.createDataFrame(rows, "series_id string, ts int, ret double")
+    got = {r.series_id: r for r in reports.shapiro_wilk(df).collect()}
+    assert (got["long"].w, got["long"].p_value) == linalg.shapiro(x) and not got["long"].p_in_range
+    assert (got["short"].w, got["short"].p_value) == linalg.shapiro(x[:500]) and got["short"].p_in_range
+    assert {r.series_id: (r.shapiro_w, r.shapiro_in_range) for r in reports.normality(df).collect()} == {k: (r.w, r.p_in_range) for k, r in got.items()}
