@@ -97,13 +97,23 @@ def cv_score(estimator, data: DataFrame, folds: DataFrame, *, id_: str = "id", l
     """
     if scoring not in SCORERS:
         raise ValueError(f"scoring must be one of {sorted(SCORERS)}")
-    folds = folds.select("fold", id_, "role").persist()
+    kept = folds.select("fold", id_, "role").persist()
+    scores = _fold_scores(estimator, data, kept, fold_numbers(kept), id_=id_, label=label, weight=weight, scoring=scoring)
+    kept.unpersist()
+    return scores
+
+
+def fold_numbers(folds: DataFrame) -> list[int]:
+    return sorted(r[0] for r in folds.select("fold").distinct().collect())
+
+
+def _fold_scores(estimator, data: DataFrame, folds: DataFrame, numbers: Sequence[int], *, id_: str, label: str, weight: str | None, scoring: str) -> list[float]:
+    """Score of each of the folds; caches nothing, so that threads can share the folds."""
     scores = []
-    for k in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+    for k in numbers:
         part = lambda role, k=k: data.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(id_), id_)
         model = estimator.fit(part("train"))
         scores.append(SCORERS[scoring](_scored(model, part("test")), label=label, weight=weight))
-    folds.unpersist()
     return scores
 
 

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .crossval import SCORERS, _scored
+from .crossval import SCORERS, _fold_scores, _scored, fold_numbers
+
+
+#: Features whose jobs run side by side.
+AT_ONCE = 8
+
+
+def _each(spark: SparkSession, f: Callable, names: Sequence[str]) -> list:
+    """f(place, name) for each name in order, by threads of the driver: small jobs share the executors."""
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(min(AT_ONCE, max(1, len(names)))) as pool:
+        return pool.starmap(inheritable_thread_target(spark)(f), list(enumerate(names)), chunksize=1)
 
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:
@@ -64,9 +78,12 @@ def mda(estimator, data: DataFrame, names: Sequence[str], folds: DataFrame, *, i
         model = estimator.fit(assemble(part("train"), names))
         test = part("test").persist()
         base.append(score(_scored(model, assemble(test, names)), label=label, weight=weight))
-        for j, n in enumerate(names):
-            shuffled = permuted(test, n, seed + 2 * j, id_)
-            lost[n].append(score(_scored(model, assemble(shuffled, names)), label=label, weight=weight))
+
+        def shuffled(j: int, n: str, test=test, model=model) -> float:
+            return score(_scored(model, assemble(permuted(test, n, seed + 2 * j, id_), names)), label=label, weight=weight)
+
+        for n, v in zip(names, _each(data.sparkSession, shuffled, names), strict=True):
+            lost[n].append(v)
         test.unpersist()
     kept.unpersist()
     whole = lambda s: -s if scoring == "neg_log_loss" else 1 - s
@@ -78,9 +95,17 @@ def mda(estimator, data: DataFrame, names: Sequence[str], folds: DataFrame, *, i
 
 def sfi(estimator, data: DataFrame, names: Sequence[str], folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, scoring: str = "neg_log_loss") -> DataFrame:
     """Cross-validated score of each single feature: mean and (population) standard error."""
-    from .crossval import cv_score
-
-    rows = [(n, cv_score(estimator, assemble(data, [n]), folds, id_=id_, label=label, weight=weight, scoring=scoring)) for n in names]
+    if scoring not in SCORERS:
+        raise ValueError(f"scoring must be one of {sorted(SCORERS)}")
+    folds = folds.select("fold", id_, "role")
+    own = [f for f in (data, folds) if not (f.storageLevel.useMemory or f.storageLevel.useDisk)]  # what the caller caches stays
+    for f in own:
+        f.persist()
+    numbers = fold_numbers(folds)
+    scores = _each(data.sparkSession, lambda _, n: _fold_scores(estimator, assemble(data, [n]), folds, numbers, id_=id_, label=label, weight=weight, scoring=scoring), names)
+    rows = list(zip(names, scores, strict=True))
+    for f in own:
+        f.unpersist()
     return _summary(data.sparkSession, rows, 0)
 
 
@@ -113,16 +138,29 @@ def eigenvectors(dot: np.ndarray, threshold: float = 0.95) -> tuple[np.ndarray,
 
 
 def _standard(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
-    """Mean and deviation of each column, and the correlation matrix, from one aggregation."""
-    aggs = [f(n) for n in names for f in (F.avg, F.stddev_samp)]
-    aggs += [F.corr(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = df.agg(*aggs).first()
+    """Mean and deviation of each column, and the correlation matrix over the rows that have both columns: sums of
+    products of the centred columns, one matrix from each partition."""
+    k = len(names)
+    row = df.agg(*(f(n) for n in names for f in (F.avg, F.stddev_samp))).first()
     stats = {n: (row[2 * i], row[2 * i + 1]) for i, n in enumerate(names)}
-    corr, k = np.eye(len(names)), 2 * len(names)
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            corr[i, j] = corr[j, i] = row[k] if row[k] is not None else float(i == j)
-            k += 1
+    mean = np.array([stats[n][0] or 0.0 for n in names])
+
+    def sums(batches):
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x, m = np.where(there, x - mean, 0.0), there.astype(float)
+            total += np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+        yield pa.RecordBatch.from_pydict({"s": [total.tobytes()]})
+
+    parts = df.select(*(F.col(n).cast("double") for n in names)).mapInArrow(sums, "s binary").collect()
+    xy, sx, xx, n = sum((np.frombuffer(r[0]).reshape(4, k, k) for r in parts), np.zeros((4, k, k)))
+    n = np.maximum(n, 1)
+    flat = np.array([not stats[c][1] for c in names])
+    over = np.where(flat | flat[:, None], 0.0, np.maximum(xx - sx * sx / n, 0.0))
+    over = np.sqrt(over * over.T)
+    corr = np.where(over == 0, np.eye(k), (xy - sx * sx.T / n) / np.where(over == 0, 1.0, over))
     return stats, corr
 
 

@@ -16,7 +16,6 @@ from ..sources.tables import daily_bars, events_series, table
 from .common import BARS, Registry, r6, rounded, sql6
 
 R = Registry()
-NAMES = [f"f{i}" for i in range(8)]
 
 
 def _plain(name):
@@ -42,12 +41,13 @@ def random_monte_carlo(spark, d):
     return bootstrap.summary(bootstrap.random_monte_carlo(spark, iterations=2000))
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """id, t0, t1, label and eight features of the embeddings."""
+def samples(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """id, t0, t1, label and all components of the embeddings; and the names of these features."""
     e = table(spark, d, "embeddings")
+    names = [f"f{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     t0 = F.expr("TIMESTAMP_NTZ'2020-01-01 00:00:00'") + F.make_dt_interval(F.col("vec_id").cast("int"))
-    cols = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(NAMES)]
-    return e.select(F.col("vec_id").alias("id"), t0.alias("t0"), (t0 + F.make_dt_interval((F.col("vec_id") % 5 + 1).cast("int"))).alias("t1"), (F.col("label") % 2).cast("double").alias("label"), *cols)
+    cols = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    return e.select(F.col("vec_id").alias("id"), t0.alias("t0"), (t0 + F.make_dt_interval((F.col("vec_id") % 5 + 1).cast("int"))).alias("t1"), (F.col("label") % 2).cast("double").alias("label"), *cols), names
 
 
 def _folds(data: DataFrame, n: int = 3) -> DataFrame:
@@ -62,8 +62,8 @@ def _tree():
 
 @_plain("cv_score")
 def cv_score(spark, d):
-    data = samples(spark, d)
-    scores = crossval.cv_score(_tree(), importance.assemble(data, NAMES), _folds(data))
+    data, names = samples(spark, d)
+    scores = crossval.cv_score(_tree(), importance.assemble(data, names), _folds(data))
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(scores)], "fold int, score double")
 
 
@@ -71,8 +71,8 @@ def cv_score(spark, d):
 def hyper_fit(spark, d):
     from pyspark.ml.tuning import ParamGridBuilder
 
-    data, tree = samples(spark, d), _tree()
-    _, results = crossval.hyper_fit(tree, ParamGridBuilder().addGrid(tree.maxDepth, [1, 3]).build(), importance.assemble(data, NAMES), _folds(data))
+    (data, names), tree = samples(spark, d), _tree()
+    _, results = crossval.hyper_fit(tree, ParamGridBuilder().addGrid(tree.maxDepth, [1, 3]).build(), importance.assemble(data, names), _folds(data))
     return spark.createDataFrame([(int(list(p.values())[0]), float(s)) for s, p in results], "max_depth int, score double")
 
 
@@ -84,47 +84,51 @@ def _forest():
 
 @_plain("mdi")
 def mdi(spark, d):
-    model = _forest().fit(importance.assemble(samples(spark, d), NAMES))
-    return importance.mdi(importance.tree_importances(spark, model, NAMES))
+    data, names = samples(spark, d)
+    model = _forest().fit(importance.assemble(data, names))
+    return importance.mdi(importance.tree_importances(spark, model, names))
 
 
 @_plain("mda")
 def mda(spark, d):
-    data = samples(spark, d)
-    return importance.mda(_tree(), data, NAMES[:3], _folds(data, 2))[0]
+    data, names = samples(spark, d)
+    return importance.mda(_tree(), data, names, _folds(data, 2))[0]
 
 
 @_plain("sfi")
 def sfi(spark, d):
-    data = samples(spark, d)
-    return importance.sfi(_tree(), data, NAMES[:3], _folds(data, 2))
+    data, names = samples(spark, d)
+    return importance.sfi(_tree(), data, names, _folds(data, 2))
 
 
 @_plain("importance_analysis")
 def importance_analysis(spark, d):
-    data = samples(spark, d)
-    return importance.importance_analysis(data, NAMES[:3], _folds(data, 2), trees=5)
+    data, names = samples(spark, d)
+    return importance.importance_analysis(data, names, _folds(data, 2), trees=5)
 
 
 @_plain("sorted_importances")
 def sorted_importances(spark, d):
-    return importance.sorted_importances(spark, _forest().fit(importance.assemble(samples(spark, d), NAMES)), NAMES)
+    data, names = samples(spark, d)
+    return importance.sorted_importances(spark, _forest().fit(importance.assemble(data, names)), names)
 
 
 @_plain("orthogonal_features")
 def orthogonal_features(spark, d):
-    return importance.orthogonal(samples(spark, d), NAMES).drop(*NAMES)
+    data, names = samples(spark, d)
+    return importance.orthogonal(data, names).drop(*names)
 
 
 @_plain("pca_agreement")
 def pca_agreement(spark, d):
-    return importance.pca_agreement(samples(spark, d), {n: 1 / (i + 1) for i, n in enumerate(NAMES)})
+    data, names = samples(spark, d)
+    return importance.pca_agreement(data, {n: 1 / (i + 1) for i, n in enumerate(names)})
 
 
 def _bagged(spark, d, regression: bool):
-    data = samples(spark, d)
+    data, names = samples(spark, d)
     bars = data.select(F.col("t0").alias("ts"))
-    return SequentialBagging(NAMES, n_estimators=3, max_features=0.5, regression=regression, seed=2).fit(data, bars), data
+    return SequentialBagging(names, n_estimators=3, max_features=0.5, regression=regression, seed=2).fit(data, bars), data
 
 
 @_plain("bagged_oob")

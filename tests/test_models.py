@@ -112,3 +112,47 @@ def test_bagging_queries_cover_all_rows(spark, small_dir, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").select("vec_id").collect()}
     got = [r.id for r in plans.collected()[0][name](spark, small_dir).select("id").collect()]
     assert len(ids) > 300 and len(got) == len(ids) and set(got) == ids
+
+
+def test_correlations_equal_those_of_spark(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 2, (90, 4)) @ rng.normal(size=(4, 4))
+    rows = [[None if rng.random() < 0.2 else float(v) for v in r] + [7.1] for r in x]
+    names = list("abcde")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    stats, corr = importance._standard(df, names)
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    expected = df.agg(*(F.corr(names[i], names[j]) for i, j in pairs)).first()
+    assert [corr[i, j] for i, j in pairs] == pytest.approx(list(expected))
+    assert corr[4].tolist() == [0, 0, 0, 0, 1] and stats["e"][1] == 0
+
+
+def test_single_features_score_as_alone(data, folds):
+    got = {r.feature: (r.mean, r.std) for r in importance.sfi(tree(), data, NAMES, folds).collect()}
+    for n in NAMES:
+        a, b = crossval.cv_score(tree(), importance.assemble(data, [n]), folds)
+        assert got[n] == pytest.approx(((a + b) / 2, abs(a - b) / 2 / 2**0.5))
+    assert data.is_cached and data.storageLevel.useMemory
+
+
+@pytest.mark.parametrize("name", ["mda", "sfi", "mdi", "sorted_importances", "importance_analysis"])
+def test_importance_queries_cover_all_features(spark, small_dir, name):
+    from quantmill import plans
+
+    width = len(spark.read.parquet(f"{small_dir}/embeddings.parquet").first().embedding)
+    got = plans.collected()[0][name](spark, small_dir).collect()
+    methods = {r.method for r in got} if name == "importance_analysis" else {None}
+    assert width == 64 and len(got) == width * len(methods)
+    assert {r.feature for r in got} == {f"f{i}" for i in range(width)}
+    if name in ("sfi", "importance_analysis"):  # the score of some fold is never 0 (which a missing one would be)
+        assert all(r.mean != 0 for r in got if name == "sfi" or r.method == "sfi")
+
+
+def test_samples_hold_all_components(spark, small_dir):
+    from quantmill.plans import models
+
+    data, names = models.samples(spark, small_dir)
+    rows = spark.read.parquet(f"{small_dir}/embeddings.parquet").collect()
+    assert {r.id: [r[n] for n in names] for r in data.collect()} == {r.vec_id: list(r.embedding) for r in rows}
