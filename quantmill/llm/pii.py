@@ -16,7 +16,9 @@ columns and names its helpers so that they cannot clash.
 
 The patterns are the plain ones of each kind, written so that a long run of characters
 is read once: possessive repeats where giving back cannot help, and a start only at the
-beginning of a run or right after the previous match.
+beginning of a run or right after the previous match. An IBAN is as long as its country's
+are, whatever follows it (a country that is not listed takes the whole run); IBANs are
+proposed at every start, also inside of a proposal that fails.
 """
 
 from __future__ import annotations
@@ -32,13 +34,28 @@ MIN_SCORE = 0.5
 #: Code points on each side of a span in which context words count.
 NEAR = 40
 
+#: Characters of an IBAN by country: the registry's, then those in use outside of it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Group 1 is the IBAN that starts here; one letter is consumed, so that proposals may overlap."""
+    known = {n: c.replace(" ", "|") for n, c in IBAN_LENGTHS.items()}
+    shapes = [rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in known.items()]
+    other = rf"(?!{'|'.join(known.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join([*shapes, other])})(?![A-Za-z0-9])))[A-Z]"
+
+
 #: Kind: a substring or pattern without which there is no match, and the pattern.
 PATTERNS = {
     "email": (lambda t: t.contains("@"), r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     "card": (lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": (lambda t: t.rlike(r"[A-Z][A-Z][0-9][0-9]"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    "iban": (lambda t: t.rlike(r"[A-Z][A-Z][0-9][0-9]"), _iban()),
     "ssn": (lambda t: t.rlike(r"[0-9]-[0-9][0-9]-[0-9]"), r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
 }
 #: Score of a confirmed span before its context, and the words that raise it.
@@ -111,13 +128,16 @@ SPAN = "array<struct<start:int,k:int,end:int,score:double>>"
 def _found(kind: str, text: Column, k: int) -> Column:
     """Confirmed spans of one kind: structs of start, k (place of the kind), end, score."""
     hint, pattern = PATTERNS[kind]
+    ahead = kind == "iban"  # the match is looked at; its first letter is consumed
+    taken = (lambda m: F.when(m.isNotNull(), 1)) if ahead else F.length
 
     def spans(p: Column) -> Column:
-        at = _prefix_sums(F.transform(F.arrays_zip(p["g"].alias("g"), p["m"].alias("m")), lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        at = _prefix_sums(F.transform(F.arrays_zip(p["g"].alias("g"), p["m"].alias("m")), lambda x: F.length(x["g"]) + F.coalesce(taken(x["m"]), F.lit(0))))
 
         def one(x: Column, first: Column) -> Column:
             start = first + F.length(x["g"])
-            near = F.lower(F.concat(F.substring(F.substring(x["g"], -NEAR, NEAR), 1, NEAR), F.lit(" "), F.substring(x["n"], 1, NEAR)))
+            after = F.substring(x["n"], F.length(x["m"]) - taken(x["m"]) + 1, F.lit(NEAR)) if ahead else F.substring(x["n"], 1, NEAR)
+            near = F.lower(F.concat(F.substring(F.substring(x["g"], -NEAR, NEAR), 1, NEAR), F.lit(" "), after))
             score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0))
             return F.struct(start.cast("int").alias("start"), F.lit(k).alias("k"), (start + F.length(x["m"])).cast("int").alias("end"), score.cast("double").alias("score"), x["m"].alias("m"))
 
@@ -127,7 +147,7 @@ def _found(kind: str, text: Column, k: int) -> Column:
         kept = F.filter(made, lambda s: _confirmed(kind, s["m"]) & (F.lit(kind in BASE_KINDS) | (s["score"] >= MIN_SCORE)))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["score"].alias("score")))
 
-    parts = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    parts = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))).alias("m"))
     found = let(parts, lambda p: F.when(F.size(p["m"]) > 0, spans(p)))
     return F.coalesce(F.when(hint(text), found), F.array().cast(SPAN))
 

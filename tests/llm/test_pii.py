@@ -58,3 +58,16 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
     assert pii.find_pii(docs).columns == [*docs.columns, "pii"]
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def test_ibans_end_where_their_country_says(spark):
+    texts = {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": "iban:5:27", "GB82 WEST 1234 5698 7654 32 REF": "iban:0:27", "GB82 WEST 1234 5698 7654 32 2024-01-01": "iban:0:27",
+        "DE89370400440532013000 GB82 WEST 1234 5698 7654 32": "iban:0:22,iban:23:50", "AT12 DE89 3704 0044 0532 0130 00 X": "iban:5:32", "ZZ99 DE89370400440532013000": "iban:5:27",
+        "NO9386011117947": "iban:0:15", "MT84MALT011000012345MTLCAST001S": "iban:0:31", "DE89370400440532013000X": "", "DE88370400440532013000 BIC": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(s for s in r.spans.split(",") if s.startswith("iban")) for r in pii.digest(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[0] == "IBAN <IBAN> BIC COBADEFFXXX" and out[2] == "<IBAN> 2024-01-01"
