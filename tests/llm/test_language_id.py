@@ -30,3 +30,22 @@ def test_edges(spark):
     assert sorted({(r.lang_pred, r.score) for r in got}) == [("en", 1.0), ("und", 0.0)]
     kept = lang.keep_identified(one)
     assert kept.schema == one.schema and kept.count() == 10
+
+STRANGE = [
+    "zxqj vkkq xxzz qqpw", "asdf jkl qwer uiop zxcv", "Съешь же ещё этих мягких французских булок", "我能吞下玻璃而不伤身体", "aaaaaaaaaaaaaaaaaa", "x", "qz " * 200,
+    "Kto rano wstaje temu Pan Bóg daje, a kto późno chodzi, sam sobie szkodzi", "これは日本語の文章です", "dGhpcyBpcyBiYXNlNjQgZGF0YQ== QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "Minä olen suomalainen ja asun Helsingissä", "0x3f a9 ff de ad be ef",
+]
+
+
+def test_junk_and_languages_never_learned_are_rejected(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(STRANGE)], docs.schema)
+    kept = {r.doc_id for r in lang.keep_identified(docs.unionAll(strange)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_one_decision_needs_the_root(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text", "lang").where("lang in ('en', 'de')")
+    strange = spark.createDataFrame([(-1, STRANGE[2], None), (-2, STRANGE[3], None)], docs.schema)
+    kept = [r.doc_id for r in lang.keep_identified(docs.unionAll(strange)).select("doc_id").collect()]
+    assert min(kept) >= 0 and len(kept) > 0.99 * docs.count()
