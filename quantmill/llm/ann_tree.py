@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import in_arrow, written
 
 K = 20
 QUERY_EVERY = 20
@@ -151,7 +151,7 @@ def _top(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, width: int, k
                 a, b, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return in_arrow(vectors.select("vec_id", "v"), run, "query_id bigint, vec_id bigint, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -193,7 +193,7 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
             leaf = shared.value.assign(lifted(matrix(batch.column("v"), width), top_norm))
             yield batch.append_column("leaf", pa.array(leaf))
 
-    placed = written(rows.mapInArrow(to_leaf, "vec_id bigint, v array<double>, leaf bigint"), "placed")
+    placed = written(in_arrow(rows, to_leaf, "vec_id bigint, v array<double>, leaf bigint"), "placed")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
         sizes[r["leaf"]] = r["count"]
@@ -233,7 +233,7 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
                 row, block, n = (np.array(c, np.int64) for c in zip(*opened, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([q[i] for i in row], pa.int64()), batch.column("v").take(pa.array(row)), pa.array(block), pa.array(n)], ["query_id", "q", "block", "n"])
 
-    walked = written(queries.mapInArrow(to_visits, "query_id bigint, q array<double>, block bigint, n bigint"), "walks")
+    walked = written(in_arrow(queries, to_visits, "query_id bigint, q array<double>, block bigint, n bigint"), "walks")
     asked = np.zeros(len(parts), np.int64)
     for r in walked.groupBy("block").count().collect():  # one row for each block
         asked[r["block"]] = r["count"]

@@ -1,13 +1,20 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each shard (a run of documents of bounded size) gets a suffix array over its words;
-every suffix of every benchmark item is binary-searched in it, which yields the
-longest verbatim match, all its places and hence the documents to remove.
+Each shard (a run of documents of bounded size) gets a suffix array over its words. Every
+suffix of every benchmark item is binary-searched in it to its own end, which yields its
+longest verbatim match; where that holds a whole window, all its places are read off the
+array, and from each place the longest match gives the hit words, the item and hence the
+document to remove. A match that merely continues one a word earlier is not told again.
 
 Only stretches of training words that are all known to the benchmark, and long enough
 to hold a window, enter the array: a suffix elsewhere cannot match a whole window, so
 nothing is lost and the array stays a small part of the shard.
 
+The benchmark goes in blocks of bounded bytes (an item beyond that in pieces that overlap
+by a window less one word), each a broadcast file that a task loads, searches and lets go;
+so neither the driver nor a worker holds more than one block, and one pass over the
+documents does for any number of them. The work is the product of shards and blocks.
+
 A window is ``window`` consecutive words of an item; an item of fewer words, but not
 none, is one window. Null text has no words. Rows with a null item_id count as items
 without a name: their windows hit, but they are not listed. Repeated rows are judged
@@ -18,23 +25,27 @@ text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .shared import text_bytes
+from .shared import in_arrow, text_bytes
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass broadcasts; a larger benchmark takes more passes.
-BENCHMARK_BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text of one block.
+BENCHMARK_BLOCK_BYTES = 4 << 20
 #: Bytes of training text of one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Benchmark suffixes that are searched at once, and occurrences looked at at once.
+SEARCHED, LOOKED_AT = 1 << 14, 1 << 18
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -78,16 +89,19 @@ def _compare(train: np.ndarray, at: np.ndarray, test: np.ndarray, start: np.ndar
     return common, less
 
 
-def _search(train, order, test, start, most, after: bool) -> np.ndarray:
-    """First place in order whose suffix is not below (after: is above) the test prefix."""
-    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(order), np.int64)
-    while (lo < hi).any():
-        mid = (lo + hi) // 2
-        common, less = _compare(train, order[np.minimum(mid, len(order) - 1)], test, start, most)
-        right = less | (after & (common >= most))
-        active = lo < hi
-        lo, hi = np.where(active & right, mid + 1, lo), np.where(active & ~right, mid, hi)
-    return lo
+def _search(train, order, test, start, most, low, high, after: bool) -> np.ndarray:
+    """First place of order from low to high whose suffix is not below (after: is above) the test prefix."""
+    out = np.empty(len(start), np.int64)
+    for cut in range(0, len(start), SEARCHED):
+        part = slice(cut, cut + SEARCHED)
+        at, size, lo, hi = start[part], most[part], low[part].copy(), high[part].copy()
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) // 2
+            common, less = _compare(train, order[mid], test, at[open_], size[open_])
+            right = less | (after & (common >= size[open_]))
+            lo[open_], hi[open_] = np.where(right, mid + 1, lo[open_]), np.where(right, hi[open_], mid)
+        out[part] = lo
+    return out
 
 
 @dataclass
@@ -97,6 +111,7 @@ class Benchmark:
     known: np.ndarray  # sorted word hashes
     words: np.ndarray  # word numbers of all items, each followed by 0
     start: np.ndarray  # of each suffix
+    place: np.ndarray  # its first word's place in its item
     left: np.ndarray  # its words up to the item's end
     item: np.ndarray  # its item
     window: np.ndarray  # the words of the window that starts there; 0: none
@@ -105,111 +120,156 @@ class Benchmark:
 
     @classmethod
     def of(cls, items: list[tuple], window: int) -> Benchmark:
-        data, offsets = textkit.buffers(pa.array([bytes(t or b"") for _, t in items], pa.binary()))
+        """items: name, text, and the place of the text's first word in its item."""
+        data, offsets = textkit.buffers(pa.array([t for _, t, _ in items], pa.binary()))
         h, first = textkit.words(data, offsets)
         known = np.unique(h)
         size = np.diff(first)
-        number = np.searchsorted(known, h) + 1
         row = np.repeat(np.arange(len(items)), size)
         start = np.arange(len(h)) + row
-        words = np.zeros(len(h) + len(items), np.int64)
-        words[start] = number
-        place = np.arange(len(h)) - first[:-1][row]
-        left = size[row] - place
+        words = np.zeros(len(h) + len(items), np.int32)
+        words[start] = np.searchsorted(known, h) + 1
+        at = np.arange(len(h)) - first[:-1][row]
+        left = size[row] - at
         length = np.minimum(size, window)[row]
-        has = (left >= window) | ((size[row] < window) & (place == 0))
-        return cls(known, words, start, left, row, np.where(has, length, 0), [n for n, _ in items], int(length.min()) if len(h) else 0)
+        has = (left >= window) | ((size[row] < window) & (at == 0))
+        place = at + np.array([p for _, _, p in items], np.int64)[row]
+        return cls(known, words, *(x.astype(np.int32) for x in (start, place, left, row, np.where(has, length, 0))), [n for n, _, _ in items], int(length.min()) if len(h) else 0)
 
 
 @dataclass
-class Shard:
-    """What one suffix array shows: the places of windows and of longest matches."""
+class Matches:
+    """Longest verbatim matches in one shard, each holding a window."""
 
-    first: np.ndarray  # of each document's words
-    begin: np.ndarray  # word place of a window's occurrence
-    length: np.ndarray
-    item: np.ndarray
+    begin: np.ndarray  # word place in the shard
+    length: np.ndarray  # words
     suffix: np.ndarray  # which benchmark suffix
 
-    def longest(self, bench: Benchmark, train_numbers: np.ndarray) -> np.ndarray:
-        """Words of the longest verbatim match from each occurrence on."""
-        document = np.searchsorted(self.first, self.begin, side="right") - 1
-        most = np.minimum(bench.left[self.suffix], self.first[document + 1] - self.begin)
-        if not len(most):
-            return most
-        return _compare(train_numbers, self.begin, bench.words, bench.start[self.suffix], most)[0]
-
 
-def scan(data: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> tuple[Shard, np.ndarray]:
-    """Search all windows of the benchmark in one shard."""
-    h, first = textkit.words(data, offsets)
-    none = np.zeros(0, np.int64)
-    if not len(h) or not len(bench.known):
-        return Shard(first, none, none, none, none), np.zeros(len(h), np.int64)
-    place = np.minimum(np.searchsorted(bench.known, h), len(bench.known) - 1)
-    number = np.where(bench.known[place] == h, place + 1, 0)
-    # stretches of known words within a document, at least as long as the shortest window
+def _stretches(number: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of the runs of known words within a document, at least as long as the shortest window."""
     known = number > 0
     opens, closes = known.copy(), known.copy()
     opens[1:] &= ~known[:-1]
     closes[:-1] &= ~known[1:]
     inner = first[1:-1]
-    inner = inner[(inner > 0) & (inner < len(h))]
+    inner = inner[(inner > 0) & (inner < len(known))]
     opens[inner] = known[inner]
     closes[inner - 1] = known[inner - 1]
     s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    keep = e - s >= bench.shortest
-    s, size = s[keep], (e - s)[keep]
+    keep = e - s >= shortest
+    return s[keep], (e - s)[keep]
+
+
+def scan(h: np.ndarray, first: np.ndarray, bench: Benchmark) -> Matches:
+    """Search all suffixes of the benchmark block in one shard of hashed words."""
+    none = np.zeros(0, np.int64)
+    if not len(h) or not len(bench.known):
+        return Matches(none, none, none)
+    place = np.minimum(np.searchsorted(bench.known, h), len(bench.known) - 1)
+    number = np.where(bench.known[place] == h, place + 1, 0).astype(np.int32)
+    s, size = _stretches(number, first, bench.shortest)
     if not len(s):
-        return Shard(first, none, none, none, none), number
-    at = np.repeat(np.cumsum(size + 1) - size - 1, size) + (offset := np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        return Matches(none, none, none)
+    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(np.cumsum(size + 1) - size - 1, size) + offset
     original = np.repeat(s, size) + offset
-    train, back = np.zeros(int(size.sum()) + len(size), np.int64), np.full(int(size.sum()) + len(size), -1, np.int64)
+    train, back = np.zeros(len(at) + len(size), np.int32), np.full(len(at) + len(size), -1, np.int64)
     train[at], back[at] = number[original], original
-    order = suffix_array(train)
-    wanted = np.flatnonzero(bench.window)
-    start, most = bench.start[wanted], bench.window[wanted]
-    low = _search(train, order, bench.words, start, most, False)
-    high = _search(train, order, bench.words, start, most, True)
-    times = high - low
-    which = np.repeat(np.arange(len(wanted)), times)
-    found = back[order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]]
-    suffix = wanted[which]
-    return Shard(first, found, most[which], bench.item[suffix], suffix), number
-
-
-def _runs(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merged hit runs: document, first word, one past the last (places in the document)."""
-    if not len(shard.begin):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    change = np.zeros(int(shard.first[-1]) + 1, np.int64)
-    np.add.at(change, shard.begin, 1)
-    np.add.at(change, shard.begin + shard.length, -1)
-    hit = np.cumsum(change)[:-1] > 0
-    opens, closes = hit.copy(), hit.copy()
-    opens[1:] &= ~hit[:-1]
-    closes[:-1] &= ~hit[1:]
-    cut = shard.first[1:-1]
-    cut = cut[(cut > 0) & (cut < len(hit))]
-    opens[cut] = hit[cut]
-    closes[cut - 1] = hit[cut - 1]
-    s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    row = np.searchsorted(shard.first, s, side="right") - 1
-    return row, s - shard.first[row], e - shard.first[row]
-
-
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of bounded bytes, streamed through the driver."""
+    order, sorted_words = suffix_array(train), np.sort(train)
+
+    # every suffix to its own end: the longest match is that with one of its neighbours in the array
+    word = bench.words[bench.start]
+    low, high = np.searchsorted(sorted_words, word), np.searchsorted(sorted_words, word, side="right")
+    wanted = np.flatnonzero(low < high)
+    low, high, start, left = low[wanted], high[wanted], bench.start[wanted], bench.left[wanted]
+    stands = _search(train, order, bench.words, start, left, low, high, False)
+    longest = np.zeros(len(wanted), np.int64)
+    for cut in range(0, len(wanted), SEARCHED):
+        part = slice(cut, cut + SEARCHED)
+        for near in (stands[part] - 1, stands[part]):
+            common, _ = _compare(train, order[np.clip(near, 0, len(order) - 1)], bench.words, start[part], left[part])
+            longest[part] = np.maximum(longest[part], common)
+
+    # where it holds a window, all places that share that window
+    window = bench.window[wanted]
+    holds = np.flatnonzero((window > 0) & (longest >= window))
+    wanted, start, left, window, stands = wanted[holds], start[holds], left[holds], window[holds], stands[holds]
+    # the suffix may stand between places that share its window, or (if it matches to its end) before them
+    begin = _search(train, order, bench.words, start, window, low[holds], stands, False)
+    times = _search(train, order, bench.words, start, window, stands, high[holds], True) - begin
+    found: list[tuple] = []
+    total = np.concatenate([[0], np.cumsum(times)])
+    lo = 0
+    while lo < len(wanted):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + LOOKED_AT, side="right")) - 1)
+        t = times[lo:hi]
+        which = np.repeat(np.arange(lo, hi), t)
+        spot = order[np.repeat(begin[lo:hi], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)]
+        continues = (bench.left[wanted[which] - 1] == left[which] + 1) & (start[which] > 0) & (spot > 0) & (train[spot - 1] == bench.words[start[which] - 1])
+        which, spot = which[~continues], spot[~continues]
+        for cut in range(0, len(which), SEARCHED):
+            w, x = which[cut : cut + SEARCHED], spot[cut : cut + SEARCHED]
+            common, _ = _compare(train, x, bench.words, start[w], left[w])
+            found.append((back[x], common, wanted[w]))
+        lo = hi
+    return Matches(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else Matches(none, none, none)
+
+
+def _hit_words(matches: Matches, n_words: int) -> np.ndarray:
+    change = np.zeros(n_words + 1, np.int64)
+    np.add.at(change, matches.begin, 1)
+    np.add.at(change, matches.begin + matches.length, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _pieces(text: bytes, window: int) -> Iterator[tuple[bytes, int]]:
+    """A text of more than a block's bytes in pieces; every window stands in one of them. Yields the piece and its first word's place."""
+    if len(text) <= BENCHMARK_BLOCK_BYTES:
+        yield text, 0
+        return
+    begin, at, starts, end = 0, 0, [], 0
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text):
+        # words from `at` on; the last window - 1 of a piece also begin the next
+        if m.end() - begin > BENCHMARK_BLOCK_BYTES and len(starts) >= 2 * window:
+            yield text[begin:end], at
+            at += len(starts) - (window - 1)
+            starts = starts[len(starts) - (window - 1) :]
+            begin = starts[0] if starts else m.start()
+        starts.append(m.start())
+        end = m.end()
+    yield text[begin:end], at
+
+
+def _blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """The benchmark in blocks of bounded bytes; the driver holds one at a time and leaves it in a file."""
+    context = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), text_bytes().alias("t"))
-    items, size = [], 0
+    out, items, size = [], [], 0
     for i, t in rows.toLocalIterator():
-        if items and size + len(t) > BENCHMARK_BLOCK_BYTES:
-            yield Benchmark.of(items, window)
-            items, size = [], 0
-        items.append((i, bytes(t)))
-        size += len(t)
-    yield Benchmark.of(items, window)
+        for piece, place in _pieces(bytes(t), window):
+            if items and size + len(piece) > BENCHMARK_BLOCK_BYTES:
+                out.append(context.broadcast(Benchmark.of(items, window)))
+                items, size = [], 0
+            items.append((i, piece, place))
+            size += len(piece)
+    if items:
+        out.append(context.broadcast(Benchmark.of(items, window)))
+    return out
+
+
+def _loaded(blocks: list[Broadcast]) -> Iterator[Benchmark]:
+    """One block after the other; only a single one stays in the worker."""
+    for block in blocks:
+        yield block.value if len(blocks) == 1 or not block._path else block.load_from_path(block._path)
+
+
+def _shards(batches, text: str) -> Iterator[tuple]:
+    """Parts of batches of bounded bytes with the hashes of their words and where each row's begin."""
+    for batch in batches:
+        data, offsets = textkit.buffers(batch.column(text))
+        for lo, hi in textkit.ranges(offsets, SHARD_BYTES, 8192):
+            yield batch.slice(lo, hi - lo), *textkit.words(data, offsets[lo : hi + 1])
 
 
 def _digest(names: list) -> str:
@@ -222,125 +282,65 @@ RESULT = T.StructType([
 ])
 
 
-def _judged(columns: list[str], text_at: int, bench: Benchmark, only_clean: bool):
-    """A mapInArrow function over one benchmark block: judge, or keep the clean rows."""
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column(text_at)
-            data, offsets = textkit.buffers(text)
-            for lo, hi in textkit.ranges(offsets, SHARD_BYTES, 8192):
-                shard, _ = scan(data, offsets[lo : hi + 1], bench)
-                row, begin, end = _runs(shard)
-                hit = np.bincount(row, end - begin, minlength=hi - lo).astype(np.int64)
-                part = batch.slice(lo, hi - lo)
-                if only_clean:
-                    yield part.filter(pa.array(hit == 0)).select(columns)
-                    continue
-                document = np.searchsorted(shard.first, shard.begin, side="right") - 1
-                pairs = np.unique(np.stack([document, shard.item]), axis=1) if len(document) else np.zeros((2, 0), np.int64)
-                names: dict[int, set] = {}
-                for d, i in pairs.T:
-                    if bench.names[i] is not None:
-                        names.setdefault(int(d), set()).add(bench.names[i])
-                blank = _digest([])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), pa.array(np.diff(shard.first)), pa.array(hit), pa.array([len(names.get(k, ())) for k in range(hi - lo)], pa.int64()), pa.array([_digest(list(names[k])) if k in names else blank for k in range(hi - lo)], pa.string()), pa.array(hit > 0)],
-                    [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return run
-
-
-def _partial(bench: Benchmark):
-    """As _judged for one of several blocks: hit runs and names, to be merged."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    blocks = _blocks(benchmark, window)
+    rows = documents.select("doc_id", "text")
 
     def run(batches):
-        for batch in batches:
-            data, offsets = textkit.buffers(batch.column("t"))
-            for lo, hi in textkit.ranges(offsets, SHARD_BYTES, 8192):
-                shard, _ = scan(data, offsets[lo : hi + 1], bench)
-                row, begin, end = _runs(shard)
-                document = np.searchsorted(shard.first, shard.begin, side="right") - 1
-                runs: list[list] = [[] for _ in range(hi - lo)]
-                names: list[set] = [set() for _ in range(hi - lo)]
-                for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    runs[r].append({"b": b, "e": e})
-                for d, i in {(int(d), int(i)) for d, i in zip(document, shard.item, strict=True)}:
+        blank = _digest([])
+        for part, h, first in _shards(batches, "text"):
+            hit, names = np.zeros(len(h), bool), {}
+            for bench in _loaded(blocks):
+                found = scan(h, first, bench)
+                hit |= _hit_words(found, len(h))
+                document = np.searchsorted(first, found.begin, side="right") - 1
+                for d, i in np.unique(np.stack([document, bench.item[found.suffix]]), axis=1).T.tolist():
                     if bench.names[i] is not None:
-                        names[d].add(bench.names[i])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(np.diff(shard.first)), pa.array(runs, pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["doc_id", "k", "n_words", "runs", "names"])
-
-    return run
+                        names.setdefault(d, set()).add(bench.names[i])
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(names.get(k, ())) for k in range(len(n_hit))], pa.int64()), pa.array([_digest(list(names[k])) if k in names else blank for k in range(len(n_hit))], pa.string()), pa.array(n_hit > 0)],
+                ["doc_id", *(f.name for f in RESULT)],
+            )
 
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    blocks = _blocks(benchmark, window)
-    block = next(blocks)
-    rows = documents.select("doc_id", text_bytes().alias("t"))
-    more = next(blocks, None)
-    if more is None:
-        schema = T.StructType([rows.schema["doc_id"], *RESULT.fields])
-        return rows.mapInArrow(_judged(["doc_id"], 1, block, False), schema)
-    # Several blocks: a document's runs are merged by its id and text, repeats by their number.
-    rows = rows.withColumn("k", F.xxhash64("t"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k bigint, n_words bigint, runs array<struct<b:bigint,e:bigint>>, names array<string>"
-    out, count = None, 0
-    while block is not None:
-        part = rows.mapInArrow(_partial(block), schema).withColumn("block", F.lit(count))
-        out = part if out is None else out.unionAll(part)
-        block, more, count = more, next(blocks, None), count + 1
-    merged = out.groupBy("doc_id", "k").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), (F.count("*") / count).cast("int").alias("times")
-    )
-    covered = F.aggregate(
-        F.array_sort("runs"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to")),
-        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("bigint"), x["e"] - F.greatest(x["b"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
-    )["n"]
-    digest = F.sha2(F.array_join("names", ",").cast("binary"), 256)
-    return merged.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("doc_id", "n_words", covered.alias("n_hit"), F.size("names").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    return in_arrow(rows, run, T.StructType([rows.schema["doc_id"], *RESULT.fields]))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches with their places.
 
-    One row for each occurrence of a window that does not merely continue a match one
-    word earlier: doc_id, item_id, doc_word, item_word, n_words (of the longest match).
+    One row for each match that holds a window and does not merely continue a match one
+    word earlier: doc_id, item_id, doc_word, item_word, n_words. A match inside an item of
+    more than a block's bytes ends where its piece does, and goes on in the next row.
     """
-    out = None
-    rows = documents.select("doc_id", text_bytes().alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    for bench in _blocks(benchmark, window):
-
-        def run(batches, bench=bench):
-            for batch in batches:
-                data, offsets = textkit.buffers(batch.column("t"))
-                for lo, hi in textkit.ranges(offsets, SHARD_BYTES, 8192):
-                    shard, number = scan(data, offsets[lo : hi + 1], bench)
-                    size = shard.longest(bench, number)
-                    document = np.searchsorted(shard.first, shard.begin, side="right") - 1
-                    item_word = bench.start[shard.suffix] - np.searchsorted(bench.item, shard.item) - shard.item
-                    doc_word = shard.begin - shard.first[document]
-                    seen = {(d, i, w, v) for d, i, w, v in zip(document.tolist(), shard.item.tolist(), doc_word.tolist(), item_word.tolist(), strict=True)}
-                    keep = np.array([(d, i, w - 1, v - 1) not in seen for d, i, w, v in zip(document.tolist(), shard.item.tolist(), doc_word.tolist(), item_word.tolist(), strict=True)], bool)
-                    names = pa.array([bench.names[i] for i in shard.item[keep]], pa.string())
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(document[keep])), names, pa.array(doc_word[keep]), pa.array(item_word[keep]), pa.array(size[keep])], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
-
-        part = rows.mapInArrow(run, f"doc_id {kind}, item_id string, doc_word bigint, item_word bigint, n_words bigint")
-        out = part if out is None else out.unionAll(part)
-    return out
+    blocks = _blocks(benchmark, window)
+    rows = documents.select("doc_id", "text")
+
+    def run(batches):
+        for part, h, first in _shards(batches, "text"):
+            for bench in _loaded(blocks):
+                found = scan(h, first, bench)
+                document = np.searchsorted(first, found.begin, side="right") - 1
+                names = pa.array([bench.names[i] for i in bench.item[found.suffix]], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(document)), names, pa.array(found.begin - first[document]), pa.array(bench.place[found.suffix].astype(np.int64)), pa.array(found.length)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+    return in_arrow(rows, run, T.StructType([rows.schema["doc_id"], T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("doc_word", "item_word", "n_words"))]))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    out, names = documents, documents.columns
-    helper = "__text_bytes"
-    for bench in _blocks(benchmark, window):
-        rows = out.withColumn(helper, text_bytes())
-        out = rows.mapInArrow(_judged(names, len(names), bench, True), documents.schema)
-    return out
+    blocks = _blocks(benchmark, window)
+
+    def run(batches):
+        for part, h, first in _shards(batches, "text"):
+            held = np.zeros(len(first) - 1, bool)
+            for bench in _loaded(blocks):
+                found = scan(h, first, bench)
+                held[np.searchsorted(first, found.begin, side="right") - 1] = True
+            yield part.filter(pa.array(~held))
+
+    return in_arrow(documents, run, documents.schema)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

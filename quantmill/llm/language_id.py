@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .shared import text_bytes
+from .shared import in_arrow, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -205,7 +205,7 @@ def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most
                 ok = has_letter(batch.column("t").slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([v.tobytes() if k else None for v, k in zip(x, ok, strict=True)], pa.binary())], ["lang", "x"])
 
-    got = [(r["lang"], bytes(r["x"])) for r in rows.mapInArrow(vectors, "lang string, x binary").where("x is not null").collect()]
+    got = [(r["lang"], bytes(r["x"])) for r in in_arrow(rows, vectors, "lang string, x binary").where("x is not null").collect()]
     got.sort()
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, (_, v) in enumerate(got):
@@ -214,7 +214,8 @@ def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most
 
 
 def _predict(model: Model, column: pa.Array):
-    """Language and score of each text of a binary column."""
+    """Language and score of each text."""
+    column = textkit.as_binary(column)
     data, offsets = textkit.buffers(column)
     for lo, hi in textkit.ranges(offsets, textkit.BLOCK, 512):
         lang, score = model.predict(features(data, offsets[lo : hi + 1]))
@@ -235,20 +236,18 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return in_arrow(rows, run, T.StructType([rows.schema["doc_id"], rows.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is identified with a sufficient score, with all their columns."""
     model = train(documents)
     shared, least = documents.sparkSession.sparkContext.broadcast(model), model.least(least_score)
-    names = documents.columns
-    rows = documents.withColumn("__text_bytes", text_bytes())
 
     def run(batches):
         for batch in batches:
-            for lo, hi, lang, score in _predict(shared.value, batch.column(len(names))):
+            for lo, hi, lang, score in _predict(shared.value, batch.column("text")):
                 enough = score >= np.array([least.get(c, 0.0) for c in lang])
-                yield batch.slice(lo, hi - lo).filter(pa.array((lang != UNKNOWN) & enough)).select(names)
+                yield batch.slice(lo, hi - lo).filter(pa.array((lang != UNKNOWN) & enough))
 
-    return rows.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)

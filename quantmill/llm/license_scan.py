@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textkit
-from .shared import text_bytes
+from .shared import in_arrow, text_bytes
 
 #: Phrases and their labels (fixed values).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -223,4 +223,4 @@ def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] | None =
                     ["doc_id", *(f.name for f in RESULT)],
                 )
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *RESULT]))
+    return in_arrow(rows, run, T.StructType([rows.schema["doc_id"], *RESULT]))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .shared import text_bytes, written
+from .shared import in_arrow, text_bytes, written
 
 DOMAINS = ("high", "low", "toxic")
 #: Shares of tokens aimed at.
@@ -139,7 +139,7 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROW
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), lists, pa.array([d.tobytes() for d in dense], pa.binary())], ["doc_id", "y", "b", "d"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(gather, f"doc_id {kind}, y int, b binary, d binary").collect(), key=lambda r: (r["doc_id"], bytes(r["d"])))
+    got = sorted(in_arrow(rows, gather, f"doc_id {kind}, y int, b binary, d binary").collect(), key=lambda r: (r["doc_id"], bytes(r["d"])))
     return fit([np.frombuffer(bytes(r["b"]), np.int32) for r in got], np.array([np.frombuffer(bytes(r["d"])) for r in got]).reshape(len(got), len(_MARKS) + 3), np.array([r["y"] for r in got], np.int64))
 
 
@@ -151,18 +151,18 @@ def posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
     new = [f.name for f in _JUDGED]
     names = [c for c in documents.columns if c not in (*new, "rate", "copies")]
-    rows = documents.select(*names, text_bytes().alias("__text_bytes"))
+    rows = documents.select(names)
 
     def run(batches):
         for batch in batches:
-            data, offsets = textkit.buffers(batch.column(len(names)))
+            data, offsets = textkit.buffers(batch.column("text"))
             for lo, hi in textkit.ranges(offsets):
                 row, bucket, n_words, dense = word_sets(data, offsets[lo : hi + 1])
                 p = shared.value.posteriors(hi - lo, row, bucket, dense)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(n_words), *(pa.array(p[:, d]) for d in range(len(DOMAINS)))], [*names, *new])
 
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), *_JUDGED]))
+    return in_arrow(rows, run, T.StructType([*(rows.schema[c] for c in names), *_JUDGED]))
 
 
 def rates(tokens: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:

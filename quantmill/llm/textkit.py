@@ -1,4 +1,4 @@
-"""Vectorised word hashing over Arrow binary columns.
+"""Vectorised word hashing over Arrow binary or string columns.
 
 A word is a maximal run of ASCII letters, digits and non-ASCII bytes, with A-Z
 lower-cased: the byte form of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` on
@@ -50,13 +50,19 @@ def _power(n: int, base: np.uint64) -> np.ndarray:
     return _powers[key]
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a binary column; nulls are empty."""
+def as_binary(column: pa.Array) -> pa.Array:
+    """The bytes of a string column (its own buffers, without a copy unless there are nulls); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, b"")
-    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    return pc.fill_null(column, b"") if column.null_count else column
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and int64 offsets of a binary or string column; nulls are empty."""
+    column = as_binary(column)
+    wide = pa.types.is_large_binary(column.type)
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textkit
-from .shared import text_bytes
+from .shared import in_arrow, text_bytes
 
 #: Tokens above which a document is over the limit.
 LIMIT = 512
@@ -176,4 +176,4 @@ def count_tokens(documents: DataFrame, vocabulary_path: str, limit: int = LIMIT)
                 size = offsets[lo + 1 : hi + 1] - offsets[lo:hi]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *RESULT]))
+    return in_arrow(rows, run, T.StructType([rows.schema["doc_id"], *RESULT]))

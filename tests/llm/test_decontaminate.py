@@ -28,7 +28,7 @@ def brute(docs, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1 << 24, 300])
+@pytest.mark.parametrize("block", [1 << 24, 300, 40])
 def test_equals_brute_force(spark, data_dir, monkeypatch, block):
     monkeypatch.setattr(d, "BENCHMARK_BLOCK_BYTES", block)
     docs = [tuple(r) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").limit(150).collect()]
