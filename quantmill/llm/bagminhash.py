@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit
-from .shared import text_bytes, written
+from .shared import in_arrow, removed, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,7 +42,9 @@ BANDS, ROWS = 26, 5  # a pair at 0.8 shares a band with probability 0.99997
 #: Rows of ids up to which a side is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Members on each side of a block that is compared at once, and elements of one product.
-BLOCK, COLUMNS = 512, 4096
+BLOCK, COLUMNS = 256, 4096
+#: Members that one copy of a leader's elements is compared with.
+LED = 256
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -100,8 +104,8 @@ def band_keys(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 def _signed(batches):
     for batch in batches:
-        data, offsets = textkit.buffers(batch.column("t"))
-        for lo, hi in textkit.ranges(offsets, 4 * textkit.BLOCK):
+        data, offsets = textkit.buffers(batch.column("text"))
+        for lo, hi in textkit.ranges(offsets):
             n = hi - lo
             row, s, c = bags(data, offsets[lo : hi + 1])
             total = np.bincount(row, c, minlength=n).astype(np.int64)
@@ -119,8 +123,8 @@ def _signed(batches):
 def _elements(batches):
     """Multisets as sets: the j-th copy of a shingle is an element of its own."""
     for batch in batches:
-        data, offsets = textkit.buffers(batch.column("t"))
-        for lo, hi in textkit.ranges(offsets, 4 * textkit.BLOCK):
+        data, offsets = textkit.buffers(batch.column("text"))
+        for lo, hi in textkit.ranges(offsets):
             row, s, c = bags(data, offsets[lo : hi + 1])
             copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             element = textkit.mix(np.repeat(s, c) + copy.astype(np.uint64) * textkit.MIX_2).view(np.int64)
@@ -147,16 +151,23 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("now"), F.col("comp").alias("far"))
         step = step.join(jump, "now", "left").select("id", F.least("now", "far").alias("comp"), "was")
         step = written(step, "labels")
-        if step.where("comp != was").limit(1).count() == 0:
-            return step.select("id", "comp")
+        removed(labels)
         labels = step.select("id", "comp")
+        if step.where("comp != was").limit(1).count() == 0:
+            return labels
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    left = elements.select(F.col("doc_id").alias("a"), F.col("e").alias("ea"))
-    right = elements.select(F.col("doc_id").alias("b"), F.col("e").alias("eb"))
-    both = left.join(small(pairs, pairs.count()), "a").join(right, "b")
+    """The pairs (a, b) whose multisets overlap enough.
+
+    A leader b of many pairs has its elements copied once for every ``LED`` of them, so that
+    its pairs are dealt out.
+    """
+    led = pairs.groupBy("b").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
+    copies = elements.select(F.col("doc_id").alias("b"), F.col("e").alias("eb")).join(led, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(led, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    left = elements.select(F.col("doc_id").alias("a"), F.col("e").alias("ea")).join(dealt, "a")
+    both = left.join(copies, ["b", "part"])
     # a pair of very different sizes cannot be similar
     both = both.where(F.least(F.size("ea"), F.size("eb")) >= similarity * F.greatest(F.size("ea"), F.size("eb")) - 1e-9)
     shared = F.size(F.array_intersect("ea", "eb"))
@@ -178,46 +189,51 @@ def _apart(members: DataFrame, comp: DataFrame, elements: DataFrame, similarity:
     left = rows.where("comp != main").withColumn("ta", at("na")).withColumn("tb", every("nb")).select("key", "ta", "tb", "id", "comp", "e")
     right = rows.withColumn("tb", at("nb")).withColumn("ta", every("na")).select("key", "ta", "tb", "id", "comp", "e")
 
+    ids = placed.schema["id"].dataType
+    kind = to_arrow_type(ids)
+
     def compare(_key, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
+        codes = pa.concat_arrays([x.column("comp").combine_chunks() for x in (a, b)]).dictionary_encode().indices.to_numpy()
+        lists = [x.column("e").combine_chunks() for x in (a, b)]
+        sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
+        known, place = np.unique(np.concatenate([np.asarray(x.flatten()) for x in lists]), return_inverse=True)
+        row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))
+        overlap = np.zeros((len(a), len(b)))
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        for lo in range(0, len(known), COLUMNS):
+            cut = slice(*np.searchsorted(place, [lo, lo + COLUMNS]))
+            x = np.zeros((len(a) + len(b), min(COLUMNS, len(known) - lo)), np.float32)
+            x[row[cut], place[cut] - lo] = 1
+            overlap += x[: len(a)] @ x[len(a) :].T
+        total = sizes[0][:, None] + sizes[1][None, :]
+        near = (overlap >= similarity * (total - overlap) - 1e-9) & (codes[: len(a), None] != codes[None, len(a) :])
+        parent = np.arange(codes.max() + 1)
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         found: list[tuple] = []
-        if len(a) and len(b):
-            ids = [np.asarray(x.column("id").combine_chunks()) for x in (a, b)]
-            comps = [np.asarray(x.column("comp").combine_chunks()) for x in (a, b)]
-            lists = [x.column("e").combine_chunks() for x in (a, b)]
-            sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
-            known, place = np.unique(np.concatenate([np.asarray(x.flatten()) for x in lists]), return_inverse=True)
-            row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))
-            overlap = np.zeros((len(a), len(b)))
-            order = np.argsort(place, kind="stable")
-            row, place = row[order], place[order]
-            for lo in range(0, len(known), COLUMNS):
-                cut = slice(*np.searchsorted(place, [lo, lo + COLUMNS]))
-                x = np.zeros((len(a) + len(b), min(COLUMNS, len(known) - lo)), np.float32)
-                x[row[cut], place[cut] - lo] = 1
-                overlap += x[: len(a)] @ x[len(a) :].T
-            total = sizes[0][:, None] + sizes[1][None, :]
-            near = (overlap >= similarity * (total - overlap) - 1e-9) & (comps[0][:, None] != comps[1][None, :])
-            parent: dict[int, int] = {}
-
-            def find(c: int) -> int:
-                while parent.setdefault(c, c) != c:
-                    c = parent[c]
-                return c
-
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = find(int(comps[0][i])), find(int(comps[1][j]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    found.append((int(ids[0][i]), int(ids[1][j])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return left.groupBy("key", "ta", "tb").cogroup(right.groupBy("key", "ta", "tb")).applyInArrow(compare, "a bigint, b bigint")
+        for i, j in zip(*np.nonzero(near), strict=True):
+            x, y = find(codes[i]), find(codes[len(a) + j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((i, j))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": a.column("id").combine_chunks().take(pa.array(at[:, 0])), "b": b.column("id").combine_chunks().take(pa.array(at[:, 1]))})
+
+    return left.groupBy("key", "ta", "tb").cogroup(right.groupBy("key", "ta", "tb")).applyInArrow(compare, T.StructType([T.StructField("a", ids), T.StructField("b", ids)]))
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, group_id (least doc_id of its group), is_kept (it is that one)."""
-    rows = documents.select("doc_id", text_bytes().alias("t"))
-    signed = written(rows.mapInArrow(_signed, "doc_id bigint, n bigint, b1 bigint, b2 bigint, bands array<bigint>"), "signed")
+    rows = documents.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = written(in_arrow(rows, _signed, f"doc_id {kind}, n bigint, b1 bigint, b2 bigint, bands array<bigint>"), "signed")
     named = signed.where("doc_id is not null and n > 0")
     classes = named.groupBy("b1", "b2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
@@ -235,12 +251,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     if members.limit(1).count():
         ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
         chosen = rows.join(small(ids, ids.count()), "doc_id", "left_semi")
-        elements = written(chosen.mapInArrow(_elements, "doc_id bigint, e array<bigint>"), "elements")
+        elements = written(in_arrow(chosen, _elements, f"doc_id {kind}, e array<bigint>"), "elements")
         pairs = members.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
         links = written(links.unionAll(_verified(pairs, elements, similarity)), "links")
         rest = _apart(members.where("id != lead").select("key", "id"), components(links), elements, similarity)
         links = written(links.unionAll(rest), "links")
         comp = components(links)
+        removed(ids, elements, members)
     elif links.limit(1).count():
         comp = components(links)
 
