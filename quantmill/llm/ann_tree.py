@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product with a hierarchical k-means tree.
 
 A tree of k-means splits is fitted on a bounded sample; every vector is then sent down to
-its leaf. A search walks the tree best bin first: a priority queue holds the branches seen
+its leaf. A leaf that holds more than ``LEAF_MOST`` vectors is split again on a sample of its
+own, in the cluster, and so on level by level, so that leaves keep their size as the table
+grows (up to ``MOST_LEAVES``, which bounds the tree that is broadcast). A search walks the tree best bin first: a priority queue holds the branches seen
 so far, the one whose centre is nearest is opened next, and leaves come out in that order.
 How many leaves a query opens is calibrated: for a few queries the exact neighbours are
 found by one pass over all vectors, and the visits are widened until their mean recall
@@ -20,7 +22,7 @@ only candidates that reach the bar are sent on.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor does a null vec_id; among vectors of several lengths only those of the commonest length
-do (then the longest). Repeated vec_ids are candidates of their own; a query never finds
+do (then the longest). vec_id is a whole number of any size (else an error). Repeated vec_ids are candidates of their own; a query never finds
 its own id. Fewer than k candidates give all of them. Empty tables give an empty result.
 Other columns are not read.
 """
@@ -28,14 +30,17 @@ Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import in_arrow, written
+from .shared import in_arrow, removed, written
 
 K = 20
 QUERY_EVERY = 20
@@ -44,6 +49,8 @@ SAMPLE = 16_384
 BRANCHES = 8
 #: Vectors aimed at in a leaf, as far as the sample allows (at least LEAST_IN_LEAF of it).
 LEAF_ROWS, LEAST_IN_LEAF = 256, 8
+#: Vectors above which a leaf is split again, on so many of its own; leaves of a tree (a centre is some hundred bytes).
+LEAF_MOST, LEAF_SAMPLE, MOST_LEAVES = 1024, 2048, 1 << 17
 #: Queries whose exact neighbours calibrate the search, and the recall to reach.
 CALIBRATION, RECALL = 64, 0.97
 #: Leaves that a query opens before it holds other candidates against what it has.
@@ -62,15 +69,15 @@ class Tree:
     """Hierarchical k-means; leaves are numbered."""
 
     def __init__(self, sample: np.ndarray, total: int, seed: int = 11):
-        self.rng, self.leaves = np.random.default_rng(seed), 0
+        rng, self.leaves = np.random.default_rng(seed), 0
         most = max(LEAST_IN_LEAF, LEAF_ROWS * len(sample) / max(total, 1))
-        self.root = self._grow(sample, most)
+        self.root = self._grow(sample, most, rng)
 
-    def _grow(self, x: np.ndarray, most: float):
+    def _grow(self, x: np.ndarray, most: float, rng: np.random.Generator):
         if len(x) <= most or len(x) <= BRANCHES:
             self.leaves += 1
             return self.leaves - 1
-        centres = x[self.rng.choice(len(x), BRANCHES, replace=False)]
+        centres = x[rng.choice(len(x), BRANCHES, replace=False)]
         for _ in range(12):
             near = nearest(x, centres)
             centres = np.array([x[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
@@ -79,7 +86,21 @@ class Tree:
         if len(used) < 2:
             self.leaves += 1
             return self.leaves - 1
-        return Node(centres[used], [self._grow(x[near == k], most) for k in used])
+        return Node(centres[used], [self._grow(x[near == k], most, rng) for k in used])
+
+    def graft(self, subtrees: dict[int, Tree]) -> None:
+        """Put subtrees in the place of leaves; leaves are numbered anew, in order."""
+        self.leaves = 0
+
+        def copied(node, of):
+            if isinstance(node, int):
+                if of is not None and node in of:
+                    return copied(of[node].root, None)
+                self.leaves += 1
+                return self.leaves - 1
+            return Node(node.centres, [copied(b, of) for b in node.branches])
+
+        self.root = copied(self.root, subtrees)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         leaf = np.zeros(len(x), np.int64)
@@ -154,6 +175,27 @@ def _top(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, width: int, k
     return in_arrow(vectors.select("vec_id", "v"), run, "query_id bigint, vec_id bigint, score double")
 
 
+def _split(placed: DataFrame, large: dict[int, int], width: int, norm: float) -> dict[int, Tree]:
+    """A tree for each large leaf, fitted in the cluster on LEAF_SAMPLE of its vectors (a hash of vec_id chooses them)."""
+    spark = placed.sparkSession
+    shares = F.broadcast(spark.createDataFrame(list(large.items()), "leaf bigint, size bigint"))
+    place = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = placed.join(shares, "leaf").where(place < F.lit(float(LEAF_SAMPLE)) / F.col("size")).select("leaf", "size", "v")
+
+    def grow(key, rows):
+        x = lifted(matrix(rows.column("v").combine_chunks(), width), norm)
+        tree = Tree(x, rows.column("size")[0].as_py())
+        return pa.table({"leaf": [key[0].as_py()], "tree": pa.array([pickle.dumps((tree.leaves, tree.root))], pa.binary())})
+
+    out = {}
+    for r in chosen.groupBy("leaf").applyInArrow(grow, "leaf bigint, tree binary").collect():  # bounded by MOST_LEAVES centres
+        grown = Tree.__new__(Tree)
+        grown.leaves, grown.root = pickle.loads(bytes(r["tree"]))
+        if grown.leaves > 1:
+            out[r["leaf"]] = grown
+    return out
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
@@ -170,6 +212,8 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     usable = F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    if not isinstance(embeddings.schema["vec_id"].dataType, T.IntegralType):
+        raise TypeError("vec_id must be a whole number")
     good = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where(usable).withColumn("norm", norm)
     shape = good.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy(F.desc("n"), F.desc("w")).first()
     if shape is None:
@@ -186,17 +230,32 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
     part = F.pmod(place, F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
     sample = np.array([r["v"] for r in rows.where(part | (F.lit(total) <= SAMPLE)).select("v").limit(SAMPLE + SAMPLE // 4).collect()]).reshape(-1, width)
     tree = Tree(lifted(sample, top_norm), total)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def to_leaf(batches):
-        for batch in batches:
-            leaf = shared.value.assign(lifted(matrix(batch.column("v"), width), top_norm))
-            yield batch.append_column("leaf", pa.array(leaf))
 
-    placed = written(in_arrow(rows, to_leaf, "vec_id bigint, v array<double>, leaf bigint"), "placed")
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
-        sizes[r["leaf"]] = r["count"]
+    def place_all() -> tuple[DataFrame, Broadcast, np.ndarray]:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def to_leaf(batches):
+            for batch in batches:
+                leaf = shared.value.assign(lifted(matrix(batch.column("v"), width), top_norm))
+                yield batch.append_column("leaf", pa.array(leaf))
+
+        placed = written(in_arrow(rows, to_leaf, T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())])), "placed")
+        sizes = np.zeros(tree.leaves, np.int64)
+        for r in placed.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
+            sizes[r["leaf"]] = r["count"]
+        return placed, shared, sizes
+
+    placed, shared, sizes = place_all()
+    while True:
+        large = {int(k): int(sizes[k]) for k in np.flatnonzero(sizes > LEAF_MOST)}
+        if not large or tree.leaves + sum(large.values()) // LEAF_ROWS > MOST_LEAVES:
+            break
+        subtrees = _split(placed, large, width, top_norm)
+        if not subtrees:
+            break  # what is left cannot be told apart
+        tree.graft(subtrees)
+        removed(placed)
+        placed, shared, sizes = place_all()
 
     # calibration: exact neighbours of a few queries, and when the walk reaches their leaves
     few = queries.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(CALIBRATION).collect()
@@ -239,8 +298,8 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
         asked[r["block"]] = r["count"]
     deal = F.broadcast(spark.createDataFrame([(b, nv, max(1, -(-int(asked[b]) // BLOCK_QUERIES))) for b, nv in enumerate(parts)], "block bigint, nv int, nq int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    leaf_block = F.element_at(F.array(*(F.lit(int(b)) for b in block_of)), (F.col("leaf") + 1).cast("int"))
-    left = placed.withColumn("block", leaf_block.cast("bigint")).join(deal, "block").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("bq", every("nq")).select("block", "bv", "bq", "vec_id", "v")
+    leaf_block = F.broadcast(spark.createDataFrame([(k, int(b)) for k, b in enumerate(block_of)], "leaf bigint, block bigint"))
+    left = placed.join(leaf_block, "leaf").join(deal, "block").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("bq", every("nq")).select("block", "bv", "bq", "vec_id", "v")
     right = walked.join(deal, "block").withColumn("bq", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("bv", every("nv"))
 
     def compare(_key, a: pa.Table, b: pa.Table) -> pa.Table:

@@ -53,3 +53,20 @@ def test_recall_on_the_table(spark, data_dir, size):
     for r in a.search(df).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(set(exact(ids, v, q, 20)) & found[int(q)]) / 20 for q in ids[ids % 20 == 0]]) >= 0.9
+
+
+def test_leaves_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(a, "SAMPLE", 200)
+    monkeypatch.setattr(a, "LEAF_ROWS", 16)
+    monkeypatch.setattr(a, "LEAF_MOST", 40)
+    monkeypatch.setattr(a, "LEAF_SAMPLE", 64)
+    seen, split = [], a._split
+    monkeypatch.setattr(a, "_split", lambda *x: seen.append(x[1]) or split(*x))
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(2000, 8)), np.repeat(rng.normal(size=(1, 8)), 60, axis=0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, embedding array<double>")
+    found = {}
+    for r in a.search(df, F.col("vec_id").isin(*range(0, 2000, 50))).collect():
+        found.setdefault(int(r.query_id), set()).add(int(r.vec_id))
+    assert len(seen) >= 1 and max(seen[0].values()) > 40
+    assert np.mean([len(set(exact(np.arange(len(v)), v, q, 20)) & found[q]) / 20 for q in range(0, 2000, 50)]) >= 0.9
