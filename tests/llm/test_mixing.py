@@ -40,3 +40,25 @@ def test_edges(spark):
     assert sorted(out.columns) == sorted({*docs.columns, "n_tokens", "p_high", "p_low", "p_toxic", "rate", "copies"})
     assert sorted(r.n_tokens for r in out.collect()) == [0, 0, 0, 2, 5000]
     assert m.mix(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_targets_out_of_reach_are_told(spark):
+    judged = spark.createDataFrame([(i, 10 + i % 7, 0.9 - 0.001 * i, 0.1 + 0.001 * i, 0.0) for i in range(50)], "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double")
+    n, p = np.array([10 + i % 7 for i in range(50)], float), np.array([[0.9 - 0.001 * i, 0.1 + 0.001 * i, 0] for i in range(50)])
+    for target in ({"high": 0.2, "low": 0.2, "toxic": 0.6}, {"high": 0.87, "low": 0.13, "toxic": 0.0}):
+        steps, left = m.fit_rates(judged, target)
+        r = m.rates(n, p, steps)
+        total, goal = r @ (n[:, None] * p), np.array([target[d] for d in m.DOMAINS]) * n.sum()
+        assert (r >= 0).all() and abs(left - np.abs(total - goal).max() / n.sum()) < 1e-9
+        start = np.abs((n[:, None] * p).sum(axis=0) - goal).max() / n.sum()
+        assert left < start and (left > m.CLOSE) == (target["toxic"] > 0)
+
+
+def test_several_labels_ties_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(m.textkit, "BLOCK", 4096)
+    docs = spark.createDataFrame([(1, "bad words here"), (2, "good text"), (3, "word " * 5000), (3, "word " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, None), (2, None, 0)], "doc_id long, quality int, toxic int")
+    out = m.mix(docs, labels).collect()
+    assert sorted(r.n_tokens for r in out) == [2, 3, 5000, 5000]
+    by = {r.doc_id: r for r in out}
+    assert by[1].p_toxic > by[2].p_toxic and len({(r.p_high, r.rate) for r in out if r.doc_id == 3}) == 1
