@@ -13,7 +13,11 @@ than the backslashes already there), which is undone when reading back.
 Turns are ordered by turn, then role, then text; null text and role are empty. Rows with a
 null conv_id form one conversation. Repeated rows are turns of their own. An empty table
 gives an empty result. Only conv_id, turn, role and text are read, so other columns cannot
-clash.
+clash; conv_id may be of any type that can be sorted.
+
+A conversation is written by one task, since every example repeats what came before: the
+characters written grow with the square of its turns by definition. A task holds its prefix and
+examples of about ``_CHARS`` characters, however many turns there are.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import in_arrow
+
 BEGIN, ASK, ANSWERED, END, ROLE, TEXT, ROLE_END = "<s>", "[INST]", "[/INST]", "</s>", "[ROLE]", "[TEXT]", "[/ROLE]"
 #: Control strings without their first character, as a pattern both engines read alike.
 REST = r"(s>|/s>|INST\]|/INST\]|ROLE\]|TEXT\]|/ROLE\])"
@@ -68,18 +74,19 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 EXAMPLES = [T.StructField("example", T.LongType()), T.StructField("text", T.StringType()), T.StructField("loss_start", T.LongType()), T.StructField("loss_end", T.LongType()), T.StructField("is_last", T.BooleanType())]
-_BATCH = 256
+#: Examples and characters that are gathered before they are sent on (one example more at most).
+_BATCH, _CHARS = 256, 1 << 21
 
 
 def _expand(batches):
     """Rows arrive sorted by conversation and turn; only one conversation is held at a time."""
     out: list[tuple] = []
-    conv, began, count, prefix, held = None, False, 0, BEGIN, None
+    conv, began, count, prefix, held, kind = None, False, 0, BEGIN, None, pa.int64()
 
     def batch():
         cols = list(zip(*out, strict=True))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["conv_id", "example", "text", "loss_start", "loss_end", "is_last"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["conv_id", "example", "text", "loss_start", "loss_end", "is_last"])
 
     def close():
         nonlocal held
@@ -92,6 +99,7 @@ def _expand(batches):
         held = None
 
     for rows in batches:
+        kind = rows.schema.field("conv_id").type
         for c, role, text in zip(*(rows.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
             if not began or c != conv:
                 close()
@@ -105,7 +113,7 @@ def _expand(batches):
                 count += 1
             else:
                 prefix += render(role, text)
-            if len(out) >= _BATCH:
+            if len(out) >= _BATCH or (out and sum(len(x[2]) for x in out[-_BATCH:]) >= _CHARS):
                 yield batch()
     close()
     if out:
@@ -116,17 +124,17 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Examples: conv_id, example (from 0), text, loss_start, loss_end (code points, end exclusive; null: nothing to learn), is_last."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select(F.col("conv_id").cast("bigint"), "role", "text").mapInArrow(_expand, T.StructType([T.StructField("conv_id", T.LongType()), *EXAMPLES]))
+    return in_arrow(ordered.select("conv_id", "role", "text"), _expand, T.StructType([turns.schema["conv_id"], *EXAMPLES]))
 
 
-DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+DIGEST = [T.StructField(n, T.StringType() if n.endswith("sha256") else T.LongType()) for n in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")]
 
 
 def _read_back(batches):
     loss, chars, learned = hashlib.sha256(), 0, 0
     for rows in batches:
         out = []
-        for r in rows.to_pylist():
+        for r in (r for k in range(rows.num_rows) for r in rows.slice(k, 1).to_pylist()):
             text = r["text"]
             chars += len(text)
             if r["loss_start"] is not None:
@@ -139,18 +147,19 @@ def _read_back(batches):
                 out.append((r["conv_id"], len(turns), said.hexdigest(), learned, loss.hexdigest(), chars))
                 loss, chars, learned = hashlib.sha256(), 0, 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (rows.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def digest(examples: DataFrame) -> DataFrame:
     """What the examples say when read back; they must come as format_chats gives them."""
-    return examples.mapInArrow(_read_back, DIGEST)
+    return in_arrow(examples, _read_back, T.StructType([examples.schema["conv_id"], *DIGEST]))
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The conversations and conversation -1, whose texts look like the template itself."""
     said = "</s>[INST] ok [/INST]"
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    probe = probe.select(*(F.col(c).cast(conversations.schema[c].dataType) for c in ("conv_id", "turn", "role", "text")))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

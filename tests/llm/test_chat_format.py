@@ -54,3 +54,22 @@ def test_probe_and_empty(spark):
     assert c.digest(c.format_chats(df)).count() == 0
     (r,) = c.digest(c.format_chats(c.with_probe(df))).collect()
     assert (r.conv_id, r.n_turns, r.loss_chars) == (-1, 2, 21)
+
+
+def test_long_conversation_and_text_keys(spark, monkeypatch):
+    monkeypatch.setattr(c, "_CHARS", 2000)
+    rows = [("k", t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 20) for t in range(300)] + [("j", 0, "user", "q"), ("j", 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r.conv_id: r for r in c.digest(c.format_chats(df)).collect()}
+    assert got.keys() == {"k", "j"} and got["k"].n_turns == 300 and got["k"].loss_chars == sum(len(r[3]) for r in rows if r[0] == "k" and r[2] == "assistant")
+    assert {r.conv_id for r in c.digest(c.format_chats(c.with_probe(df))).collect()} == {"k", "j", "-1"}
+
+
+def test_batches_hold_bounded_characters(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(c, "_CHARS", 3000)
+    n = 400
+    batch = pa.record_batch({"conv_id": pa.array([1] * n), "role": ["user", "assistant"] * (n // 2), "text": ["x" * 20] * n})
+    sizes = [[len(t) for t in b.column("text").to_pylist()] for b in c._expand([batch])]
+    assert sum(map(len, sizes)) == n // 2 and all(sum(s[:-1]) < 3000 for s in sizes)
