@@ -4,8 +4,11 @@ Labelled page outcomes are counted by host. A host's rate of bad pages is shrunk
 that of its registered domain, the domain's towards its suffix, the suffix's towards all
 pages, through beta-binomial priors whose strength is fitted at each level by the method
 of moments. A host is blocked when the lower bound of its posterior rate is above
-``BLOCK_ABOVE``. The registered domain is the last two labels of the host, the suffix the
-last one.
+``BLOCK_ABOVE``. The suffix is the last label of the host, or its last two where they are one
+of ``TWO_LABEL_SUFFIXES``; the registered domain has one label more.
+
+Rules are joined to hosts by their suffixes, so that their number is not bounded; each host
+carries the rules that fit it, longest first, then first by text, then block before allow.
 
 A url that is null or lacks "://" has an empty host and path and follows the rules and
 reputation of the empty host. Null outcomes do not count; repeated labels of a page count
@@ -28,8 +31,14 @@ BLOCK_ABOVE = 0.5
 Z = 1.6448536269514722  # one-sided 95 %
 LEAST_RHO, MOST_RHO, RHO_WITHOUT_DATA = 0.001, 0.5, 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that one expression may hold; a longer list is refused.
-MOST_RULES = 1000
+#: Common public suffixes of two labels (fixed values).
+TWO_LABEL_SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.ng",
+    "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.br", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br",
+    "net.cn", "net.nz", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "sch.uk",
+)
+#: Hosts up to which their table is broadcast (some hundred bytes each); beyond it the join shuffles.
+BROADCAST_HOSTS = 100_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -38,16 +47,20 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), UPPER, LOWER), part(2)
 
 
-def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """The longest fitting rule (then the first by text) as struct(rule, verdict), or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    fits = []
-    for verdict, rule in rules:
-        rule_host, _, rule_path = rule.partition("/")
-        fit = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith("/" + rule_path)
-        fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("n"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array(*fits))
+def _tail(labels: Column, n: Column | int) -> Column:
+    """The last n labels (all, if fewer) with dots between."""
+    n = F.least(F.size(labels), F.lit(n) if isinstance(n, int) else n)
+    return F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
+
+
+def fitting(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """host and its rules (verdict, host/path) best first, for the hosts that any rule fits."""
+    cut = [(verdict, rule, rule.partition("/")[0], "/" + rule.partition("/")[2]) for verdict, rule in rules]
+    table = hosts.sparkSession.createDataFrame(cut, "verdict string, rule string, rule_host string, rule_path string")
+    labels = F.split("host", r"\.")
+    ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _tail(labels, n))).alias("rule_host"))
+    one = F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") != "block").alias("allows"), "verdict", "rule_path")
+    return ends.join(table, "rule_host").groupBy("host").agg(F.array_sort(F.collect_list(one)).alias("rules"))
 
 
 def _rho(groups: DataFrame, parent: str) -> float:
@@ -68,7 +81,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     labelled = outcomes.where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counted = pages.join(labelled, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     labels = F.split("host", r"\.")
-    hosts = written(counted.withColumns({"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")}), "hosts")
+    size = F.when(_tail(labels, 2).isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1)
+    hosts = written(counted.withColumns({"suffix": _tail(labels, size), "domain": _tail(labels, size + 1)}), "hosts")
     n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     root = (bad + 1.0) / (n + 2.0)
 
@@ -90,9 +104,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     host, path = split_url(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = host_reputation(cut, outcomes).select("host", "mean", "lower")
-    best = best_rule(F.col("host"), F.col("path"), rules if rules is not None else RULES)
+    known = written(known.join(fitting(known.select("host"), rules if rules is not None else RULES), "host", "left"), "known")
+    if known.count() <= BROADCAST_HOSTS:
+        known = F.broadcast(known)
     by_reputation = F.when(F.col("lower") > BLOCK_ABOVE, "block").otherwise("allow")
-    judged = cut.join(known, "host", "left").withColumn("best", best)
+    judged = cut.join(known, "host", "left").withColumn("best", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0)))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_reputation).alias("verdict"), F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"))
 
 
@@ -111,6 +127,7 @@ def _level_sql(name: str, groups: str) -> str:
   {name}_k AS (SELECT 1 / rho - 1 AS k FROM {name}_rho)"""
 
 
+_SIZE = "CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (" + ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES) + ") THEN 2 ELSE 1 END"
 SQL = f"""
 WITH outcome AS (
     SELECT doc_id AS page_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad
@@ -119,8 +136,8 @@ WITH outcome AS (
     SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
       coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
   hosts AS (
-    SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0)::BIGINT AS bad, string_split(host, '.')[-1] AS suffix,
-      array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 1, 1):], '.') AS domain
+    SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0)::BIGINT AS bad, {_SIZE} AS size,
+      array_to_string(string_split(host, '.')[-size:], '.') AS suffix, array_to_string(string_split(host, '.')[-(size + 1):], '.') AS domain
     FROM cut LEFT JOIN outcome o USING (page_id) GROUP BY host),
   root AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS p FROM hosts),
   s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(root.p) AS p FROM hosts, root GROUP BY suffix),

@@ -31,3 +31,17 @@ def test_empty(spark):
     p, none = pages(spark), spark.createDataFrame([], "page_id long, bad boolean")
     assert set(r.verdict for r in u.filter_urls(p, none).where("rule is null").collect()) == {"allow"}
     assert u.filter_urls(p.limit(0), none).count() == 0
+
+
+def test_rules_are_joined_and_ties_are_settled(spark):
+    p = spark.createDataFrame([(1, "http://a.b.com/x/" + "y" * 100_000), (2, "http://b.com/x"), (3, "http://c.com/"), (4, None)], "page_id long, url string")
+    rules = [("allow", "b.com/x"), ("block", "b.com/x"), ("allow", "com/"), ("block", "a.b.com/x/yy")] + [("block", f"h{i}.org/") for i in range(1500)]
+    got = {r.page_id: (r.rule, r.verdict) for r in u.filter_urls(p, spark.createDataFrame([], "page_id long, bad boolean"), rules).collect()}
+    assert got == {1: ("a.b.com/x/yy", "block"), 2: ("b.com/x", "block"), 3: ("com/", "allow"), 4: (None, "allow")}
+
+
+def test_suffixes_of_two_labels(spark):
+    p = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["www.bbc.co.uk", "co.uk", "a.example.com", "localhost"])], "page_id long, url string")
+    host, _ = u.split_url(p["url"])
+    hosts = u.host_reputation(p.select("page_id", host.alias("host")), spark.createDataFrame([(0, True)], "page_id long, bad boolean"))
+    assert {r.host for r in hosts.collect()} == {"www.bbc.co.uk", "co.uk", "a.example.com", "localhost"}
