@@ -6,13 +6,15 @@ gaps between matches and of the matches themselves, so one projection does it al
 shuffle and no Python.
 
 Kinds, as listed: email, ip, card, phone (the base kinds: leftmost non-overlapping
-matches, of which failing ones are dropped without a retry), then iban and ssn, which the
-method adds. Base spans always stay; an added span stays with a score of ``MIN_SCORE``
+matches, of which failing ones are dropped without a retry), then iban, ssn and secret, which
+the method adds. A secret is a key of a known shape (its prefix says what it is) or what is
+assigned to a name such as password or token, if it is as varied as one: a letter, a digit and
+six different characters at least. Base spans always stay; an added span stays with a score of ``MIN_SCORE``
 or more. Places are code points, the end exclusive.
 
 Null text is empty and has no spans. Repeated rows are judged one by one, an empty table
 gives an empty result. Only the text column is read for finding; ``redact`` keeps all
-columns and names its helpers so that they cannot clash.
+columns and has no helper columns that could clash; ``find_pii`` replaces a column named pii.
 
 The patterns are the plain ones of each kind, written so that a long run of characters
 is read once: possessive repeats where giving back cannot help, and a start only at the
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import let
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 MIN_SCORE = 0.5
 #: Code points on each side of a span in which context words count.
@@ -49,6 +51,13 @@ def _iban() -> str:
     return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join([*shapes, other])})(?![A-Za-z0-9])))[A-Z]"
 
 
+#: Keys that their prefix gives away.
+KEYS = r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,250}+|[rs]k_live_[A-Za-z0-9]{16,250}+)(?![A-Za-z0-9_-])"
+#: Names whose values are secret, what may stand between, and the value.
+NAMES = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+VALUE = r"[A-Za-z0-9+/_.~-]"
+ASSIGNED = rf"(?<=[=:\x20\x22\x27])(?={VALUE}{{8}})(?<={NAMES}[\x22\x27]?\x20{{0,3}}[=:]\x20{{0,3}}[\x22\x27]?){VALUE}{{8,}}+"
+
 #: Kind: a substring or pattern without which there is no match, and the pattern.
 PATTERNS = {
     "email": (lambda t: t.contains("@"), r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -57,12 +66,13 @@ PATTERNS = {
     "phone": (lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": (lambda t: t.rlike(r"[A-Z][A-Z][0-9][0-9]"), _iban()),
     "ssn": (lambda t: t.rlike(r"[0-9]-[0-9][0-9]-[0-9]"), r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    "secret": (lambda t: t.rlike(rf"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|[rs]k_live_|[=:]\x20{{0,3}}[\x22\x27]?{VALUE}{{8}}"), rf"{KEYS}|{ASSIGNED}"),
 }
 #: Score of a confirmed span before its context, and the words that raise it.
-SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3, "secret": 0.6}
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|address|host|server|login", "card": "card|visa|credit|debit|payment|master", "phone": "phone|call|tel|mobile|fax|cell",
-    "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security|taxpayer",
+    "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security|taxpayer", "secret": "key|secret|token|password|credential|login",
 }
 CONTEXT_GAIN = 0.25
 
@@ -103,6 +113,8 @@ def _confirmed(kind: str, m: Column) -> Column:
         return F.when(F.length(plain).between(15, 34), mod_97(plain)).otherwise(False)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9..)|-00-|0000$")
+    if kind == "secret":
+        return m.rlike(f"^{KEYS}") | (m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, "(?<=.)(?=.)"))) >= 6))
     return F.lit(True)
 
 
@@ -157,7 +169,10 @@ def _kinds(text: Column) -> list[Column]:
 
 
 def find_pii(documents: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of documents and pii: an array of (start, kind, end, score), by start, then kind."""
+    """All columns of documents and pii: an array of (start, kind, end, score), by start, then kind.
+
+    A column of documents that is named pii is replaced.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     spans = F.array_sort(F.concat(*_kinds(t)))
     names = F.array(*map(F.lit, KINDS))
@@ -198,3 +213,33 @@ def redact(documents: DataFrame) -> DataFrame:
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
     return out.select(documents.columns)
+
+
+def base_spans(documents: DataFrame) -> DataFrame:
+    """What the base kinds alone give: doc_id, their counts and base_sha256."""
+    return digest(documents).drop("spans")
+
+
+#: The base kinds as SQL: pattern, and what confirms the match m (d: its digits).
+_BASE_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT ELSE (2 * d[length(d) - i]::INT) // 10 + (2 * d[length(d) - i]::INT) % 10 END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+}
+
+
+def _kind_sql(k: int, kind: str) -> str:
+    pattern, confirmed = _BASE_SQL[kind]
+    return f"""SELECT rid, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
+      SELECT rid, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+      FROM (SELECT rid, gaps, ms, ms[i] AS m, i FROM (
+        SELECT rid, gaps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS ms FROM d)))) WHERE {confirmed}"""
+
+
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+  f AS ({" UNION ALL ".join(_kind_sql(k, kind) for k, kind in enumerate(BASE_KINDS))}),
+  s AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE_KINDS)}, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS spans FROM f GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE_KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN s USING (rid)
+"""
