@@ -46,6 +46,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op6, which SQL can give."""
+    from .pii import base_spans
+
+    return base_spans(_table(spark, sf_dir, "documents"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4, which SQL can give."""
+    from .license_scan import base_places
+
+    return base_places(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -72,13 +86,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count, pii_base, license_base)}
 
 
 def _oracle_sql() -> dict[str, str]:
-    from . import chat_format, decontaminate, url_reputation
+    from . import chat_format, decontaminate, license_scan, pii, url_reputation
 
-    return {"op5_chat_format": chat_format.SQL, "op7_decontaminate": decontaminate.SQL, "op9_url_reputation": url_reputation.SQL}
+    return {"op5_chat_format": chat_format.SQL, "op7_decontaminate": decontaminate.SQL, "op9_url_reputation": url_reputation.SQL, "pii_base": pii.BASE_SQL, "license_base": license_scan.BASE_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()

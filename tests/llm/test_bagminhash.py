@@ -50,3 +50,19 @@ def test_register_agreement_estimates_weighted_jaccard():
     t = b.signatures(2, row, np.tile(shingle, 2), np.concatenate([c1, c2]), 4096)
     true = np.minimum(c1, c2).sum() / np.maximum(c1, c2).sum()
     assert abs((t[0] == t[1]).mean() - true) < 4 * (true * (1 - true) / 4096) ** 0.5
+
+
+def test_text_ids_and_hot_leaders(spark, monkeypatch):
+    monkeypatch.setattr(b, "LED", 4)
+    monkeypatch.setattr(b, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = {}
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(120, 1 + i % 4, replace=False):
+            w[at] = f"x{i}"
+        docs[f"d{i:03}"] = " ".join(w)
+    docs |= {"e1": None, "e2": "", "f1": "short text", "f2": "Short text"}
+    got = {r.doc_id: r.group_id for r in b.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id string, text string")).collect()}
+    assert got == groups(docs)

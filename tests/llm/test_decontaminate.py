@@ -53,3 +53,42 @@ def test_clean_keeps_columns_and_matches_are_the_longest(spark):
 def test_suffix_array():
     x = np.random.default_rng(0).integers(0, 3, 200)
     assert d.suffix_array(x).tolist() == sorted(range(200), key=lambda i: x[i:].tolist())
+
+
+def test_longest_matches_equal_brute_force_in_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(rng.choice(list("abc"), n))
+    docs, items = [(i, text(60)) for i in range(12)] + [(99, "a " * 400)], [(i, text(30)) for i in range(6)] + [(7, "a " * 60), (8, "b c")]
+
+    def brute_matches(window):
+        out = []
+        for d, t in docs:
+            w = words(t)
+            for i, x in items:
+                v = words(x)
+                k = min(window, len(v))
+                for p in range(len(w)):
+                    for q in range(len(v) - k + 1):
+                        if w[p : p + k] == v[q : q + k] and not (p and q and w[p - 1] == v[q - 1]):
+                            n = 0
+                            while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                                n += 1
+                            out.append((d, str(i), p, q, n))
+        return sorted(out)
+
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 130):
+        monkeypatch.setattr(d, "BENCHMARK_BLOCK_BYTES", block)
+        assert sorted(tuple(r) for r in d.matches(*frames, window=6).collect()) == brute_matches(6)
+        assert {r.doc_id for r in d.clean(*frames, window=6).collect()} == {i for i, _ in docs} - {m[0] for m in brute_matches(6)}
+
+
+def test_pieces_of_a_long_item_hold_every_window(monkeypatch):
+    monkeypatch.setattr(d, "BENCHMARK_BLOCK_BYTES", 100)
+    text = b" ".join(b"w%d" % i for i in range(300))
+    seen = set()
+    for piece, place in d._pieces(text, 10):
+        w = piece.split()
+        assert len(w) >= 10 and w[0] == b"w%d" % place
+        seen |= {place + i for i in range(len(w) - 9)}
+    assert seen == set(range(291))

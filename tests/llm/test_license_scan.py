@@ -29,3 +29,34 @@ def test_method_adds_labels(spark):
     got = {r.doc_id: r.labels for r in s.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: "gpl-3", 2: ""}
     assert s.scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels string")).count() == 0
+
+
+DISCLAIMED = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR'
+    " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def test_whole_wording_is_needed(spark):
+    grant = s._MIT_GRANT.replace("<<optional>>the software<<end>>", '(the "Software")').replace("<<var:the software|this software>>", "the Software")
+    notice = s._MIT_NOTICE.replace("<<optional>>including the next paragraph<<end>>", "")
+    bsd = s._BSD_GRANT.replace("<<optional>><<var:1|a>><<end>>", "1.").replace("<<optional>><<var:2|b>><<end>>", "2.")
+    names = "3. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    waiver = s._BSD_DISCLAIMER.replace("<<any:12>>", "the copyright holders and contributors").replace("<<any:14>>", "the copyright owner or contributors")
+    docs = {
+        1: f"{grant}, {notice}. {DISCLAIMED}", 2: f"{grant}. {DISCLAIMED}", 3: f"{grant}, {notice}. The Software shall be used for Good. {DISCLAIMED}", 4: grant, 5: f"{bsd} {waiver}", 6: f"{bsd} {names} {waiver}", 7: f"{bsd} {names}",
+        8: "SPDX-License-Identifier: AGPL-3.0-or-later", 9: f"{grant}, {notice}. {DISCLAIMED.replace('TORT', 'CRIME')}", 10: f"x {bsd} {waiver} y {grant}. {DISCLAIMED}",
+    }
+    rows = [(i, t, "mit") for i, t in docs.items()] + [(1, docs[1], "mit")]
+    got = sorted((r.doc_id, r.labels) for r in s.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect())
+    assert got == [(1, "mit"), (1, "mit"), (2, "mit-0"), (3, ""), (4, ""), (5, "bsd-2"), (6, "bsd-3"), (7, ""), (8, "agpl-3"), (9, ""), (10, "bsd-2,mit-0")]
+
+
+def test_base_places_equal_sql(spark, small_dir):
+    from tests.compare import close, connect
+    from tests.compare import rows as ordered
+
+    df = s.base_places(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    found = connect(small_dir).execute(s.BASE_SQL)
+    a, b = ordered(df.columns, df.collect()), ordered([c[0] for c in found.description], found.fetchall())
+    assert len(a) == len(b) and all(close(x, y) for i, j in zip(a, b, strict=True) for x, y in zip(i, j, strict=True))
