@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..functions.draws import normal as normal_draw
+from ..functions.draws import uniform
 from ..functions.folds import ordered_fold
 from ..functions.intervals import covering
 from ..functions.windows import expanding, ordered
@@ -216,8 +218,8 @@ def binomial_sharpe(spark: SparkSession, p: float = 0.5, up: float = 0.02, down:
 
 def mixed_gaussians(spark: SparkSession, mu1: float, mu2: float, sig1: float, sig2: float, p: float, n_obs: int, seed: int = 0) -> DataFrame:
     """id, ret: a row is of the first distribution with probability p."""
-    first = F.rand(seed) < p
-    return spark.range(n_obs).withColumn("ret", F.when(first, mu1 + sig1 * F.randn(seed + 1)).otherwise(mu2 + sig2 * F.randn(seed + 2)))
+    first = uniform(seed, 0) < p
+    return spark.range(n_obs).withColumn("ret", F.when(first, mu1 + sig1 * normal_draw(seed, 1)).otherwise(mu2 + sig2 * normal_draw(seed, 2)))
 
 
 def strategy_failure(spark: SparkSession, mu1: float, mu2: float, sig1: float, sig2: float, p: float, n_obs: int, freq: float, sharpe_target: float, seed: int = 0, limit: float = 0.05) -> DataFrame:

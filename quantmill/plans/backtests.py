@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..functions.draws import normal_sql, uniform_sql
 from ..functions.windows import ordered
 from ..operators import backtest as bt
 from ..operators import options as opt
@@ -156,9 +157,12 @@ def implied(spark, d):
     return x.select("id", r6(bt.implied_precision(f, s, up, dn)).alias("im_p"), bt.implied_frequency(p, s, up, dn).alias("im_freq"), r6(bt.implied_profit(f, s, p, dn)).alias("im_pt"), r6(bt.implied_loss(f, p, up, s)).alias("im_sl"))
 
 
-@R.add("prob_failure", _RET + f""", s AS (SELECT series_id, avg(ret) FILTER (ret > 0) AS up, avg(ret) FILTER (ret <= 0) AS dn, avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM r GROUP BY 1),
+_FAILURE = f""", s AS (SELECT series_id, avg(ret) FILTER (ret > 0) AS up, avg(ret) FILTER (ret <= 0) AS dn, avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM r GROUP BY 1),
   y AS (SELECT *, (52 + 4) * pow(up - dn, 2) AS a, (2 * 52 * dn - 4 * (up - dn)) * (up - dn) AS b, 52 * dn * dn AS c FROM s), z AS (SELECT *, (-b + sqrt(b * b - 4 * a * c)) / (2 * a) AS th FROM y)
-  SELECT series_id, {sql6("p")} AS p, {sql6("th")} AS threshold, {sql6(normal.cdf_sql("((th - p) / (p * (1 - p)))"))} AS p_fail FROM z""")
+  SELECT series_id, {sql6("p")} AS p, {sql6("th")} AS threshold, {sql6(normal.cdf_sql("((th - p) / (p * (1 - p)))"))} AS p_fail FROM z"""
+
+
+@R.add("prob_failure", _RET + _FAILURE)
 def prob_failure(spark, d):
     return rounded(bt.failure_probability(_returns(spark, d), 52, 2), "series_id", p="p", threshold="threshold", p_fail="p_fail")
 
@@ -272,7 +276,19 @@ def _plain(name, build):
 _plain("shapiro_wilk", lambda s, d: reports.shapiro_wilk(_returns(s, d)))
 _plain("normality", lambda s, d: reports.normality(_returns(s, d)))
 _plain("unit_root", lambda s, d: reports.unit_root(events_series(s, d, "event_type")))
-_plain("target_sharpe", lambda s, d: bt.binomial_sharpe(s, n_run=100_000))
-_plain("mixed_gaussians", lambda s, d: bt.mixed_gaussians(s, -0.01, 0.02, 0.02, 0.01, 0.3, 10_000))
-_plain("strategy_failure", lambda s, d: bt.strategy_failure(s, -0.1, 0.05, 0.05, 0.01, 0.2, 100_000, 52, 2.0))
+_plain("target_sharpe", lambda s, d: bt.binomial_sharpe(s))
 _plain("ou_trading_rule", lambda s, d: bt.trading_rules(s, profits=[0.5, 2, 5, 10], losses=[0.5, 2, 5, 10]))
+
+
+def _mixed_sql(mu1: float, mu2: float, sig1: float, sig2: float, p: float, n: int) -> str:
+    return f"SELECT id, CASE WHEN {uniform_sql(0, 0)} < {p} THEN {mu1} + {sig1} * {normal_sql(0, 1)} ELSE {mu2} + {sig2} * {normal_sql(0, 2)} END AS ret FROM (SELECT range AS id FROM range({n}))"
+
+
+@R.add("mixed_gaussians", f"SELECT id, {sql6('ret')} AS ret FROM ({_mixed_sql(-0.01, 0.02, 0.02, 0.01, 0.3, 10_000)})")
+def mixed_gaussians(spark, d):
+    return rounded(bt.mixed_gaussians(spark, -0.01, 0.02, 0.02, 0.01, 0.3, 10_000), "id", ret="ret")
+
+
+@R.add("strategy_failure", f"WITH r AS (SELECT 'strategy' AS series_id, ret FROM ({_mixed_sql(-0.1, 0.05, 0.05, 0.01, 0.2, 100_000)}))" + _FAILURE.replace("AS p_fail FROM z", "AS p_fail, " + normal.cdf_sql("((th - p) / (p * (1 - p)))") + " > 0.05 AS discard FROM z"))
+def strategy_failure(spark, d):
+    return rounded(bt.strategy_failure(spark, -0.1, 0.05, 0.05, 0.01, 0.2, 100_000, 52, 2.0), "series_id", "discard", p="p", threshold="threshold", p_fail="p_fail")
