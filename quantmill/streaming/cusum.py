@@ -1,8 +1,10 @@
 """The CUSUM filter, sampled bars and weighted deviations over streams.
 
-State is kept by series; rows of one trigger are put in order, and a row that is not later
-than the last one seen is ignored, so that results equal those of a batch whose files
-arrive in order. A query needs the RocksDB state store provider.
+State is kept by series; rows of one trigger are put in order of time and of a whole-number
+column that tells rows of one time apart (``tie``; by default seq, where the stream has it). A
+row that does not come after the last one seen is ignored; without a tie column rows of the
+last time still count. So results equal those of a batch whose files arrive in order. A query
+needs the RocksDB state store provider.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ class _Fold(StatefulProcessor):
 
     numbers: int = 0
 
-    def __init__(self, ts: str, order: list[str], value: str):
-        self.ts, self.order, self.value = ts, order, value
+    def __init__(self, ts: str, tie: str | None, value: str):
+        self.ts, self.tie, self.value = ts, tie, value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType([T.StructField("last", T.StringType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+        self.state = handle.getValueState("state", T.StructType([T.StructField("last", T.StringType()), T.StructField("tie", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
     def begin(self) -> list[float | None]:
         raise NotImplementedError
@@ -39,18 +41,18 @@ class _Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         kept = self.state.get()
-        last, x = (kept[0], list(kept[1])) if kept is not None else (None, self.begin())
+        last, x = ((kept[0], kept[1]), list(kept[2])) if kept is not None else (None, self.begin())
         out = []
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        pdf = pd.concat(list(rows)).sort_values([self.ts, self.tie] if self.tie else [self.ts], kind="stable")
         for row in pdf.to_dict("records"):
-            at = pd.Timestamp(row[self.ts]).isoformat(timespec="microseconds")
-            if last is not None and at <= last:
+            at = (pd.Timestamp(row[self.ts]).isoformat(timespec="microseconds"), int(row[self.tie]) if self.tie else 0)
+            if last is not None and (at <= last if self.tie else at < last):
                 continue
             last = at
             got = self.step(x, row)
             if got is not None:
                 out.append(got)
-        self.state.update((last, x))
+        self.state.update((*last, x))
         if out:
             yield pd.DataFrame(out)
 
@@ -59,8 +61,8 @@ class _Fold(StatefulProcessor):
 
 
 class _Cusum(_Fold):
-    def __init__(self, ts: str, order: list[str], value: str, limit: float):
-        super().__init__(ts, order, value)
+    def __init__(self, ts: str, tie: str | None, value: str, limit: float):
+        super().__init__(ts, tie, value)
         self.limit = limit
 
     def begin(self):
@@ -98,34 +100,46 @@ def _run(stream: DataFrame, processor: StatefulProcessor, key: str, schema: T.St
     return stream.groupBy(key).transformWithStateInPandas(processor, schema, outputMode="append", timeMode="none")
 
 
-def stream_cusum(stream: DataFrame, limit: float, close: str = "close", *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def _tie(stream: DataFrame, tie: str | None) -> str | None:
+    return tie or ("seq" if "seq" in stream.columns else None)
+
+
+def stream_cusum(stream: DataFrame, limit: float, close: str = "close", *, key: str = "series_id", ts: str = "ts", tie: str | None = None) -> DataFrame:
     """The rows at which the filter fires."""
-    return _run(stream, _Cusum(ts, [ts], close, limit), key, stream.schema)
+    return _run(stream, _Cusum(ts, _tie(stream, tie), close, limit), key, stream.schema)
 
 
-def stream_bars(stream: DataFrame, threshold: float, column: str, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def stream_bars(stream: DataFrame, threshold: float, column: str, *, key: str = "series_id", ts: str = "ts", tie: str | None = None) -> DataFrame:
     """The rows at which a running sum reaches the threshold and restarts."""
-    return _run(stream, _Bars(ts, [ts], column, threshold), key, stream.schema)
+    return _run(stream, _Bars(ts, _tie(stream, tie), column, threshold), key, stream.schema)
 
 
-def stream_ewm(stream: DataFrame, column: str, span: float, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def stream_ewm(stream: DataFrame, column: str, span: float, *, key: str = "series_id", ts: str = "ts", tie: str | None = None) -> DataFrame:
     """Adds ewm_mean and ewm_std to every row."""
     more = [T.StructField("ewm_mean", T.DoubleType()), T.StructField("ewm_std", T.DoubleType())]
-    return _run(stream, _Deviation(ts, [ts], column, span), key, T.StructType([*stream.schema.fields, *more]))
+    return _run(stream, _Deviation(ts, _tie(stream, tie), column, span), key, T.StructType([*stream.schema.fields, *more]))
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there into files of the shared folder, and read them.
 
     The folder is spark.checkpoint.dir, which all executors share; a temporary one is used
-    only where that is unset.
+    only where that is unset and all runs on this machine. The files go when the application ends.
     """
+    import re
     import tempfile
     import uuid
 
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantmill-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="quantmill-")
     path = f"{root.rstrip('/')}/quantmill/stream-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKS)
