@@ -17,15 +17,34 @@ def overlaps(t0: Column, t1: Column, start: Column, end: Column) -> Column:
     return t0.between(start, end) | t1.between(start, end) | ((t0 <= start) & (end <= t1))
 
 
+#: Tests without a key: two times each in every task.
+MOST_TESTS = 10_000
+
+
 def train_times(events: DataFrame, tests: DataFrame, *, key: str | None = None) -> DataFrame:
     """Events that overlap no test interval (start, end), by an anti join.
 
-    A few test intervals are broadcast by Spark if they are small; give a key to join on.
+    With a key the join is on it. Without one, overlapping tests are merged first, and an
+    event is held against the merged tests that begin last before its start and before its end:
+    no other can overlap it unless one of these does. Nulls overlap nothing. Without a key at
+    most ``MOST_TESTS`` tests are taken, since every task gets them all.
     """
-    on = overlaps(F.col("e.t0"), F.col("e.t1"), F.col("x.start"), F.col("x.end"))
     if key:
-        on = (F.col(f"e.{key}") == F.col(f"x.{key}")) & on
-    return events.alias("e").join(tests.alias("x"), on, "left_anti")
+        on = overlaps(F.col("e.t0"), F.col("e.t1"), F.col("x.start"), F.col("x.end"))
+        return events.alias("e").join(tests.alias("x"), (F.col(f"e.{key}") == F.col(f"x.{key}")) & on, "left_anti")
+    if tests.count() > MOST_TESTS:
+        raise ValueError(f"more than {MOST_TESTS} tests need a key")
+    proper = tests.where("start <= end").select("start", "end")
+    before = Window.partitionBy(F.lit(0)).orderBy("start", "end")  # the tests alone: one row for each fold
+    opens = proper.withColumn("_far", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    group = F.sum(F.when(F.col("_far") >= F.col("start"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    merged = opens.withColumn("_g", group).groupBy("_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    line = F.sort_array(F.collect_list(F.struct("start", "end")))
+    held = merged.agg(line.alias("_tests"))
+    with_tests = events.crossJoin(F.broadcast(held))  # one row
+    last = lambda t: F.try_element_at(F.filter("_tests", lambda x: x["start"] <= F.col(t)), F.lit(-1))
+    clash = lambda t: F.coalesce(overlaps(F.col("t0"), F.col("t1"), last(t)["start"], last(t)["end"]), F.lit(False))
+    return with_tests.where(~(clash("t0") | clash("t1"))).drop("_tests")
 
 
 def embargo(times: DataFrame, share: float, *, key: str | None = None, order: str = "t0") -> DataFrame:
@@ -87,18 +106,42 @@ def _scored(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(rows)
-    return out.withColumn("proba", vector_to_array("probability")[1]) if "probability" in out.columns else out
+    if "probability" not in out.columns:
+        return out
+    made = F.col("probability") if out.schema["probability"].dataType.typeName() == "array" else vector_to_array("probability")
+    return out.withColumn("proba", made[1])
+
+
+def weighted(estimator, weight: str | None):
+    """The estimator with its weights from a column; of a Pipeline its last stage takes them."""
+    from pyspark.ml import Pipeline
+
+    if weight is None:
+        return estimator
+    if isinstance(estimator, Pipeline):
+        *head, last = estimator.getStages()
+        return Pipeline(stages=[*head, weighted(last, weight)])
+    if not estimator.hasParam("weightCol"):
+        raise ValueError(f"{type(estimator).__name__} takes no weights")
+    return estimator.copy({estimator.getParam("weightCol"): weight})
+
+
+def shuffled(rows: DataFrame, id_: str, seed: int) -> DataFrame:
+    """The rows in an order that a hash of their id gives: dealt out by it, sorted inside partitions."""
+    place = F.xxhash64(F.lit(seed), id_)
+    return rows.repartition(place).sortWithinPartitions(place)
 
 
-def cv_score(estimator, data: DataFrame, folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, scoring: str = "neg_log_loss") -> list[float]:
+def cv_score(estimator, data: DataFrame, folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, scoring: str = "neg_log_loss", shuffle: int | None = None) -> list[float]:
     """Score of each fold; data has the features and labels of each id, folds comes from purged_folds.
 
-    The estimator takes its weights from its own weightCol.
+    The estimator (of a Pipeline the last stage) fits with the weights that the scores are
+    weighted by. shuffle: a seed to put the training rows of a fold in another order.
     """
     if scoring not in SCORERS:
         raise ValueError(f"scoring must be one of {sorted(SCORERS)}")
     kept = folds.select("fold", id_, "role").persist()
-    scores = _fold_scores(estimator, data, kept, fold_numbers(kept), id_=id_, label=label, weight=weight, scoring=scoring)
+    scores = _fold_scores(estimator, data, kept, fold_numbers(kept), id_=id_, label=label, weight=weight, scoring=scoring, shuffle=shuffle)
     kept.unpersist()
     return scores
 
@@ -107,21 +150,23 @@ def fold_numbers(folds: DataFrame) -> list[int]:
     return sorted(r[0] for r in folds.select("fold").distinct().collect())
 
 
-def _fold_scores(estimator, data: DataFrame, folds: DataFrame, numbers: Sequence[int], *, id_: str, label: str, weight: str | None, scoring: str) -> list[float]:
+def _fold_scores(estimator, data: DataFrame, folds: DataFrame, numbers: Sequence[int], *, id_: str, label: str, weight: str | None, scoring: str, shuffle: int | None = None) -> list[float]:
     """Score of each of the folds; caches nothing, so that threads can share the folds."""
     scores = []
     for k in numbers:
         part = lambda role, k=k: data.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(id_), id_)
-        model = estimator.fit(part("train"))
+        train = part("train")
+        model = weighted(estimator, weight).fit(train if shuffle is None else shuffled(train, id_, shuffle))
         scores.append(SCORERS[scoring](_scored(model, part("test")), label=label, weight=weight))
     return scores
 
 
-def hyper_fit(estimator, grid: Sequence[dict], data: DataFrame, folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, random_search: int = 0, seed: int = 0):
+def hyper_fit(estimator, grid: Sequence[dict], data: DataFrame, folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, random_search: int = 0, seed: int = 0, bagging: tuple[int, float] | None = None):
     """The model refitted on all data with the parameters of the best mean score, and all scores.
 
     grid: parameter maps as ParamGridBuilder makes them. Labels 0 and 1 score by F1, others by
-    log loss; random_search tries so many of the maps.
+    log loss; random_search tries so many of the maps. bagging: members and the share of rows that
+    each draws with replacement; the best parameters are then fitted as a bag.
     """
     import random
 
@@ -129,6 +174,7 @@ def hyper_fit(estimator, grid: Sequence[dict], data: DataFrame, folds: DataFrame
     if random_search:
         maps = random.Random(seed).sample(maps, min(random_search, len(maps)))
     two = {r[0] for r in data.select(label).distinct().limit(3).collect()} <= {0, 1, 0.0, 1.0}
+    estimator = weighted(estimator, weight)
     kept = folds.select("fold", id_, "role").persist()
     numbers = sorted(r[0] for r in kept.select("fold").distinct().collect())
     results = []
@@ -141,4 +187,31 @@ def hyper_fit(estimator, grid: Sequence[dict], data: DataFrame, folds: DataFrame
         results.append((sum(scores) / len(scores), params))
     kept.unpersist()
     best = max(results, key=lambda r: r[0])[1]
-    return estimator.copy(best).fit(data), results
+    tuned = estimator.copy(best)
+    return (Bag(tuned, *bagging, seed=seed).fit(data) if bagging else tuned.fit(data)), results
+
+
+class Bag:
+    """Copies of a classifier, each fitted on rows drawn with replacement; probabilities are averaged."""
+
+    def __init__(self, estimator, members: int = 10, share: float = 1.0, seed: int = 0):
+        if members < 1 or share <= 0:
+            raise ValueError("a bag needs members and rows")
+        self.estimator, self.members, self.share, self.seed, self.models = estimator, members, share, seed, []
+
+    def fit(self, data: DataFrame) -> Bag:
+        self.models = [self.estimator.fit(data.sample(True, self.share, self.seed + m)) for m in range(self.members)]
+        return self
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        """The columns of data, probability (an array over classes) and prediction (the first of the likeliest)."""
+        from pyspark.ml.functions import vector_to_array
+
+        names, out = list(data.columns), data
+        for m, model in enumerate(self.models):
+            scored = model.transform(out.select(*names, *(f"_m{i}" for i in range(m))))
+            out = scored.withColumn(f"_m{m}", vector_to_array("probability"))
+        each = [F.col(f"_m{m}") for m in range(self.members)]
+        mean = F.transform(each[0], lambda _, i: sum((F.get(p, i) for p in each[1:]), F.get(each[0], i)) / self.members)
+        out = out.select(*names, mean.alias("probability"))
+        return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))

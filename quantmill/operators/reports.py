@@ -96,6 +96,12 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
     return both.select("label", precision.alias("precision"), recall.alias("recall"), F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0)).alias("f1"), "support", (F.sum("hit").over(whole) / F.sum("support").over(whole)).alias("accuracy"))
 
 
+def weighted_f1(df: DataFrame, actual: str = "actual", predicted: str | None = "predicted") -> DataFrame:
+    """weighted_f1: the f1 of all labels, weighted by their support."""
+    r = classification_report(df, actual, predicted)
+    return r.agg((F.sum(F.col("f1") * F.col("support")) / F.nullif(F.sum("support"), F.lit(0))).alias("weighted_f1"))
+
+
 def roc(df: DataFrame, actual: str = "actual", score: str = "score", *, key: str = "series_id") -> DataFrame:
     """tpr and fpr at each distinct score, from the highest, by series."""
     at = df.groupBy(key, F.col(score).alias("score")).agg(F.sum(F.col(actual).cast("bigint")).alias("p"), F.sum(1 - F.col(actual).cast("bigint")).alias("n"))
