@@ -173,7 +173,18 @@ def _plain(name, build):
     R.add(name)(build)
 
 
-_plain("frac_diff", lambda s, d: feat.frac_diff(events_series(s, d, "event_type"), 0.4))
+
+
+@R.add("frac_diff", f"""WITH RECURSIVE {BY_TYPE}, x AS (SELECT series_id, ts, close, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY series_id) AS n FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+  most AS (SELECT max(n) AS n FROM x), g AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - (k + 1) + 1) / (k + 1) FROM g, most WHERE k + 1 < n),
+  c AS (SELECT n, sum(abs(w)) OVER (PARTITION BY n ORDER BY k DESC) / sum(abs(w)) OVER (PARTITION BY n) AS share FROM (SELECT DISTINCT n FROM x), g WHERE k < n),
+  skip AS (SELECT n, count(*) FILTER (share > 0.01) AS skip FROM c GROUP BY n),
+  f AS (SELECT a.series_id, a.ts, a.t, a.n, sum(w * b.close) AS v FROM x a JOIN x b ON a.series_id = b.series_id AND b.t <= a.t JOIN g ON k = a.t - b.t GROUP BY ALL)
+  SELECT series_id, ts, CASE WHEN t >= skip THEN {sql6("v")} END AS frac_diff FROM f JOIN skip USING (n)""")
+def frac_diff(spark, d):
+    return rounded(feat.frac_diff(events_series(spark, d, "event_type"), 0.4), "series_id", "ts", frac_diff="frac_diff")
+
+
 _plain("frac_diff_orders", lambda s, d: feat.order_table(events_series(s, d, "event_type"), [i / 10 for i in range(11)]))
 _plain("frac_diff_min_order", lambda s, d: feat.min_order(events_series(s, d, "event_type"), num=21))
 for _name in ("min_volatility", "max_return_min_volatility", "max_sharpe", "max_diversification", "max_decorrelation"):
@@ -203,15 +214,15 @@ def _efficient_return(s, d):
 _plain("mv_efficient_risk", _efficient_risk)
 _plain("mv_efficient_return", _efficient_return)
 _plain("mv_custom", lambda s, d: al.custom_objective(asset_returns(s, d), lambda w, m, c: float(w @ c @ w)))
-_plain("mv_frontier", lambda s, d: al.efficient_frontier(asset_returns(s, d), 25))
+_plain("mv_frontier", lambda s, d: al.efficient_frontier(asset_returns(s, d)))
 _plain("cla_turning_points", lambda s, d: al.critical_line(asset_returns(s, d)))
 _plain("cla_min_variance", lambda s, d: al.critical_line(asset_returns(s, d), "min_variance"))
 _plain("cla_max_sharpe", lambda s, d: al.critical_line(asset_returns(s, d), "max_sharpe"))
 _plain("cla_frontier", lambda s, d: al.critical_line(asset_returns(s, d), "frontier"))
 _plain("hrp", lambda s, d: al.hierarchical(asset_returns(s, d)))
-_plain("hrp_rescaled", lambda s, d: al.hierarchical_rescaled(asset_returns(s, d), n_run=20))
+_plain("hrp_rescaled", lambda s, d: al.hierarchical_rescaled(asset_returns(s, d)))
 _plain("nco", lambda s, d: al.nested_clusters(asset_returns(s, d)))
-_plain("nco_monte_carlo", lambda s, d: al.nested_monte_carlo(asset_returns(s, d), 8, 60))
+_plain("nco_monte_carlo", lambda s, d: al.nested_monte_carlo(asset_returns(s, d), n_obs=60))
 _plain("denoised_cov", lambda s, d: al.denoised_covariance(asset_returns(s, d)))
 _plain("robust_cov", lambda s, d: al.robust_covariance(asset_returns(s, d)))
 
