@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roots
-from ..operators import bootstrap, crossval, garch, importance, labels, mixture
+from ..functions.draws import normal_sql, uniform_sql
+from ..operators import bootstrap, crossval, garch, importance, kernel, labels, mixture
 from ..operators.ensemble import SequentialBagging
 from ..sources import generators as gen
 from ..sources.tables import daily_bars, events_series, table
@@ -26,7 +27,7 @@ def _plain(name):
 def seq_bootstrap(spark, d):
     p = events_series(spark, d)
     e = labels.vertical_barrier(p, p.select("series_id", F.col("ts").alias("t0")))
-    return bootstrap.sequential_bootstrap(p, e, sample_len=10)
+    return bootstrap.sequential_bootstrap(p, e)
 
 
 @_plain("bootstrap_monte_carlo")
@@ -143,6 +144,33 @@ def bagged_regression(spark, d):
     return model.predict(data).select("id", "label", "prediction")
 
 
+@_plain("bagged_multiclass")
+def bagged_multiclass(spark, d):
+    data, names = samples(spark, d)
+    data = data.withColumn("label", (F.col("id") % 3).cast("double"))
+    model = SequentialBagging(names, n_estimators=3, max_features=0.5, seed=2).fit(data, data.select(F.col("t0").alias("ts")))
+    return model.predict(data).select("id", "label", "prediction", *(F.col("probabilities")[k].alias(f"p{k}") for k in range(3)))
+
+
+@_plain("pipeline_cv")
+def pipeline_cv(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+
+    data, names = samples(spark, d)
+    data = importance.assemble(data, names).withColumn("w", (1 + F.col("id") % 3).cast("double"))
+    steps = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=20)])
+    scores = crossval.cv_score(steps, data, _folds(data), weight="w", shuffle=1)
+    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(scores)], "fold int, score double")
+
+
+@_plain("svm_report")
+def svm_report(spark, d):
+    data, names = samples(spark, d)
+    return kernel.svm_report(data, names, costs=(0.1, 10.0), gammas=(None, 0.05))
+
+
 @_plain("ef3m")
 def ef3m(spark, d):
     return mixture.fit_moments(spark, mixture.mixture_moments((-2.0, 1.0, 2.0, 1.0, 0.1)), n_run=4, starts=60, epsilon=1e-4)
@@ -201,8 +229,65 @@ def find_roots(spark, d):
     return spark.createDataFrame([(n, len(p) - 1, p[-1]) for n, p in paths.items()], "method string, steps bigint, root double").select("method", "steps", r6("root", 9).alias("root"))
 
 
-R.add("gen_classification")(lambda s, d: gen.classification_set(s, n_samples=1000))
-R.add("gen_price_walk")(lambda s, d: gen.price_walk(s, n_samples=10_000))
-R.add("gen_intervals")(lambda s, d: gen.random_intervals(s, 1000))
-R.add("gen_portfolio")(lambda s, d: gen.portfolio(s, 1000))
-R.add("gen_correlated")(lambda s, d: gen.correlated_returns(s, 500))
+# Generators: the SQL draws the same hashes.
+
+_DAY = "(TIMESTAMP '2000-01-03' + to_days((floor(id / 5) * 7 + id % 5)::INT))"
+
+
+def _ids(n: int) -> str:
+    return f"(SELECT range AS id FROM range({n}))"
+
+
+def _all_rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r6(f.name).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in df.schema.fields))
+
+
+def _classification_sql() -> str:
+    informative, noise = [f"{normal_sql(0, i)} AS I_{i}" for i in range(10)], [f"{normal_sql(0, 500 + j)} AS N_{j}" for j in range(20)]
+    score = " ".join(f"{'+' if i % 2 == 0 else '-'} I_{i}" for i in range(10)) + " + 0.5 * e"
+    mixed = lambda j: " + ".join(f"I_{i} * {((i * 7 + j * 3) % 5 - 2) / 2}::DOUBLE" for i in range(10))
+    out = [f"{sql6(f'I_{i}')} AS I_{i}" for i in range(10)] + [f"{sql6(mixed(j))} AS R_{j}" for j in range(10)] + [f"{sql6(f'N_{j}')} AS N_{j}" for j in range(20)]
+    return f"""WITH d AS (SELECT id, {", ".join(informative + noise)}, {normal_sql(0, 999)} AS e, TIMESTAMP '2000-01-03' + to_days(id::INT) AS t0 FROM {_ids(1000)})
+  SELECT id, {", ".join(out)}, (0 {score} > 0)::INT AS bin, {sql6("0.001::DOUBLE")} AS w, t0, t0 + to_days(1) AS t1 FROM d"""
+
+
+@R.add("gen_classification", _classification_sql())
+def gen_classification(spark, d):
+    return _all_rounded(gen.classification_set(spark, n_samples=1000))
+
+
+@R.add("gen_price_walk", f"SELECT 0::BIGINT AS series_id, TIMESTAMP '2000-01-01' + to_minutes(id) AS ts, id AS seq, {sql6('1000 + sum(e) OVER (ORDER BY id)')} AS close FROM (SELECT id, {normal_sql(0, 0)} AS e FROM {_ids(10_000)})")
+def gen_price_walk(spark, d):
+    return _all_rounded(gen.price_walk(spark, n_samples=10_000))
+
+
+@R.add("gen_intervals", f"SELECT id, {_DAY} AS t0, {_DAY} + to_days(floor({uniform_sql(0, 0)} * 5)::INT + 1) AS t1 FROM {_ids(1000)}")
+def gen_intervals(spark, d):
+    return gen.random_intervals(spark, 1000)
+
+
+def _portfolio_sql() -> str:
+    u = lambda k, lo, hi: f"({lo} + {uniform_sql(0, k)} * ({hi!r}::DOUBLE - {lo!r}::DOUBLE))"
+    drawn = f"{u(1, 95.0, 1000.0)} AS open, {u(2, 0.8, 1.2)} AS c, round({u(3, 1000.0, 10000.0)}) AS open_pos, round({u(4, 1000.0, 10000.0)}) AS close_pos, {u(5, 0.012, 0.12)} AS y, {u(6, 0.005, 0.05)} AS e, {u(7, 0.92, 0.95)} AS o"
+    values = {"open": "open", "close": "open * c", "open_pos": "open_pos", "close_pos": "close_pos", "yield": "y * open * c", "expense": "open * e", "clean_open": "open * o", "clean_close": "(1 - y) * open * c"}
+    return f"""WITH d AS (SELECT id, {_DAY} AS t0, {_DAY} + to_days(floor({uniform_sql(0, 0)} * 5)::INT + 1) AS t1, {drawn} FROM {_ids(1000)})
+  SELECT id, t0, t1, {", ".join(f'{sql6(v)} AS "{n}"' for n, v in values.items())}, (open < 200)::INT AS label FROM d"""
+
+
+@R.add("gen_portfolio", _portfolio_sql())
+def gen_portfolio(spark, d):
+    return _all_rounded(gen.portfolio(spark, 1000))
+
+
+def _correlated_sql() -> str:
+    source = [(i * 7919) % 5 + 1 for i in range(5)]
+    first = ", ".join(f"{normal_sql(0, i)} * 0.01 AS a{i + 1}" for i in range(5))
+    second = ", ".join(f"a{k} + {normal_sql(0, 100 + i)} * 0.25::DOUBLE * 0.01 AS a{6 + i}" for i, k in enumerate(source))
+    shocked = lambda c: f"CASE shock WHEN 1 THEN -0.5::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE {c} END" if c in (f"a{source[-1]}", "a10") else c
+    return f"""WITH a AS (SELECT id, floor({uniform_sql(0, 999)} * 1000) AS shock, {first} FROM {_ids(500)}), b AS (SELECT *, {second} FROM a)
+  {" UNION ALL ".join(f"SELECT {_DAY} AS ts, 'a{i}' AS asset, {sql6(shocked(f'a{i}'))} AS ret FROM b" for i in range(1, 11))}"""
+
+
+@R.add("gen_correlated", _correlated_sql())
+def gen_correlated(spark, d):
+    return _all_rounded(gen.correlated_returns(spark, 500))
