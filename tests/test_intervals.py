@@ -87,3 +87,21 @@ def test_limit_prices(spark):
         total = sum(r.forecast - j / r.max_pos * (w / (1 - (j / r.max_pos) ** 2)) ** 0.5 for j in range(abs(r.pos + sign), abs(target) + 1))
         assert r.limit == pytest.approx(total / abs(target - r.pos))
     assert [r[0] for r in spark.createDataFrame([(0.125,), (0.375,), (-3.0,)], "x double").select(betsize.discrete(F.col("x"), 0.25)).collect()] == [0.0, 0.5, -1.0]
+
+
+def test_train_times_without_a_key_equal_every_pair(spark):
+    import datetime
+    import random
+
+    from quantmill.operators import crossval
+
+    rng = random.Random(6)
+    at = lambda k: None if k is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k)
+    events = [(i, rng.choice([None, *range(40)]), rng.choice([None, *range(40)])) for i in range(150)]
+    tests = [(s, s + rng.randint(-1, 4)) for s in rng.sample(range(40), 7)] + [(None, 5)]
+    between = lambda x, s, e: x is not None and s is not None and s <= x <= e
+    spans = lambda a, b, s, e: None not in (a, b, s) and a <= s and e <= b
+    expected = {i for i, a, b in events if not any(between(a, s, e) or between(b, s, e) or (s is not None and s <= e and spans(a, b, s, e)) for s, e in tests)}
+    e = spark.createDataFrame([(i, at(a), at(b)) for i, a, b in events], "id int, t0 timestamp_ntz, t1 timestamp_ntz")
+    t = spark.createDataFrame([(at(s), at(x)) for s, x in tests], "start timestamp_ntz, end timestamp_ntz")
+    assert {r.id for r in crossval.train_times(e, t).collect()} == expected

@@ -156,3 +156,76 @@ def test_samples_hold_all_components(spark, small_dir):
     data, names = models.samples(spark, small_dir)
     rows = spark.read.parquet(f"{small_dir}/embeddings.parquet").collect()
     assert {r.id: [r[n] for n in names] for r in data.collect()} == {r.vec_id: list(r.embedding) for r in rows}
+
+
+def test_streams_keep_rows_of_one_time(spark, tmp_path):
+    import datetime
+
+    at = [datetime.datetime(2024, 1, 1, 0, 0, k) for k in (0, 0, 1, 1, 1, 2)]
+    rows = [("a", t, k, v) for k, (t, v) in enumerate(zip(at, (1.0, 9.0, 2.0, 12.0, 1.0, 20.0), strict=True))]
+    source = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, seq long, close double")
+    for part in (source.where("seq < 4"), source.where("seq >= 4"), source.where("seq = 1")):  # the last row is a repeat
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_cusum(stream, 5.0).writeStream.format("memory").queryName("ties").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    got = sorted(r.seq for r in spark.sql("select * from ties").collect())
+    assert got == sorted(r.seq for r in filters.cusum_events(source, 5.0).collect()) and len(got) > 2
+
+
+def test_bagging_of_three_classes_by_series(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    base = classification_set(spark, 3, 2, 0, 300).select("id", "t0", "t1", (F.col("id") % 2).alias("series"), (F.col("id") % 3).cast("double").alias("label"))
+    noise = spark.createDataFrame([(i, float(i % 3 + rng.normal(0, 0.2)), float(rng.normal())) for i in range(300)], "id long, x double, y double")
+    data = base.join(noise, "id").cache()
+    bars_ = data.select(F.col("t0").alias("ts"), "series")
+    model = SequentialBagging(["x", "y"], n_estimators=3, seed=1, key="series").fit(data, bars_)
+    assert model.drawn.groupBy("m").agg(F.sum("n").alias("n")).where("n != 300").count() == 0
+    out = model.predict(data).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and len(r.probabilities) == 3 for r in out)
+    assert np.mean([r.prediction == r.label for r in out]) > 0.9 and model.oob_score(data) > 0.85
+    again = SequentialBagging(["x", "y"], n_estimators=3, seed=1, key="series").fit(data.repartition(5), bars_)
+    rows = lambda m: sorted(map(tuple, m.drawn.collect()))
+    assert rows(again) == rows(model)
+
+
+def test_pipelines_take_weights_and_bags_are_averaged(spark, data, folds):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    rows = importance.assemble(data, NAMES).withColumn("wt", F.when(F.col("label") == 1, 1000.0).otherwise(0.001))
+    model = LogisticRegression(featuresCol="scaled", labelCol="label")
+    steps = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"), model])
+    assert crossval.weighted(steps, "wt").getStages()[-1].getWeightCol() == "wt" and steps.getStages()[-1] is model
+    out = crossval.weighted(steps, "wt").fit(rows).transform(rows)
+    assert out.where("prediction = 0").count() < 0.2 * steps.fit(rows).transform(rows).where("prediction = 0").count()
+    assert crossval.cv_score(steps, rows, folds, shuffle=3, scoring="accuracy") == pytest.approx(crossval.cv_score(steps, rows, folds, scoring="accuracy"), abs=0.05)
+    with pytest.raises(ValueError):
+        crossval.weighted(StandardScaler(), "wt")
+    grid = ParamGridBuilder().addGrid(model.regParam, [0.0, 0.1]).build()
+    bag, scores = crossval.hyper_fit(steps, grid, rows, folds, bagging=(2, 0.8))
+    made = bag.transform(rows)
+    assert len(bag.models) == 2 and len(scores) == 2 and made.where("abs(aggregate(probability, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+    assert made.where("prediction = label").count() > 0.7 * rows.count()
+
+
+def test_kernel_machine_tells_a_ring_from_its_inside(spark):
+    import numpy as np
+
+    from quantmill.operators import kernel
+
+    rng = np.random.default_rng(1)
+    angle, label = rng.uniform(0, 6.28, 400), np.arange(400) % 2
+    radius = np.where(label == 1, 2.0, 0.5) + rng.normal(0, 0.1, 400)
+    rows = spark.createDataFrame([(i, float(r * np.cos(a)), float(r * np.sin(a)), float(k)) for i, (r, a, k) in enumerate(zip(radius, angle, label, strict=True))], "id long, x double, y double, label double")
+    report = kernel.svm_report(rows, ["x", "y"], costs=(10.0,), gammas=(None, 0.5)).collect()
+    best = {r.gamma: r.accuracy for r in report}
+    assert best[0.5] > 0.95 > best[None] and all(0 <= r.weighted_f1 <= 1 for r in report)
+    x = np.random.default_rng(2).normal(size=(2, 2))
+    made = kernel.fourier(spark.createDataFrame([(0, *map(float, x[0])), (1, *map(float, x[1]))], "id long, x double, y double"), ["x", "y"], 0.3, 4000).orderBy("id").collect()
+    assert made[0].features.dot(made[1].features) == pytest.approx(np.exp(-0.3 * ((x[0] - x[1]) ** 2).sum()), abs=0.06)

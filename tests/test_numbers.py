@@ -187,3 +187,53 @@ def test_shapiro_takes_all_values(spark):
     assert (got["long"].w, got["long"].p_value) == linalg.shapiro(x) and not got["long"].p_in_range
     assert (got["short"].w, got["short"].p_value) == linalg.shapiro(x[:500]) and got["short"].p_in_range
     assert {r.series_id: (r.shapiro_w, r.shapiro_in_range) for r in reports.normality(df).collect()} == {k: (r.w, r.p_in_range) for k, r in got.items()}
+
+
+def test_linkage_equals_a_plain_loop():
+    rng = np.random.default_rng(8)
+    for method in solvers.METHODS:
+        x = rng.normal(size=(25, 3))
+        squared = method in ("centroid", "ward")
+        d = {(i, j): float(((x[i] - x[j]) ** 2).sum()) ** (1 if squared else 0.5) for i in range(25) for j in range(i + 1, 25)}
+        size, alive, expected = dict.fromkeys(range(25), 1), list(range(25)), []
+        for new in range(25, 49):
+            i, j = min(((a, b) for k, a in enumerate(alive) for b in alive[k + 1 :]), key=d.get)
+            dij, ni, nj = d[i, j], size[i], size[j]
+            alive = [c for c in alive if c not in (i, j)]
+            for k in alive:
+                a, b, nk = d[min(i, k), max(i, k)], d[min(j, k), max(j, k)], size[k]
+                d[k, new] = {
+                    "single": min(a, b), "average": (ni * a + nj * b) / (ni + nj), "weighted": (a + b) / 2, "centroid": (ni * a + nj * b) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2, "ward": ((ni + nk) * a + (nj + nk) * b - nk * dij) / (ni + nj + nk),
+                }[method]
+            size[new] = ni + nj
+            alive.append(new)
+            expected.append((i, j, dij**0.5 if squared else dij, ni + nj))
+        got = solvers.linkage(x, method)
+        assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in expected]
+        assert np.allclose([x[2] for x in got], [x[2] for x in expected])
+
+
+def test_robust_covariance_equals_the_solver_on_all_rows(spark):
+    from quantmill.operators import allocation
+
+    rng = np.random.default_rng(5)
+    x = rng.multivariate_normal([0, 0, 0], [[1, 0.5, 0], [0.5, 1, 0], [0, 0, 2]], 300)
+    x[:40] += 50
+    import datetime
+
+    rows = [(datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i), f"a{k}", float(v)) for i, r in enumerate(x) for k, v in enumerate(r)]
+    got = allocation.robust_covariance(spark.createDataFrame(rows, "ts timestamp_ntz, asset string, ret double"))
+    c = np.zeros((3, 3))
+    for r in got.collect():
+        c[int(r.asset_i[1]), int(r.asset_j[1])] = r.cov
+    best = solvers.min_determinant(x)
+    assert abs(np.linalg.slogdet(c)[1] - np.linalg.slogdet(best)[1]) < 0.05 and np.trace(c) < np.trace(np.cov(x, rowvar=False)) / 10
+
+
+def test_draws_are_the_same_in_any_partitioning(spark):
+    from quantmill.functions.draws import normal, uniform
+
+    rows = lambda n: spark.range(0, 4000, 1, n).select("id", uniform(1, 2).alias("u"), normal(1, 3).alias("z")).orderBy("id").collect()
+    a, b = rows(1), rows(7)
+    z, u = np.array([r.z for r in a]), np.array([r.u for r in a])
+    assert a == b and abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05 and abs(u.mean() - 0.5) < 0.02 and 0 < u.min() and u.max() < 1
