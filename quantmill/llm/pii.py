@@ -25,6 +25,8 @@ proposed at every start, also inside of a proposal that fails.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,14 @@ NAMES = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|p
 VALUE = r"[A-Za-z0-9+/_.~-]"
 ASSIGNED = rf"(?<=[=:\x20\x22\x27])(?={VALUE}{{8}})(?<={NAMES}[\x22\x27]?\x20{{0,3}}[=:]\x20{{0,3}}[\x22\x27]?){VALUE}{{8,}}+"
 
+#: One of these stands in each key.
+KEY_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "rk_live_", "sk_live_")
+
+
+def _any(text: Column, *parts: str) -> Column:
+    return functools.reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
+
+
 #: Kind: a substring or pattern without which there is no match, and the pattern.
 PATTERNS = {
     "email": (lambda t: t.contains("@"), r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -66,7 +76,7 @@ PATTERNS = {
     "phone": (lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": (lambda t: t.rlike(r"[A-Z][A-Z][0-9][0-9]"), _iban()),
     "ssn": (lambda t: t.rlike(r"[0-9]-[0-9][0-9]-[0-9]"), r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "secret": (lambda t: t.rlike(rf"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|[rs]k_live_|[=:]\x20{{0,3}}[\x22\x27]?{VALUE}{{8}}"), rf"{KEYS}|{ASSIGNED}"),
+    "secret": (lambda t: _any(t, *KEY_SIGNS) | (_any(t, "=", ":") & t.rlike(rf"[=:]\x20{{0,3}}[\x22\x27]?{VALUE}{{8}}")), rf"{KEYS}|{ASSIGNED}"),
 }
 #: Score of a confirmed span before its context, and the words that raise it.
 SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3, "secret": 0.6}
