@@ -39,24 +39,24 @@ def fourier(data: DataFrame, names: Sequence[str], gamma: float, n: int = 256, s
     return with_x.withColumn("features", array_to_vector(made)).drop("_w", "_x")
 
 
-def kernel_machine(train: DataFrame, names: Sequence[str], cost: float = 1.0, gamma: float | None = None, label: str = "label", n: int = 256, seed: int = 0):
+def kernel_machine(train: DataFrame, names: Sequence[str], cost: float = 1.0, gamma: float | None = None, label: str = "label", n: int = 256, seed: int = 0, max_iter: int = 50):
     """The fitted machine as a function that adds prediction to rows. gamma None: a linear machine on the columns."""
     from pyspark.ml.classification import LinearSVC
 
     made = (lambda rows: assemble(rows, names)) if gamma is None else (lambda rows: fourier(rows, names, gamma, n, seed))
     rows = made(train).persist()
-    model = LinearSVC(labelCol=label, featuresCol="features", regParam=1 / (cost * max(1, rows.count())), maxIter=50).fit(rows)
+    model = LinearSVC(labelCol=label, featuresCol="features", regParam=1 / (cost * max(1, rows.count())), maxIter=max_iter).fit(rows)
     rows.unpersist()
     return lambda data: model.transform(made(data)).drop("features", "rawPrediction")
 
 
-def svm_report(data: DataFrame, names: Sequence[str], *, costs: Sequence[float] = (0.1, 1.0, 10.0), gammas: Sequence[float | None] = (None, 0.01, 0.1), test_share: float = 0.2, id_: str = "id", label: str = "label", seed: int = 0) -> DataFrame:
+def svm_report(data: DataFrame, names: Sequence[str], *, costs: Sequence[float] = (0.1, 1.0, 10.0), gammas: Sequence[float | None] = (None, 0.01, 0.1), test_share: float = 0.2, id_: str = "id", label: str = "label", seed: int = 0, n: int = 256, max_iter: int = 50) -> DataFrame:
     """For each cost and gamma (null: linear) the report of the test rows by label: precision, recall, f1, support, accuracy, weighted_f1."""
     train, test = split(data, test_share, seed, id_)
     out = None
     for gamma in gammas:
         for cost in costs:
-            scored = kernel_machine(train, names, cost, gamma, label, seed=seed)(test)
+            scored = kernel_machine(train, names, cost, gamma, label, n, seed, max_iter)(test)
             rows = scored.select(F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
             part = classification_report(rows).crossJoin(weighted_f1(rows))  # one row for each label, and one row
             part = part.select(F.lit(float(cost)).alias("cost"), F.lit(gamma).cast("double").alias("gamma"), "*")

@@ -222,10 +222,10 @@ def test_kernel_machine_tells_a_ring_from_its_inside(spark):
     rng = np.random.default_rng(1)
     angle, label = rng.uniform(0, 6.28, 400), np.arange(400) % 2
     radius = np.where(label == 1, 2.0, 0.5) + rng.normal(0, 0.1, 400)
-    rows = spark.createDataFrame([(i, float(r * np.cos(a)), float(r * np.sin(a)), float(k)) for i, (r, a, k) in enumerate(zip(radius, angle, label, strict=True))], "id long, x double, y double, label double")
-    report = kernel.svm_report(rows, ["x", "y"], costs=(10.0,), gammas=(None, 0.5)).collect()
+    rows = spark.createDataFrame([(i, float(r * np.cos(a)), float(r * np.sin(a)), float(k)) for i, (r, a, k) in enumerate(zip(radius, angle, label, strict=True))], "id long, x double, y double, label double").coalesce(1)
+    report = kernel.svm_report(rows, ["x", "y"], costs=(10.0,), gammas=(None, 0.5), n=64, max_iter=12).collect()
     best = {r.gamma: r.accuracy for r in report}
     assert best[0.5] > 0.95 > best[None] and all(0 <= r.weighted_f1 <= 1 for r in report)
     x = np.random.default_rng(2).normal(size=(2, 2))
-    made = kernel.fourier(spark.createDataFrame([(0, *map(float, x[0])), (1, *map(float, x[1]))], "id long, x double, y double"), ["x", "y"], 0.3, 4000).orderBy("id").collect()
+    made = kernel.fourier(spark.createDataFrame([(0, *map(float, x[0])), (1, *map(float, x[1]))], "id long, x double, y double"), ["x", "y"], 0.3, 3000).orderBy("id").collect()
     assert made[0].features.dot(made[1].features) == pytest.approx(np.exp(-0.3 * ((x[0] - x[1]) ** 2).sum()), abs=0.06)
