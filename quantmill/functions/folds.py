@@ -48,6 +48,32 @@ def ordered_fold(df: DataFrame, key: str, order: Sequence[str], start: Callable[
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def ordered_scan(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], Any], step: Callable[..., Any], reads: Sequence[str], adds: Sequence[str] = ()) -> DataFrame:
+    """The rows of each key in order: those that step picks or, with adds, all of them with more columns.
+
+    start() makes the state of a key; step(state, *values of reads) changes it in place and
+    returns a boolean, or the numbers of adds. Only the key and the columns of reads become
+    Python values; the rows themselves pass through in Arrow.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in adds)])
+
+    def run(batches):
+        state, current, began = None, None, False
+        for batch in batches:
+            got = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *reads)), strict=True):
+                if not began or k != current:
+                    state, current, began = start(), k, True
+                got.append(step(state, *values))
+            if not adds:
+                yield batch.filter(pa.array(got, pa.bool_()))
+                continue
+            more = [pa.array([g[i] for g in got], pa.float64()) for i in range(len(adds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *adds])
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 class Ewm:
     """Exponentially weighted mean and deviation, adjusted and debiased; weights decay over nulls too."""
 

@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.folds import ordered_fold
+from ..functions.folds import ordered_scan
 from ..functions.windows import expanding, ordered
 
 
@@ -29,14 +28,14 @@ def sampled_bars(df: DataFrame, column: str, threshold: float, *, key: str = "se
     if threshold <= 0:
         raise ValueError("threshold must be positive")
 
-    def step(state: list, row: dict):
-        state[0] += row[column] or 0.0
-        if state[0] >= threshold:
+    def step(state: list, value: float | None) -> bool:
+        state[0] += value or 0.0
+        fires = state[0] >= threshold
+        if fires:
             state[0] = 0.0
-            return row
-        return None
+        return fires
 
-    return ordered_fold(df, key, order, lambda: [0.0], step, df.schema)
+    return ordered_scan(df, key, order, lambda: [0.0], step, [column])
 
 
 def dollar_bars(df: DataFrame, threshold: float, column: str = "dollars", **named) -> DataFrame:
@@ -85,8 +84,7 @@ def imbalance_bars(df: DataFrame, limit: float, alpha: float, price: str = "clos
     def start():
         return {"n": 0, "cum": 0.0, "theta": 0, "up": 0, "ema": WeightedTicks()}
 
-    def step(s: dict, row: dict):
-        r = row["ret"]
+    def step(s: dict, r: float) -> tuple:
         s["n"] += 1
         s["cum"] += r
         if r >= 0:
@@ -101,10 +99,9 @@ def imbalance_bars(df: DataFrame, limit: float, alpha: float, price: str = "clos
                 s["up"] = 0
             else:
                 s["theta"] = 0
-        return row | {"cum_ret": s["cum"], "imbalance": imbalance}
+        return s["cum"], imbalance
 
-    rows = simple_returns(df, price, key=key, order=order)
-    return ordered_fold(rows, key, order, start, step, T.StructType([*rows.schema.fields, T.StructField("cum_ret", T.DoubleType()), T.StructField("imbalance", T.DoubleType())]))
+    return ordered_scan(simple_returns(df, price, key=key, order=order), key, order, start, step, ["ret"], ["cum_ret", "imbalance"])
 
 
 def imbalance_signals(bars: DataFrame, *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
@@ -136,11 +133,11 @@ def spread_bars(quotes: DataFrame, limit: float, alpha: float, *, key: str = "se
     def start():
         return {"sum": 0.0, "abs": 0.0, "up": 0.0, "now": 0.0, "ema": WeightedTicks()}
 
-    def step(s: dict, row: dict):
-        if row["bid"] is None or row["ask"] is None or row["last"] is None:
-            return row | {"mid": None, "diff": None, "imbalance": s["now"]}
-        mid = (row["bid"] + row["ask"]) / 2
-        diff = row["last"] - mid
+    def step(s: dict, bid: float | None, ask: float | None, last: float | None) -> tuple:
+        if bid is None or ask is None or last is None:
+            return None, None, s["now"]
+        mid = (bid + ask) / 2
+        diff = last - mid
         s["sum"] += diff
         s["abs"] += abs(diff)
         if diff >= 0:
@@ -149,10 +146,9 @@ def spread_bars(quotes: DataFrame, limit: float, alpha: float, *, key: str = "se
         if upper >= limit and s["abs"] > 0:
             s["now"] = s["ema"].add(upper, alpha, s["abs"])
             s["up"] = 0.0
-        return row | {"mid": mid, "diff": diff, "imbalance": s["now"]}
+        return mid, diff, s["now"]
 
-    more = [T.StructField(n, T.DoubleType()) for n in ("mid", "diff", "imbalance")]
-    return ordered_fold(quotes, key, order, start, step, T.StructType([*quotes.schema.fields, *more]))
+    return ordered_scan(quotes, key, order, start, step, ["bid", "ask", "last"], ["mid", "diff", "imbalance"])
 
 
 def spread_percentile(high: Column, low: Column, current: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import ordered_fold
+from ..functions.folds import ordered_scan
 from .volatility import ewm
 
 
@@ -45,10 +45,10 @@ def cusum_events(df: DataFrame, limit: float | str, close: str = "close", *, key
     else:
         rows = df.withColumn("_limit", F.lit(float(limit)))
 
-    def step(state: list, row: dict):
-        return row if row["_limit"] is not None and cusum_step(state, row[close], row["_limit"]) else None
+    def step(state: list, value: float | None, least: float | None) -> bool:
+        return least is not None and cusum_step(state, value, least)
 
-    return ordered_fold(rows, key, order, lambda: [None, 0.0, 0.0], step, df.schema)
+    return ordered_scan(rows, key, order, lambda: [None, 0.0, 0.0], step, [close, "_limit"]).select(df.columns)
 
 
 def bands(df: DataFrame, window: int = 50, width: float = 0.001, close: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:

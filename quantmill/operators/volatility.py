@@ -7,9 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.folds import Ewm, ordered_fold
+from ..functions.folds import Ewm, ordered_scan
 from ..functions.windows import ordered, rolling
 
 
@@ -32,16 +31,11 @@ def lagged_return(df: DataFrame, close: str = "close", period: str = "days", fre
 def ewm(df: DataFrame, column: str, span: float, *, key: str = "series_id", order: Sequence[str] = ("ts",), mean: str | None = None, std: str | None = None) -> DataFrame:
     """Adds the exponentially weighted mean or deviation of a column."""
 
-    def step(s: Ewm, row: dict):
-        s.add(row[column])
-        if mean:
-            row[mean] = s.mean if s.w else None
-        if std:
-            row[std] = s.std
-        return row
+    def step(s: Ewm, value: float | None) -> list:
+        s.add(value)
+        return [x for name, x in ((mean, s.mean if s.w else None), (std, s.std)) if name]
 
-    more = [T.StructField(n, T.DoubleType()) for n in (mean, std) if n]
-    return ordered_fold(df, key, order, lambda: Ewm(span), step, T.StructType([*df.schema.fields, *more]))
+    return ordered_scan(df, key, order, lambda: Ewm(span), step, [column], [n for n in (mean, std) if n])
 
 
 def ewm_volatility(df: DataFrame, span: float = 100, period: str = "days", freq: float = 1, close: str = "close", *, key: str = "series_id", ts: str = "ts", order: Sequence[str] = ("ts",), name: str = "trgt") -> DataFrame:

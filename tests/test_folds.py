@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantmill.functions.folds import Ewm
+from quantmill.functions.folds import Ewm, ordered_scan
 from quantmill.operators import backtest, bars, filters, labels, volatility
 
 T0 = dt.datetime(2024, 1, 1)
@@ -55,6 +55,24 @@ def test_bars_discard_the_overshoot(spark):
     assert bars.price_bars(series(spark, []), 10).count() == 0
 
 
+def test_scan_passes_rows_through(spark):
+    rows = [(k, i, v, {"x": [v]}, None) for k in (None, 1, 2) for i, v in enumerate([1.0, None, float("nan"), 4.0])]
+    df = spark.createDataFrame(rows, "key int, i int, v double, m map<string, array<double>>, empty string")
+
+    def step(state, v):
+        state[0] += 1
+        return [state[0], v]
+
+    got = ordered_scan(df, "key", ["i"], lambda: [0.0], step, ["v"], ["n", "again"])
+    assert got.columns == [*df.columns, "n", "again"]
+    out = {(r.key, r.i): r for r in got.collect()}
+    assert len(out) == 12 and all(r.n == r.i + 1 and r.empty is None for r in out.values())
+    assert all((r.v is None) == (r.again is None) and str(r.v) == str(r.again) and str(r.m["x"][0]) == str(r.v) for r in out.values())
+    picked = ordered_scan(df, "key", ["i"], lambda: None, lambda _, v: v == 4.0, ["v"])
+    assert {(r.key, r.i) for r in picked.collect()} == {(k, 3) for k in (None, 1, 2)}
+    assert ordered_scan(df.where("false"), "key", ["i"], lambda: [0.0], step, ["v"], ["n", "again"]).count() == 0
+
+
 def test_ewm_equals_pandas():
     x = pd.Series([1.0, np.nan, 3.0, 2.0, np.nan, np.nan, 7.0, 5.0])
     mean, std = x.ewm(span=4).mean(), x.ewm(span=4).std()
