@@ -69,12 +69,13 @@ def average_holding(positions: DataFrame, column: str = "pos", *, key: str = "se
     return ordered_fold(positions.where(F.col(column).isNotNull()).select(key, ts, column), key, [ts], start, step, f"{key} {kind}, holding_days double", finish)
 
 
-def time_weighted(book: DataFrame, *, key: str = "series_id") -> DataFrame:
+def time_weighted(book: DataFrame, *, key: str = "series_id", block_days: int | None = None) -> DataFrame:
     """At every start or end of a position: tw_return = geometric mean of the growth of the active ones, less 1.
 
     growth = 1 + (pnl - expense) / (close * open_pos + close * added), where pnl is the price
     change by label (0: clean prices) plus yield, times the volume closed. Growth of exactly 1
-    does not count as active; a growth of 0 or less has no mean and gives null.
+    does not count as active; a growth of 0 or less has no mean and gives null. block_days deals
+    long series out by days (functions/intervals.py).
     """
     added = F.greatest(F.lit(0.0), F.col("close_pos") - F.col("open_pos"))
     change = F.when(F.col("label") == 0, F.col("clean_close") - F.col("clean_open")).otherwise(F.col("close") - F.col("open"))
@@ -83,7 +84,7 @@ def time_weighted(book: DataFrame, *, key: str = "series_id") -> DataFrame:
     points = grown.select(key, F.col("t0").alias("ts")).unionAll(grown.select(key, F.col("t1").alias("ts"))).distinct()
     good = F.col("growth") > 0
     values = {"_l": F.when(good, F.log("growth")).otherwise(0.0), "_n": F.when(good & (F.col("growth") != 1), 1.0).otherwise(0.0), "_bad": F.when(good, 0.0).otherwise(1.0)}
-    out = covering(points, grown.select(key, "t0", "t1", "growth"), key, "ts", values)
+    out = covering(points, grown.select(key, "t0", "t1", "growth"), key, "ts", values, block_days=block_days)
     return out.select(key, "ts", F.when((F.round("_bad") == 0) & (F.round("_n") > 0), F.exp(F.col("_l") / F.col("_n")) - 1).alias("tw_return"))
 
 

@@ -11,10 +11,10 @@ from ..functions import normal
 from ..functions.intervals import covering
 
 
-def active_average(signals: DataFrame, *, key: str = "series_id") -> DataFrame:
+def active_average(signals: DataFrame, *, key: str = "series_id", block_days: int | None = None) -> DataFrame:
     """At each start or end of a signal: signal = mean of the signals with t0 <= ts < t1 (null t1: for ever), else 0."""
     points = signals.select(key, F.col("t0").alias("ts")).unionAll(signals.where("t1 is not null").select(key, F.col("t1").alias("ts"))).distinct()
-    out = covering(points, signals.where("signal is not null"), key, "ts", {"_s": F.col("signal"), "_n": F.lit(1.0)}, closed=False)
+    out = covering(points, signals.where("signal is not null"), key, "ts", {"_s": F.col("signal"), "_n": F.lit(1.0)}, closed=False, block_days=block_days)
     return out.select(key, "ts", F.when(F.round("_n") > 0, F.col("_s") / F.col("_n")).otherwise(0.0).alias("signal"))
 
 
@@ -73,11 +73,11 @@ def dynamic_bet(df: DataFrame, calibration: tuple[float, float] = (10.0, 0.95))
     return out.withColumn("limit", limit_price(F.col("target"), F.col("pos"), F.col("forecast"), F.col("w"), F.col("max_pos")))
 
 
-def concurrent_bets(events: DataFrame, *, key: str = "series_id") -> DataFrame:
+def concurrent_bets(events: DataFrame, *, key: str = "series_id", block_days: int | None = None) -> DataFrame:
     """At each t0: longs and shorts alive (t0 <= ts < t1); events have a side."""
     points = events.select(key, F.col("t0").alias("ts")).distinct()
     side = lambda test: F.when(test, 1.0).otherwise(0.0)
-    out = covering(points, events, key, "ts", {"longs": side(F.col("side") > 0), "shorts": side(F.col("side") < 0)}, closed=False)
+    out = covering(points, events, key, "ts", {"longs": side(F.col("side") > 0), "shorts": side(F.col("side") < 0)}, closed=False, block_days=block_days)
     return out.withColumns({c: F.round(c).cast("bigint") for c in ("longs", "shorts")})
 
 

@@ -1,6 +1,7 @@
 """Concurrency, uniqueness and sample weights of interval-valued events.
 
 bars: series, ts and a price; events: series, t0, t1 (null: to the last bar), ends included.
+block_days deals long series out by days (functions/intervals.py).
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from ..functions.intervals import between, covering, inside
 from ..functions.windows import ordered
 
 
-def concurrent_events(bars: DataFrame, events: DataFrame, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def concurrent_events(bars: DataFrame, events: DataFrame, *, key: str = "series_id", ts: str = "ts", block_days: int | None = None) -> DataFrame:
     """Bars with n_events: how many events are alive at each, by a sweep line."""
     points = bars.select(key, ts).distinct()
-    out = covering(points, events.select(key, "t0", "t1"), key, ts, {"n_events": F.lit(1.0)})
+    out = covering(points, events.select(key, "t0", "t1"), key, ts, {"n_events": F.lit(1.0)}, block_days=block_days)
     return out.withColumn("n_events", F.col("n_events").cast("bigint"))
 
 
@@ -31,18 +32,18 @@ def average_uniqueness(matrix: DataFrame, *, key: str = "series_id") -> DataFram
     return matrix.withColumn("_u", 1 / alive).groupBy(key, "t0", "t1").agg(F.avg("_u").alias("uniqueness"))
 
 
-def uniqueness_weights(bars: DataFrame, events: DataFrame, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def uniqueness_weights(bars: DataFrame, events: DataFrame, *, key: str = "series_id", ts: str = "ts", block_days: int | None = None) -> DataFrame:
     """Events with t_w: mean over their bars of 1 / concurrency, by differences of running sums."""
-    c = concurrent_events(bars, events, key=key, ts=ts)
-    out = between(c, events.select(key, "t0", "t1"), key, ts, {"_s": F.when(F.col("n_events") > 0, 1 / F.col("n_events")).otherwise(0.0)})
+    c = concurrent_events(bars, events, key=key, ts=ts, block_days=block_days)
+    out = between(c, events.select(key, "t0", "t1"), key, ts, {"_s": F.when(F.col("n_events") > 0, 1 / F.col("n_events")).otherwise(0.0)}, block_days=block_days)
     return out.where("n_points > 0").select(key, "t0", "t1", (F.col("_s") / F.col("n_points")).alias("t_w"))
 
 
-def return_weights(bars: DataFrame, events: DataFrame, close: str = "close", *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+def return_weights(bars: DataFrame, events: DataFrame, close: str = "close", *, key: str = "series_id", ts: str = "ts", block_days: int | None = None) -> DataFrame:
     """Events with w: |sum of log returns over concurrency|, scaled to the number of events of the series."""
-    c = concurrent_events(bars, events, key=key, ts=ts)
+    c = concurrent_events(bars, events, key=key, ts=ts, block_days=block_days)
     priced = bars.select(key, ts, F.log(F.try_divide(F.col(close), F.lag(close).over(ordered(key, ts)))).alias("_r")).join(c, [key, ts])
-    out = between(priced, events.select(key, "t0", "t1"), key, ts, {"_s": F.when(F.col("n_events") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("n_events")).otherwise(0.0)})
+    out = between(priced, events.select(key, "t0", "t1"), key, ts, {"_s": F.when(F.col("n_events") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("n_events")).otherwise(0.0)}, block_days=block_days)
     whole = Window.partitionBy(key)
     raw = F.abs("_s")
     return out.select(key, "t0", "t1", (raw * F.count("*").over(whole) / F.nullif(F.sum(raw).over(whole), F.lit(0.0))).alias("w"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quantmill.operators import betsize, bootstrap, crossval, weights
 
+from .compare import close, rows
+
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -42,6 +44,26 @@ def test_concurrency_and_uniqueness(data):
         weights.time_decay(e, -1)
 
 
+def test_blocks_of_days_give_the_same_rows(spark, data):
+    b, e, _, _ = data
+    odd = spark.createDataFrame([(None, at(1), at(30), 1.0, 0.5), (1, at(3), at(3), 1.0, 0.5), (9, at(400), None, -1.0, 0.5)], e.schema)
+    e = e.unionAll(odd).withColumn("signal", F.col("side") * F.col("prob"))
+    b = b.unionAll(spark.createDataFrame([(None, at(2), 5.0), (1, None, 5.0), (9, at(500), 6.0)], b.schema))
+    for run in (weights.concurrent_events, weights.uniqueness_weights, weights.return_weights):
+        same(run(b, e), run(b, e, block_days=1))
+    for run in (betsize.active_average, betsize.concurrent_bets):
+        same(run(e), run(e, block_days=3))
+    empty = weights.uniqueness_weights(b.where("false"), e.where("false"), block_days=1)
+    assert empty.count() == 0
+
+
+def same(a, b):
+    even = lambda df: df.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes))
+    x, y = (rows(df.columns, even(df).collect()) for df in (a, b))  # rounded, for rows sorts by them
+    assert len(x) == len(y) > 0 and a.columns == b.columns
+    assert all(close(u, v) for p, q in zip(x, y, strict=True) for u, v in zip(p, q, strict=True))
+
+
 def test_active_average(data):
     _, e, _, events = data
     s = e.withColumn("signal", F.col("side") * F.col("prob"))
