@@ -86,13 +86,25 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count, pii_base, license_base)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count, op11_filter_audit, op13_quality_classifier, pii_base, license_base)}
 
 
 def _oracle_sql() -> dict[str, str]:
-    from . import chat_format, decontaminate, license_scan, pii, url_reputation
+    from . import chat_format, decontaminate, filter_audit, license_scan, pii, url_reputation
 
-    return {"op5_chat_format": chat_format.SQL, "op7_decontaminate": decontaminate.SQL, "op9_url_reputation": url_reputation.SQL, "pii_base": pii.BASE_SQL, "license_base": license_scan.BASE_SQL}
+    return {"op5_chat_format": chat_format.SQL, "op7_decontaminate": decontaminate.SQL, "op9_url_reputation": url_reputation.SQL, "op11_filter_audit": filter_audit.SQL, "pii_base": pii.BASE_SQL, "license_base": license_scan.BASE_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()
