@@ -92,13 +92,21 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import digest
+
+    return digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import score
 
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count, op11_filter_audit, op13_quality_classifier, pii_base, license_base)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ann_tree, op3_mixing, op4_license_scan, op5_chat_format, op6_pii, op7_decontaminate, op8_bagminhash, op9_url_reputation, op10_token_count, op11_filter_audit, op12_token_alignment, op13_quality_classifier, pii_base, license_base)}
 
 
 def _oracle_sql() -> dict[str, str]:
