@@ -147,14 +147,14 @@ def _chains_of_fingerprint(records):
                 yield least, part, mask, n
 
 
-def failures(documents: DataFrame, part: str = "source") -> DataFrame:
+def failures(documents: DataFrame, part: str = "source", name: str = "documents") -> DataFrame:
     """doc_id, part, mask (bits A=1 to E=16), n_rows: the filters that each document fails.
 
-    Rows that agree in all three may come as one row or as several; n_rows adds up to the table's rows.
+    `name` is what the RDD of the documents is called in the UI and the event log, where an RDD has no plan. Rows that agree in all three may come as one row or as several; n_rows adds up to the table's rows.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    source: RDD[Row] = rows.rdd
+    source: RDD[Row] = rows.rdd.setName(name)
     n = max(source.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = source.mapPartitions(_chains_of_task).repartitionAndSortWithinPartitions(n, lambda fp: fp % n)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n_rows", T.LongType())])
@@ -188,11 +188,11 @@ def _steps() -> tuple[list[tuple[str, int]], np.ndarray]:
 RESULT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
-def audit(documents: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
+def audit(documents: DataFrame, labels: DataFrame, part: str = "source", name: str = "documents") -> DataFrame:
     """Per part, order of the filters and step: the counts named in ``RESULT``."""
     spark = documents.sparkSession
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.when(F.col(c) == 1, 1).otherwise(0)).alias(c) for c in ("quality", "toxic")))
-    masks = failures(documents, part).join(said, "doc_id", "left")
+    masks = failures(documents, part, name).join(said, "doc_id", "left")
     rows = masks.select("part", "mask", "n_rows", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))).rdd
 
     def begun(x):

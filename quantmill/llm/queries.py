@@ -89,7 +89,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
-    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), name=f"{sf_dir}/documents.parquet")
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
