@@ -82,16 +82,24 @@ def purged_folds(events: DataFrame, n_splits: int = 5, embargo_share: float = 0.
     return role(train, "train").unionAll(role(both.where(is_test), "test"))
 
 
-def neg_log_loss(scored: DataFrame, label: str = "label", proba: str = "proba", weight: str | None = None) -> float:
-    """Weighted mean log of the probability given to the true class (label 0 or 1)."""
+def _log_loss(label: str, weight: str | None, proba: str = "proba") -> Column:
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.when(F.col(label) == 1, F.col(proba)).otherwise(1 - F.col(proba))))
     w = F.col(weight) if weight else F.lit(1.0)
-    return scored.agg(F.sum(F.log(p) * w) / F.sum(w)).first()[0]
+    return F.sum(F.log(p) * w) / F.sum(w)
 
 
-def accuracy(scored: DataFrame, label: str = "label", prediction: str = "prediction", weight: str | None = None) -> float:
+def _share_right(label: str, weight: str | None, prediction: str = "prediction") -> Column:
     w = F.col(weight) if weight else F.lit(1.0)
-    return scored.agg(F.sum(F.when(F.col(label) == F.col(prediction), w).otherwise(0.0)) / F.sum(w)).first()[0]
+    return F.sum(F.when(F.col(label) == F.col(prediction), w).otherwise(0.0)) / F.sum(w)
+
+
+def neg_log_loss(scored: DataFrame, label: str = "label", proba: str = "proba", weight: str | None = None) -> float:
+    """Weighted mean log of the probability given to the true class (label 0 or 1)."""
+    return scored.agg(_log_loss(label, weight, proba)).first()[0]
+
+
+def accuracy(scored: DataFrame, label: str = "label", prediction: str = "prediction", weight: str | None = None) -> float:
+    return scored.agg(_share_right(label, weight, prediction)).first()[0]
 
 
 def f1(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
@@ -100,6 +108,8 @@ def f1(scored: DataFrame, label: str = "label", prediction: str = "prediction")
 
 
 SCORERS: dict[str, Callable[..., float]] = {"neg_log_loss": neg_log_loss, "accuracy": accuracy}
+#: The same as aggregates of scored rows, from the names of label and weight.
+SCORES: dict[str, Callable[..., Column]] = {"neg_log_loss": _log_loss, "accuracy": _share_right}
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:

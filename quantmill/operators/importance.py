@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .crossval import SCORERS, _fold_scores, _scored, fold_numbers
+from ..functions import ranks
+from .crossval import SCORERS, SCORES, _fold_scores, _scored, fold_numbers
 
 
 #: Features whose jobs run side by side.
@@ -51,12 +52,23 @@ def mdi(importances: DataFrame, clusters: dict[str, Sequence[str]] | None = None
 
 
 def permuted(df: DataFrame, column: str, seed: int, id_: str = "id") -> DataFrame:
-    """The frame with one column shuffled: values are joined by their place in two orders."""
-    place = lambda salt: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(id_), F.lit(64))).orderBy(F.xxhash64(id_, F.lit(salt)), id_))
-    part = F.pmod(F.xxhash64(id_), F.lit(64))
-    values = df.select(part.alias("_b"), place(seed).alias("_k"), F.col(column).alias("_v"))
-    rows = df.withColumns({"_b": part, "_k": place(seed + 1)})
-    return rows.join(values, ["_b", "_k"]).withColumn(column, F.col("_v")).drop("_b", "_k", "_v")
+    """The frame with one column shuffled over all its rows (functions/ranks.py)."""
+    return ranks.permuted(df, [column], seed, id_)
+
+
+def each_permuted(df: DataFrame, names: Sequence[str], seed: int, id_: str = "id") -> DataFrame:
+    """For each name the whole frame with that column shuffled, and _feature: the place of the name.
+
+    One job for all of them: the values of all columns are ranked by column and hash at once,
+    brought together by place, joined to the rows once, and only then are the rows multiplied.
+    """
+    rows = ranks.numbered(df, [id_])
+    one = lambda j, n: F.struct(F.lit(j).alias("j"), F.xxhash64(F.lit(seed + 2 * j), id_).alias("hash"), F.col(n).cast("double").alias("value"))
+    long = df.select(F.col(id_).alias("_id"), F.explode(F.array(*(one(j, n) for j, n in enumerate(names)))).alias("_one")).select("_id", "_one.*")
+    placed = ranks.ranked(long, "j", ["hash", "_id"]).groupBy("_rank").agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("_values"))
+    each = rows.join(placed, "_rank").withColumn("_one", F.explode("_values"))
+    columns = [F.when(F.col("_one.j") == names.index(c), F.col("_one.value")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns]
+    return each.select(*columns, F.col("_one.j").alias("_feature"))
 
 
 def _summary(spark: SparkSession, rows: list[tuple], ddof: int) -> DataFrame:
@@ -71,19 +83,18 @@ def _summary(spark: SparkSession, rows: list[tuple], ddof: int) -> DataFrame:
 def mda(estimator, data: DataFrame, names: Sequence[str], folds: DataFrame, *, id_: str = "id", label: str = "label", weight: str | None = None, scoring: str = "neg_log_loss", seed: int = 0) -> tuple[DataFrame, float]:
     """Loss of score when a column is shuffled, relative to -score (log loss) or 1 - score; and the mean fold score."""
     score = SCORERS[scoring]
+    names = list(names)
     kept = folds.select("fold", id_, "role").persist()
     base, lost = [], {n: [] for n in names}
-    for k in sorted(r[0] for r in kept.select("fold").distinct().collect()):
+    for k in fold_numbers(kept):
         part = lambda role, k=k: data.join(kept.where((F.col("fold") == k) & (F.col("role") == role)).select(id_), id_)
         model = estimator.fit(assemble(part("train"), names))
         test = part("test").persist()
         base.append(score(_scored(model, assemble(test, names)), label=label, weight=weight))
-
-        def shuffled(j: int, n: str, test=test, model=model) -> float:
-            return score(_scored(model, assemble(permuted(test, n, seed + 2 * j, id_), names)), label=label, weight=weight)
-
-        for n, v in zip(names, _each(data.sparkSession, shuffled, names), strict=True):
-            lost[n].append(v)
+        scored = _scored(model, assemble(each_permuted(test, names, seed, id_), names))
+        found = {r["_feature"]: r["score"] for r in scored.groupBy("_feature").agg(SCORES[scoring](label, weight).alias("score")).collect()}
+        for j, n in enumerate(names):
+            lost[n].append(found[j])
         test.unpersist()
     kept.unpersist()
     whole = lambda s: -s if scoring == "neg_log_loss" else 1 - s

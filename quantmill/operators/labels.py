@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import inside
-from ..functions.windows import backward_fill
+from ..functions.crossing import first_crossing
+from ..functions.ranks import ranked
+from ..functions.windows import backward_fill, nan_to_null
 
 
 def vertical_barrier(prices: DataFrame, events: DataFrame, period: str = "days", freq: float = 1, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
@@ -31,23 +32,30 @@ def vertical_barrier(prices: DataFrame, events: DataFrame, period: str = "days",
     return line.where("_kind = 0 and t1 is not null").select(key, *(F.col(f"_event.{c}").alias(c) for c in own), "t1")
 
 
-def barrier_touches(prices: DataFrame, events: DataFrame, pt: float, sl: float, *, key: str = "series_id", ts: str = "ts", close: str = "close", bucket_days: int = 1) -> DataFrame:
+def barrier_touches(prices: DataFrame, events: DataFrame, pt: float, sl: float, *, key: str = "series_id", ts: str = "ts", close: str = "close") -> DataFrame:
     """Events with pt and sl: the first times in [t0, t1] at which the path crosses a barrier.
 
     The path is side * (price / price at t0 - 1); a multiplier of 0 disables its barrier, a
-    null t1 means the last bar. A price of 0 at t0 has no path. bucket_days: days of prices that one join key holds; about the
-    length of an event serves best.
+    null t1 means the last bar. A price of 0 at t0 has no path, and null or NaN prices are none.
+    Each barrier is a search in an index of block extrema, so that open ends cost no more
+    than short ones (functions/crossing.py).
     """
-    path = prices.select(F.col(key), F.col(ts).alias("_ts"), F.col(close).alias("_p"))
-    start = prices.select(F.col(key), F.col(ts).alias("t0"), F.col(close).alias("_p0"))
-    move = (F.try_divide("_p", "_p0") - 1) * F.col("side")
-    crossed = inside(path, events.join(start, [key, "t0"]), key, "_ts", bucket_days=bucket_days)
+    path = ranked(prices.where(F.col(ts).isNotNull()).select(F.col(key), F.col(ts).alias("ts"), nan_to_null(F.col(close).cast("double")).alias("price")), key, ["ts"])
+    start = path.select(F.col(key), F.col("ts").alias("t0"), F.col("price").alias("_p0"), F.min("_rank").over(Window.partitionBy(key, "ts")).alias("_from"))
     columns = events.columns
-    never = F.lit(None).cast("timestamp_ntz")
-    return crossed.groupBy(*columns).agg(
-        (F.min(F.when(move < -sl * F.col("trgt"), F.col("_ts"))) if sl > 0 else F.max(never)).alias("sl"),
-        (F.min(F.when(move > pt * F.col("trgt"), F.col("_ts"))) if pt > 0 else F.max(never)).alias("pt"),
-    )
+    begun = events.where("t1 is null or t1 >= t0").join(start, [key, "t0"])
+    barriers = [F.struct(F.lit(down).alias("down"), (F.col("trgt") * size).alias("at")) for down, size in ((True, -sl), (False, pt)) if size]
+    never = F.lit(None).cast(path.schema["ts"].dataType)
+    if not barriers:
+        return begun.groupBy(*columns).agg(F.max(never).alias("sl"), F.max(never).alias("pt"))
+    searches = begun.withColumn("_until", F.col("t1")).withColumn("_barrier", F.explode(F.array(*barriers)))
+
+    def passes(price):
+        move = (F.try_divide(price, "_p0") - 1) * F.col("side")
+        return F.when(F.col("_barrier.down"), move < F.col("_barrier.at")).otherwise(move > F.col("_barrier.at"))
+
+    hit = first_crossing(path, searches, passes, key)
+    return hit.groupBy(*columns).agg(F.min(F.when(F.col("_barrier.down"), F.col("_hit"))).alias("sl"), F.min(F.when(~F.col("_barrier.down"), F.col("_hit"))).alias("pt"))
 
 
 def triple_barrier(prices: DataFrame, events: DataFrame, min_ret: float, pt_sl: Sequence[float] = (1, 1), *, path: str = "events", key: str = "series_id", ts: str = "ts", close: str = "close") -> DataFrame:

@@ -1,5 +1,7 @@
 """Models: cross-validation, importance, bagging; and streams."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,29 @@ def test_kernel_machine_tells_a_ring_from_its_inside(spark):
     x = np.random.default_rng(2).normal(size=(2, 2))
     made = kernel.fourier(spark.createDataFrame([(0, *map(float, x[0])), (1, *map(float, x[1]))], "id long, x double, y double"), ["x", "y"], 0.3, 3000).orderBy("id").collect()
     assert made[0].features.dot(made[1].features) == pytest.approx(np.exp(-0.3 * ((x[0] - x[1]) ** 2).sum()), abs=0.06)
+
+
+def test_importances_of_shuffled_columns_equal_numpy_permutations(spark, data):
+    """mda against permutations of the same ranks made in NumPy, fold by fold."""
+    import numpy as np
+
+    rows = data.select("id", "t0", "t1", "label", *NAMES).withColumn("series_id", F.lit(1))
+    folds = crossval.purged_folds(rows, 3).persist()
+    got = {r.feature: (r.mean, r.std) for r in importance.mda(tree(), rows, NAMES, folds, scoring="accuracy", seed=4)[0].collect()}
+    lost = {n: [] for n in NAMES}
+    for k in range(3):
+        part = lambda role, k=k: rows.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select("id"), "id")
+        model = tree().fit(importance.assemble(part("train"), NAMES))
+        test = part("test").select("id", "label", *NAMES).orderBy("id").toPandas()
+        right = lambda frame, model=model: float((model.transform(importance.assemble(spark.createDataFrame(frame), NAMES)).toPandas().sort_values("id").prediction.to_numpy() == frame.label.to_numpy()).mean())
+        base = right(test)
+        for j, n in enumerate(NAMES):
+            hashes = [r[0] for r in spark.createDataFrame(test[["id"]]).orderBy("id").select(F.xxhash64(F.lit(4 + 2 * j), "id")).collect()]
+            mixed = test.copy()
+            mixed[n] = test[n].to_numpy()[np.argsort(hashes)]
+            score = right(mixed)
+            lost[n].append((base - score) / (1 - score) if score < 1 else math.nan)
+    for n in NAMES:
+        v = np.nan_to_num(np.array(lost[n]), neginf=0.0)
+        assert got[n][0] == pytest.approx(v.mean()) and got[n][1] == pytest.approx(v.std(ddof=1) / math.sqrt(3))
+    folds.unpersist()
