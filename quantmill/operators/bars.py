@@ -1,6 +1,6 @@
 """Sampled bars and imbalance signals.
 
-Input frames name their series and order columns; results keep them. Null prices or
+Input frames name their series and order columns; results keep them. Null and NaN prices or
 sizes add nothing and never trigger a bar.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import ordered_scan
+from ..functions.scans import Filling, scan
 from ..functions.windows import expanding, ordered
 
 
@@ -20,22 +21,13 @@ def suggested_bar_size(df: DataFrame, column: str, *, key: str = "series_id", ts
     return df.groupBy(key, F.date_trunc("day", ts).cast("timestamp_ntz").alias("day")).agg((F.avg(column) * pct).alias("bar_size"))
 
 
-def sampled_bars(df: DataFrame, column: str, threshold: float, *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+def sampled_bars(df: DataFrame, column: str, threshold: float, *, key: str = "series_id", order: Sequence[str] = ("ts", "seq"), block_rows: int | None = None) -> DataFrame:
     """The rows at which the running sum of the column reaches the threshold; then it restarts at 0.
 
-    What overshoots is discarded, as is a last part that does not reach the threshold.
+    What overshoots is discarded, as is a last part that does not reach the threshold. Ends are
+    followed by links in the sums, not row by row; block_rows deals a long series out (functions/scans.py).
     """
-    if threshold <= 0:
-        raise ValueError("threshold must be positive")
-
-    def step(state: list, value: float | None) -> bool:
-        state[0] += value or 0.0
-        fires = state[0] >= threshold
-        if fires:
-            state[0] = 0.0
-        return fires
-
-    return ordered_scan(df, key, order, lambda: [0.0], step, [column])
+    return scan(df, key, order, Filling(column, threshold), block_rows)
 
 
 def dollar_bars(df: DataFrame, threshold: float, column: str = "dollars", **named) -> DataFrame:

@@ -51,9 +51,9 @@ def cusum_events(df: DataFrame, limit: float | str, close: str = "close", *, key
     return ordered_scan(rows, key, order, lambda: [None, 0.0, 0.0], step, [close, "_limit"]).select(df.columns)
 
 
-def bands(df: DataFrame, window: int = 50, width: float = 0.001, close: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+def bands(df: DataFrame, window: int = 50, width: float = 0.001, close: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq"), block_rows: int | None = None) -> DataFrame:
     """ewm_mean and the bands upper, lower at width times the mean around it."""
-    out = ewm(df, close, window, key=key, order=order, mean="ewm_mean")
+    out = ewm(df, close, window, key=key, order=order, mean="ewm_mean", block_rows=block_rows)
     return out.withColumns({"upper": F.col("ewm_mean") * (1 + width), "lower": F.col("ewm_mean") * (1 - width)})
 
 
@@ -62,7 +62,7 @@ def side(close: Column, upper: Column, lower: Column) -> Column:
     return F.when(close >= upper, -1).when(close <= lower, 1)
 
 
-def band_side(df: DataFrame, window: int = 100, width: float = 0.001, close: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+def band_side(df: DataFrame, window: int = 100, width: float = 0.001, close: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts", "seq"), block_rows: int | None = None) -> DataFrame:
     """The rows that touch a band, with their side."""
-    out = bands(df, window, width, close, key=key, order=order)
+    out = bands(df, window, width, close, key=key, order=order, block_rows=block_rows)
     return out.withColumn("side", side(F.col(close), F.col("upper"), F.col("lower"))).dropna()

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import Ewm, ordered_scan
+from ..functions.scans import Decay, scan
 from ..functions.windows import ordered, rolling
 
 
@@ -28,19 +28,14 @@ def lagged_return(df: DataFrame, close: str = "close", period: str = "days", fre
     return df.withColumn("ret", F.try_divide(F.col(close), F.expr(frame)) - 1).where("ret is not null")
 
 
-def ewm(df: DataFrame, column: str, span: float, *, key: str = "series_id", order: Sequence[str] = ("ts",), mean: str | None = None, std: str | None = None) -> DataFrame:
-    """Adds the exponentially weighted mean or deviation of a column."""
+def ewm(df: DataFrame, column: str, span: float, *, key: str = "series_id", order: Sequence[str] = ("ts",), mean: str | None = None, std: str | None = None, block_rows: int | None = None) -> DataFrame:
+    """Adds the exponentially weighted mean or deviation of a column; block_rows deals a long series out (functions/scans.py)."""
+    return scan(df, key, order, Decay(column, span, mean, std), block_rows)
 
-    def step(s: Ewm, value: float | None) -> list:
-        s.add(value)
-        return [x for name, x in ((mean, s.mean if s.w else None), (std, s.std)) if name]
 
-    return ordered_scan(df, key, order, lambda: Ewm(span), step, [column], [n for n in (mean, std) if n])
-
-
-def ewm_volatility(df: DataFrame, span: float = 100, period: str = "days", freq: float = 1, close: str = "close", *, key: str = "series_id", ts: str = "ts", order: Sequence[str] = ("ts",), name: str = "trgt") -> DataFrame:
+def ewm_volatility(df: DataFrame, span: float = 100, period: str = "days", freq: float = 1, close: str = "close", *, key: str = "series_id", ts: str = "ts", order: Sequence[str] = ("ts",), name: str = "trgt", block_rows: int | None = None) -> DataFrame:
     """Deviation of lagged returns, exponentially weighted."""
-    return ewm(lagged_return(df, close, period, freq, key=key, ts=ts), "ret", span, key=key, order=order, std=name)
+    return ewm(lagged_return(df, close, period, freq, key=key, ts=ts), "ret", span, key=key, order=order, std=name, block_rows=block_rows)
 
 
 def _log_ratio(a: Column, b: Column) -> Column:
