@@ -3,7 +3,8 @@
 A tree of k-means splits is fitted on a bounded sample; every vector is then sent down to
 its leaf. A leaf that holds more than ``LEAF_MOST`` vectors is split again on a sample of its
 own, in the cluster, and so on level by level, so that leaves keep their size as the table
-grows (up to ``MOST_LEAVES``, which bounds the tree that is broadcast). A search walks the tree best bin first: a priority queue holds the branches seen
+grows; ``MOST_LEAVES`` bounds the tree that is broadcast, and on tables too large for it all
+leaves are aimed at evenly larger sizes. A search walks the tree best bin first: a priority queue holds the branches seen
 so far, the one whose centre is nearest is opened next, and leaves come out in that order.
 How many leaves a query opens is calibrated: for a few queries the exact neighbours are
 found by one pass over all vectors, and the visits are widened until their mean recall
@@ -23,7 +24,8 @@ only candidates that reach the bar are sent on.
 Vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor does a null vec_id; among vectors of several lengths only those of the commonest length
 do (then the longest). vec_id is a whole number of any size (else an error). Repeated vec_ids are candidates of their own; a query never finds
-its own id. Fewer than k candidates give all of them. Empty tables give an empty result.
+its own id. A query row that is repeated is searched once and answered as often as it is there; rows of one
+vec_id with different vectors are queries of their own. Fewer than k candidates give all of them. Empty tables give an empty result.
 Other columns are not read.
 """
 
@@ -68,9 +70,9 @@ class Node:
 class Tree:
     """Hierarchical k-means; leaves are numbered."""
 
-    def __init__(self, sample: np.ndarray, total: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, total: int, leaf_rows: int, seed: int = 11):
         rng, self.leaves = np.random.default_rng(seed), 0
-        most = max(LEAST_IN_LEAF, LEAF_ROWS * len(sample) / max(total, 1))
+        most = max(LEAST_IN_LEAF, leaf_rows * len(sample) / max(total, 1))
         self.root = self._grow(sample, most, rng)
 
     def _grow(self, x: np.ndarray, most: float, rng: np.random.Generator):
@@ -114,19 +116,27 @@ class Tree:
             todo += [(b, rows[near == k]) for k, b in enumerate(node.branches) if (near == k).any()]
         return leaf
 
-    def visits(self, q: np.ndarray, sizes: np.ndarray, leaves: int, rows: int) -> list[int]:
-        """The first leaves best bin first: so many, and more until they hold `rows` vectors."""
-        queue, out, held, n = [(0.0, 0, self.root)], [], 0, 1
-        while queue and (len(out) < leaves or held < rows):
+    def walk(self, q: np.ndarray):
+        """The leaves, best bin first."""
+        queue, n = [(0.0, 0, self.root)], 1
+        while queue:
             _, _, node = heapq.heappop(queue)
             if isinstance(node, int):
-                out.append(node)
-                held += int(sizes[node])
+                yield node
                 continue
             far = ((node.centres - q) ** 2).sum(axis=1)
             for d, b in zip(far.tolist(), node.branches, strict=True):
                 heapq.heappush(queue, (d, n, b))
                 n += 1
+
+    def visits(self, q: np.ndarray, sizes: np.ndarray, leaves: int, rows: int) -> list[int]:
+        """The first leaves: so many, and more until they hold `rows` vectors."""
+        out, held = [], 0
+        for leaf in self.walk(q):
+            if len(out) >= leaves and held >= rows:
+                break
+            out.append(leaf)
+            held += int(sizes[leaf])
         return out
 
 
@@ -157,25 +167,43 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q, optimize=False)
 
 
-def _top(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, width: int, k: int) -> DataFrame:
-    """Exact neighbours of few queries: each task keeps k for each query."""
+def _top(vectors: DataFrame, queries: np.ndarray, numbers: list[int], ids: np.ndarray, width: int, k: int) -> DataFrame:
+    """Exact neighbours of few queries, given with their numbers and ids: each task keeps k for each query."""
 
     def run(batches):
         for batch in batches:
             x, v = matrix(batch.column("v"), width), batch.column("vec_id").to_numpy()
             out = []
-            for q, own in zip(queries, ids, strict=True):
+            for q, number, own in zip(queries, numbers, ids, strict=True):
                 s = exact_scores(x, q)
                 at = best(v, s, own, k)
-                out += [(int(own), int(v[i]), float(s[i])) for i in at]
+                out += [(number, int(v[i]), float(s[i])) for i in at]
             if out:
                 a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query", "vec_id", "score"])
 
-    return in_arrow(vectors.select("vec_id", "v"), run, "query_id bigint, vec_id bigint, score double")
+    return in_arrow(vectors.select("vec_id", "v"), run, "query bigint, vec_id bigint, score double")
 
 
-def _split(placed: DataFrame, large: dict[int, int], width: int, norm: float) -> dict[int, Tree]:
+def _leaf_sizes(total: int) -> tuple[int, int]:
+    """Vectors aimed at in a leaf, and above which one is split: evenly more where the leaves allowed would not do."""
+    rows = max(LEAF_ROWS, -(-2 * total // MOST_LEAVES))
+    return rows, max(LEAF_MOST, LEAF_MOST * rows // LEAF_ROWS)
+
+
+def _to_split(sizes: np.ndarray, rows: int, most: int) -> dict[int, int]:
+    """The large leaves and their sizes, largest first, as far as there is room for the leaves that come of them."""
+    room, out = MOST_LEAVES - len(sizes), {}
+    for leaf in np.argsort(-sizes, kind="stable"):
+        size = int(sizes[leaf])
+        if size <= most or size // rows > room:
+            break
+        out[int(leaf)] = size
+        room -= size // rows
+    return out
+
+
+def _split(placed: DataFrame, large: dict[int, int], width: int, norm: float, leaf_rows: int) -> dict[int, Tree]:
     """A tree for each large leaf, fitted in the cluster on LEAF_SAMPLE of its vectors (a hash of vec_id chooses them)."""
     spark = placed.sparkSession
     shares = F.broadcast(spark.createDataFrame(list(large.items()), "leaf bigint, size bigint"))
@@ -184,7 +212,7 @@ def _split(placed: DataFrame, large: dict[int, int], width: int, norm: float) ->
 
     def grow(key, rows):
         x = lifted(matrix(rows.column("v").combine_chunks(), width), norm)
-        tree = Tree(x, rows.column("size")[0].as_py())
+        tree = Tree(x, rows.column("size")[0].as_py(), leaf_rows)
         return pa.table({"leaf": [key[0].as_py()], "tree": pa.array([pickle.dumps((tree.leaves, tree.root))], pa.binary())})
 
     out = {}
@@ -199,7 +227,7 @@ def _split(placed: DataFrame, large: dict[int, int], width: int, norm: float) ->
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -220,16 +248,19 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     width, top_norm = shape["w"], shape["norm"]
     good = good.where(F.size("v") == width)
-    queries = good.where(is_query).select("vec_id", "v")
+    asked_rows = good.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    queries = written(asked_rows.withColumn("query", F.monotonically_increasing_id()), "queries")
 
-    # of equal vectors the k+1 least ids are all that can appear in an answer
-    same = Window.partitionBy("v").orderBy("vec_id")
-    rows = written(good.select("vec_id", "v").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select("vec_id", "v"), "vectors")
+    # of equal vectors the k+1 least ids are all that can appear in an answer, and k+1 rows of each id
+    same, twins = Window.partitionBy("v").orderBy("vec_id"), Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    few_ids = good.select("vec_id", "v").withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1)
+    rows = written(few_ids.withColumn("r", F.row_number().over(twins)).where(F.col("r") <= k + 1).select("vec_id", "v"), "vectors")
     total = rows.count()
     place = F.xxhash64("vec_id", F.lit(1))
     part = F.pmod(place, F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
     sample = np.array([r["v"] for r in rows.where(part | (F.lit(total) <= SAMPLE)).select("v").limit(SAMPLE + SAMPLE // 4).collect()]).reshape(-1, width)
-    tree = Tree(lifted(sample, top_norm), total)
+    leaf_rows, leaf_most = _leaf_sizes(total)
+    tree = Tree(lifted(sample, top_norm), total, leaf_rows)
 
     def place_all() -> tuple[DataFrame, Broadcast, np.ndarray]:
         shared = spark.sparkContext.broadcast(tree)
@@ -247,10 +278,10 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
 
     placed, shared, sizes = place_all()
     while True:
-        large = {int(k): int(sizes[k]) for k in np.flatnonzero(sizes > LEAF_MOST)}
-        if not large or tree.leaves + sum(large.values()) // LEAF_ROWS > MOST_LEAVES:
+        large = _to_split(sizes, leaf_rows, leaf_most)
+        if not large:
             break
-        subtrees = _split(placed, large, width, top_norm)
+        subtrees = _split(placed, large, width, top_norm, leaf_rows)
         if not subtrees:
             break  # what is left cannot be told apart
         tree.graft(subtrees)
@@ -258,13 +289,29 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
         placed, shared, sizes = place_all()
 
     # calibration: exact neighbours of a few queries, and when the walk reaches their leaves
-    few = queries.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(CALIBRATION).collect()
+    few = queries.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id", F.xxhash64("v")).limit(CALIBRATION).collect()
     ids, points = np.array([r["vec_id"] for r in few], np.int64), np.array([r["v"] for r in few]).reshape(-1, width)
     visits = 1
     if len(few):
-        true = _ranked(_top(placed, points, ids, width, k), k).join(placed.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
-        walks = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(np.append(q, 0.0), sizes, tree.leaves, 0), 1)} for i, q in zip(ids, points, strict=True)}
-        reached = np.sort([walks[r["query_id"]][r["leaf"]] for r in true])
+        found = _ranked(_top(placed, points, [r["query"] for r in few], ids, width, k), k).join(placed.select("vec_id", "leaf").distinct(), "vec_id")
+        wanted = found.groupBy("query").agg(F.collect_list("leaf").alias("leaves"))
+
+        def walks(batches):
+            for batch in batches:
+                out = []
+                for q, leaves in zip(matrix(batch.column("v"), width), batch.column("leaves").to_pylist(), strict=True):
+                    left, at = set(leaves), {}
+                    for n, leaf in enumerate(shared.value.walk(np.append(q, 0.0)), 1):
+                        if leaf in left:
+                            at[leaf] = n
+                            left.remove(leaf)
+                            if not left:
+                                break
+                    out += [at[leaf] for leaf in leaves]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["n"])
+
+        dealt = queries.select("query", "v").join(wanted, "query").repartition(CALIBRATION, "query").select("v", "leaves")
+        reached = np.sort([r["n"] for r in in_arrow(dealt, walks, "n bigint").collect()])  # k numbers for each of few queries
         if len(reached):
             visits = int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)])
 
@@ -281,8 +328,8 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
     def to_visits(batches):
         t, of = shared.value, blocks.value
         for batch in batches:
-            q, x = batch.column("vec_id").to_pylist(), matrix(batch.column("v"), width)
-            for lo in range(0, len(q), 256):
+            x = matrix(batch.column("v"), width)
+            for lo in range(0, len(x), 256):
                 opened = []
                 for i, p in enumerate(x[lo : lo + 256], lo):
                     seen: dict[int, int] = {}
@@ -290,9 +337,10 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
                         seen.setdefault(int(of[leaf]), n)
                     opened += [(i, b, n) for b, n in seen.items()]
                 row, block, n = (np.array(c, np.int64) for c in zip(*opened, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([q[i] for i in row], pa.int64()), batch.column("v").take(pa.array(row)), pa.array(block), pa.array(n)], ["query_id", "q", "block", "n"])
+                of_row = [batch.column(c).take(pa.array(row)) for c in ("query", "vec_id", "v")]
+                yield pa.RecordBatch.from_arrays([*of_row, pa.array(block), pa.array(n)], ["query", "own", "q", "block", "n"])
 
-    walked = written(in_arrow(queries, to_visits, "query_id bigint, q array<double>, block bigint, n bigint"), "walks")
+    walked = written(in_arrow(queries.select("query", "vec_id", "v"), to_visits, "query bigint, own bigint, q array<double>, block bigint, n bigint"), "walks")
     asked = np.zeros(len(parts), np.int64)
     for r in walked.groupBy("block").count().collect():  # one row for each block
         asked[r["block"]] = r["count"]
@@ -300,14 +348,14 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     leaf_block = F.broadcast(spark.createDataFrame([(k, int(b)) for k, b in enumerate(block_of)], "leaf bigint, block bigint"))
     left = placed.join(leaf_block, "leaf").join(deal, "block").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).withColumn("bq", every("nq")).select("block", "bv", "bq", "vec_id", "v")
-    right = walked.join(deal, "block").withColumn("bq", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("bv", every("nv"))
+    right = walked.join(deal, "block").withColumn("bq", F.pmod(F.xxhash64("query"), F.col("nq")).cast("int")).withColumn("bv", every("nv"))
 
     def compare(_key, a: pa.Table, b: pa.Table) -> pa.Table:
         """The k best of each query in the block that reach its bar."""
         q, v, s = [], [], []
         if len(a) and len(b):
             x, ids = matrix(a.column("v").combine_chunks(), width), a.column("vec_id").to_numpy()
-            y, own = matrix(b.column("q").combine_chunks(), width), b.column("query_id").to_numpy()
+            y, own, number = matrix(b.column("q").combine_chunks(), width), b.column("own").to_numpy(), b.column("query").to_numpy()
             bar = b.column("bar").to_numpy(zero_copy_only=False)
             near = y @ x.T
             near[own[:, None] == ids[None, :]] = -np.inf
@@ -318,15 +366,16 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, re
             row, at = np.nonzero(near >= (bar - 1e-9 * np.maximum(1.0, np.abs(bar)))[:, None])
             ok = ids[at] != own[row]
             row, at = row[ok], at[ok]
-            q, v, s = own[row], ids[at], np.einsum("ij,ij->i", x[at], y[row], optimize=False)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+            q, v, s = number[row], ids[at], np.einsum("ij,ij->i", x[at], y[row], optimize=False)
+        return pa.table({"query": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
     def compared(rows: DataFrame) -> DataFrame:
-        return left.groupBy("block", "bv", "bq").cogroup(rows.select("block", "bv", "bq", "query_id", "q", "bar").groupBy("block", "bv", "bq")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+        return left.groupBy("block", "bv", "bq").cogroup(rows.select("block", "bv", "bq", "query", "own", "q", "bar").groupBy("block", "bv", "bq")).applyInArrow(compare, "query bigint, vec_id bigint, score double")
 
     # the first leaves give each query a bar, which all but few of the other candidates miss
     first = written(_ranked(compared(right.where(F.col("n") < FIRST_LEAVES).withColumn("bar", F.lit(float("-inf")))), k), "first")
-    bars = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    later = right.where(F.col("n") >= FIRST_LEAVES).join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
-    found = first.select("query_id", "vec_id", "score").unionAll(compared(later))
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    bars = first.where(F.col("rank") == k).select("query", F.col("score").alias("bar"))
+    later = right.where(F.col("n") >= FIRST_LEAVES).join(bars, "query", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    found = first.select("query", "vec_id", "score").unionAll(compared(later))
+    names = queries.select("query", F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return _ranked(found, k).join(names, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
