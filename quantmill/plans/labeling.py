@@ -107,6 +107,12 @@ def price_bars(spark, d):
     return bars.price_bars(events_series(spark, d), 500.0).select("series_id", "ts", "close")
 
 
+@R.add("price_bars_blocks", f"SELECT series_id, ts, close FROM ({_fold(BY_TYPE.replace('p AS (', 'x AS (', 1), 'ts', 'close', 500)})")
+def price_bars_blocks(spark, d):
+    """Long series, each cut into blocks."""
+    return bars.price_bars(events_series(spark, d, "event_type"), 500.0, block_rows=512).select("series_id", "ts", "close")
+
+
 @R.add("tick_bars", f"WITH {BY_USER} SELECT series_id, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n FROM p) WHERE n % 10 = 0")
 def tick_bars(spark, d):
     return bars.tick_bars(events_series(spark, d), 10).select("series_id", "ts", "close")
@@ -241,6 +247,12 @@ def bollinger_bands(spark, d):
     return rounded(filters.bands(events_series(spark, d), 50, 0.1), "series_id", "ts", ewm_mean="ewm_mean", upper="upper", lower="lower")
 
 
+@R.add("bollinger_blocks", _ewm_sql(_NUMBERED.replace(BY_USER, BY_TYPE), "close", 50, f"SELECT n.series_id, n.ts, {sql6('m')} AS ewm_mean, {sql6('m * (1 + 0.1)')} AS upper, {sql6('m * (1 - 0.1)')} AS lower FROM e JOIN n USING (series_id, i)"))
+def bollinger_blocks(spark, d):
+    """Long series, each cut into blocks."""
+    return rounded(filters.bands(events_series(spark, d, "event_type"), 50, 0.1, block_rows=512), "series_id", "ts", ewm_mean="ewm_mean", upper="upper", lower="lower")
+
+
 @R.add("bollinger_side", _ewm_sql(_NUMBERED, "close", 100, "SELECT * FROM (SELECT n.series_id, n.ts, CASE WHEN close >= m * (1 + 0.1) THEN -1 WHEN close <= m * (1 - 0.1) THEN 1 END AS side FROM e JOIN n USING (series_id, i)) WHERE side IS NOT NULL"))
 def bollinger_side(spark, d):
     return filters.band_side(events_series(spark, d), 100, 0.1).select("series_id", "ts", "side")
