@@ -47,6 +47,8 @@ from .token_count import _require, byte_letters, read_vocabulary
 
 #: The space that both tokenizers start at: between two visible ASCII characters, letters or digits.
 SAFE_CUT = r" (?<=[\x21-\x7E\p{L}\p{N}] )(?=[\x21-\x7E\p{L}\p{N}])"
+#: Text of one block at most: a task holds its different pieces, and sorts all of them.
+BLOCK_BYTES = 20 << 20
 #: Id pairs up to this number are broadcast (some 40 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -137,7 +139,7 @@ def _marks(spark: SparkSession, n: int) -> list[int]:
 
 
 def aligned_pieces(tokens: DataFrame, n: int) -> DataFrame:
-    """pid -> n_a, n_b, n_groups, groups (text) and links (a, b), from ids and sizes of tokens.
+    """pid -> n_a, n_b, groups (text) and links (a, b), from ids and sizes of tokens.
 
     A group is written as its A ids and its B ids (``a1,a2|b1``), groups are joined by ``;``.
     """
@@ -155,7 +157,7 @@ def aligned_pieces(tokens: DataFrame, n: int) -> DataFrame:
     ids = [F.concat_ws(",", F.collect_list(F.col(c).cast("string"))) for c in ("a", "b")]
     groups = rows.groupBy("pid", "group").agg(F.concat_ws("|", *ids).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("link").alias("link"))
     return groups.groupBy("pid").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.concat_ws(";", F.collect_list("ids")).alias("groups"), F.collect_list("link").alias("links")
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.concat_ws(";", F.collect_list("ids")).alias("groups"), F.collect_list("link").alias("links")
     )
 
 
@@ -180,15 +182,17 @@ def align(documents: DataFrame, path_a: str, path_b: str, groups_as: Callable[[C
     if min(both.a_sizes.min(), both.b_sizes.min()) < 1:
         raise ValueError("tokens without bytes are not supported")
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(texts.rdd.getNumPartitions(), -(-size // BLOCK_BYTES), 1)
     block = F.element_at(F.array(*map(F.lit, _marks(spark, n))).cast("array<long>"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int") + 1)
     dealt = texts.withColumn("block", block).repartition(n, "block").withColumn("row", F.monotonically_increasing_id())
     cut = F.split("text", SAFE_CUT, -1) if both.separable() else F.array("text")
     words = dealt.select("block", "row", "doc_id", F.posexplode(cut).alias("pos", "piece"))
 
     with _planning(spark):
-        found = words.groupBy("block", "piece").agg(F.count("*").alias("n")).groupBy("piece").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-        pieces = written(tokenized(found, spec, model).withColumn("pid", F.monotonically_increasing_id()), "alignment_pieces")
+        # a block has a piece once: dealt out before the second grouping, which has nothing to put together before
+        counted = words.groupBy("block", "piece").agg(F.count("*").alias("n")).repartition(n, "piece").groupBy("piece").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
+        pieces = written(tokenized(counted, spec, model).withColumn("pid", F.monotonically_increasing_id()), "alignment_pieces")
         counts = pieces.select("pid", "piece", "n", "blocks", "valid")
         wrong = counts.where("NOT valid AND piece <> ''")
         if wrong.limit(1).count():
@@ -203,17 +207,21 @@ def align(documents: DataFrame, path_a: str, path_b: str, groups_as: Callable[[C
         known = pairs.select("a", "b", F.col("n").alias("count"), F.col("best").cast("long").alias("best"))
         known = F.broadcast(known) if pairs.count() <= MOST_BROADCAST else known
         weights = links.join(known, ["a", "b"]).groupBy("pid").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-        weighed = written(aligned.select("pid", "piece", "blocks", "valid", "groups", "n_a", "n_b", "n_groups").join(weights, "pid", "left").drop("pid"), "alignment_weights")
+        numbers = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
+        weighed = written(aligned.select("pid", "piece", "blocks", "valid", "groups", "n_a", "n_b").join(weights, "pid", "left").drop("pid"), "alignment_weights")
         removed(aligned)
 
         table = weighed.select(F.explode("blocks").alias("block"), "piece", "valid", "groups", *numbers).repartition(n, "block")
-        joined = words.join(table.hint("shuffle_hash"), ["block", "piece"]).sortWithinPartitions("block", "row", "pos")
+        # Sorted in reading order before the hash join, which keeps the order of this side, as does the aggregation: only
+        # short rows are sorted. The condition, which always holds, is there because the optimizer drops sorts right below joins.
+        reading = words.sortWithinPartitions("block", "row", "pos").where(F.spark_partition_id() >= 0)
+        joined = reading.join(table.hint("shuffle_hash"), ["block", "piece"])
         valid = F.bool_and("valid")
-        # by the arguments' order: the sort above is the reading order, and the aggregation keeps it
         sums = [F.when(valid, F.sum(c)).otherwise(0).cast("long").alias(c) for c in numbers]
         shown = F.when(valid, groups_as(F.concat_ws(";", F.collect_list("groups")))).otherwise("")
-        result = joined.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *sums, shown.alias("groups")).drop("block", "row")
+        found = joined.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *sums, shown.alias("groups"))
+        # tokens have bytes, so that at a cut one token of each side ends: a group has one link
+        result = found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")
         done = written(result, "alignment")
         removed(weighed)
     return Alignment(done, pairs)
@@ -222,7 +230,7 @@ def align(documents: DataFrame, path_a: str, path_b: str, groups_as: Callable[[C
 def _without_wrong(counts: DataFrame, wrong: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """The counts less the pieces of texts that hold a piece whose tokens do not give it back."""
     spots = wrong.select(F.explode("blocks").alias("block"), "piece", F.lit(True).alias("wrong")).repartition(n, "block")
-    held = words.join(spots.hint("shuffle_hash"), ["block", "piece"], "left").sortWithinPartitions("block", "row", "pos")
+    held = words.join(spots.hint("shuffle_hash"), ["block", "piece"], "left")
     rows = held.groupBy("block", "row").agg(F.bool_or(F.coalesce("wrong", F.lit(False))).alias("wrong"), F.collect_list("piece").alias("pieces")).where("wrong")
     less = rows.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("less"))
     return counts.join(less, "piece", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
