@@ -37,7 +37,7 @@ def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank") -
     The rows are written to the shared folder, so that the places stay what they are; rows that
     agree in key and order are placed as they come.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_rank_part", T.IntegerType()), T.StructField("_rank_at", T.LongType())])
 
     def count(batches):
         part, last, n = TaskContext.get().partitionId(), object(), 0
@@ -49,15 +49,15 @@ def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank") -
                 n = n if i == 0 and value == last else 0
                 at[lo:hi] += n - lo
                 n, last = n + int(hi - lo), value
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at)], [*batch.schema.names, "_part", "_at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at)], [*batch.schema.names, "_rank_part", "_rank_at"])
 
     dealt = df.repartitionByRange(F.col(key), *map(F.col, order)).sortWithinPartitions(key, *order)
     table = written(dealt.mapInArrow(count, schema), "ranked")
-    sizes = table.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg((F.max("_at") + 1).alias("_size"))
+    sizes = table.groupBy(F.col(key).alias("_key"), F.col("_rank_part").alias("_of")).agg((F.max("_rank_at") + 1).alias("_size"))
     earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.sum("_size").over(earlier)).where("_before is not null").drop("_size")
-    both = table.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
-    return both.select(*df.columns, (F.col("_at") + F.coalesce("_before", F.lit(0))).alias(name))
+    both = table.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank_part") == F.col("_of")), "left")
+    return both.select(*df.columns, (F.col("_rank_at") + F.coalesce("_before", F.lit(0))).alias(name))
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_rank") -> DataFrame:

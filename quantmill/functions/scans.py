@@ -276,3 +276,69 @@ class Filling(Kernel):
         sums, left = rest[: len(rest) // 2], rest[len(rest) // 2 :]
         i = int(np.searchsorted(sums, self.threshold - state[0], side="left"))
         return np.array([left[i] if i < len(sums) else state[0] + total])
+
+
+def counts_below(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """How many of the ranks x[lo:hi] are below each bound: a wavelet matrix, one step a bit for all questions at once."""
+    found, x = np.zeros(len(lo), np.int64), x.astype(np.int64)
+    for bit in range(int(max(x.max(initial=0), bound.max(initial=0))).bit_length() - 1, -1, -1):
+        one = (x >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        up = (bound >> bit) & 1 > 0
+        a, b = zeros[lo], zeros[hi]
+        found += np.where(up, b - a, 0)
+        lo, hi = np.where(up, zeros[-1] + lo - a, a), np.where(up, zeros[-1] + hi - b, b)
+        x = np.concatenate([x[one == 0], x[one == 1]])
+    return found
+
+
+class Percentile(Kernel):
+    """Percentile (kind rank) of each value among the `before` values before it; missing until so many are there.
+
+    State: the last values. Values must be there: rows without one go first.
+    """
+
+    def __init__(self, column: str, before: int, name: str):
+        if before < 1:
+            raise ValueError("a window needs values before its own")
+        self.reads, self.adds, self.before = (column,), (name,), before
+
+    def start(self) -> np.ndarray:
+        return np.zeros(0)
+
+    def after(self, state, summary):
+        return np.concatenate([state, summary])[-self.before :]
+
+    def summary(self, x):
+        return x[-self.before :]
+
+    def run(self, state, x):
+        line = np.concatenate([state, x])
+        _, rank = np.unique(line, return_inverse=True)
+        own = np.arange(len(state), len(line))
+        full = own >= self.before
+        out = np.full(len(x), np.nan)
+        at = own[full]
+        less, upto = (counts_below(rank, at - self.before, at, rank[at] + more) for more in (0, 1))
+        out[full] = (less + upto + (upto > less)) * 50.0 / self.before
+        return self.after(state, x), [out]
+
+
+class Running(Kernel):
+    """The greatest value so far, the row's own included; missing before the first."""
+
+    def __init__(self, column: str, name: str):
+        self.reads, self.adds = (column,), (name,)
+
+    def start(self) -> np.ndarray:
+        return np.full(1, np.nan)
+
+    def run(self, state, x):
+        out = np.fmax.accumulate(np.concatenate([state, x]))[1:]
+        return out[-1:] if len(out) else state, [out]
+
+    def summary(self, x):
+        return np.fmax.reduce(x, keepdims=True)
+
+    def after(self, state, summary):
+        return np.fmax(state, summary)

@@ -26,41 +26,126 @@ def uniqueness(first: np.ndarray, past: np.ndarray, alive: np.ndarray, extra: in
     return np.where(n > 0, (s[past] - s[first]) / np.maximum(n, 1), 0.0)
 
 
+class Sums:
+    """Numbers by place under changes, with the place at which their running sum passes a value: a binary indexed tree."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.values, self.top = values.tolist(), 1 << max(0, n.bit_length() - 1)
+        before = np.concatenate([[0.0], np.cumsum(values)])
+        at = np.arange(1, n + 1)
+        self.tree = [0.0, *(before[at] - before[at - (at & -at)]).tolist()]
+
+    def put(self, i: int, value: float) -> None:
+        change = value - self.values[i]
+        self.values[i] = value
+        i += 1
+        while i < len(self.tree):
+            self.tree[i] += change
+            i += i & -i
+
+    def total(self) -> float:
+        i, s = len(self.values), 0.0
+        while i:
+            s += self.tree[i]
+            i -= i & -i
+        return s
+
+    def place(self, u: float) -> int:
+        """The first place whose running sum is above u (at most the last one)."""
+        i, step = 0, self.top
+        while step:
+            if i + step < len(self.tree) and self.tree[i + step] <= u:
+                i += step
+                u -= self.tree[i]
+            step >>= 1
+        return min(i, len(self.values) - 1)
+
+
+class Alive:
+    """How many drawn events hold each bar, by blocks with their least and greatest count.
+
+    Sums of 1 / (count + 1) over bars are bounded by the blocks alone; where all events meet
+    counts differ little inside a block, and the bounds are close.
+    """
+
+    BLOCK = 512
+
+    def __init__(self, n_bars: int):
+        n = -(-n_bars // self.BLOCK)
+        self.count = np.zeros(n * self.BLOCK, np.int64)
+        self.least, self.most = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.whole = np.zeros(n, np.int64)  # added to all bars of a block
+
+    def add(self, lo: int, hi: int) -> None:
+        size = self.BLOCK
+        a, b = -(-lo // size), hi // size
+        edges = [(lo, hi)] if a > b else [(lo, a * size), (b * size, hi)]
+        if a < b:
+            self.whole[a:b] += 1
+            self.least[a:b] += 1
+            self.most[a:b] += 1
+        for x, y in edges:
+            if x < y:
+                k = x // size
+                self.count[x:y] += 1
+                block = self.count[k * size : (k + 1) * size]
+                self.least[k], self.most[k] = block.min() + self.whole[k], block.max() + self.whole[k]
+
+    def _part(self, lo: int, hi: int) -> float:
+        k = lo // self.BLOCK
+        return float((1 / (self.count[lo:hi] + (self.whole[k] + 1))).sum())
+
+    def bounds(self, lo: int, hi: int) -> tuple[float, float]:
+        """Bounds of the sum over the bars from lo on before hi."""
+        size = self.BLOCK
+        a, b = -(-lo // size), hi // size
+        if a >= b:
+            s = self.exact(lo, hi)
+            return s, s
+        edge = (self._part(lo, a * size) if lo < a * size else 0.0) + (self._part(b * size, hi) if b * size < hi else 0.0)
+        return edge + float((size / (self.most[a:b] + 1)).sum()), edge + float((size / (self.least[a:b] + 1)).sum())
+
+    def exact(self, lo: int, hi: int) -> float:
+        size = self.BLOCK
+        added = np.repeat(self.whole[lo // size : -(-hi // size)], size)[lo - lo // size * size :][: hi - lo]
+        return float((1 / (self.count[lo:hi] + added + 1)).sum())
+
+
 def sequential_draws(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> np.ndarray:
     """Draw with replacement, each time in proportion to the uniqueness given the draws so far.
 
-    A draw changes the uniqueness of the events that meet it only: those are found by their first bar, and sums
-    over blocks of events give the place of the next draw. Events that all meet cost one pass a draw.
+    Uniqueness only falls as draws come. So what it was when last looked at bounds it: an event is
+    proposed in proportion to that and taken with the ratio of what it is to what it was, which
+    gives the law of drawing in proportion to what it is; when refused, it is looked at anew. Only
+    events that are proposed are looked at, and mostly by bounds over blocks of bars, so that events
+    that all meet cost a few proposals a draw.
     """
-    n, block = len(first), 256
-    alive, out = np.zeros(n_bars), np.zeros(size, np.int64)
+    n = len(first)
     if not n:
-        return out[:0]
-    order = np.argsort(first, kind="stable")
-    starts, longest = first[order], max(int((past - first).max()), 0)
-    p = np.zeros(-(-n // block) * block)
-    p[:n] = uniqueness(first, past, alive)
-    blocks = p.reshape(-1, block)  # a view
-    sums = blocks.sum(axis=1)
+        return np.zeros(0, np.int64)
+    alive, out, bars = Alive(n_bars), np.zeros(size, np.int64), np.maximum(past - first, 0)
+    known = Sums((bars > 0).astype(float))
+    starts, ends, lengths = first.tolist(), past.tolist(), bars.tolist()
+    some = bool((bars > 0).any())
     for i in range(size):
-        upto = np.cumsum(sums)
-        if upto[-1] > 0:
-            u = rng.random() * upto[-1]
-            b = min(int(np.searchsorted(upto, u, side="right")), int(np.flatnonzero(sums)[-1]))
-            inner = np.cumsum(blocks[b])
-            k = min(int(np.searchsorted(inner, u - (upto[b] - sums[b]), side="right")), int(np.flatnonzero(blocks[b])[-1]))
-            d = b * block + k
-        else:
-            d = int(rng.integers(n))
-        out[i] = d
-        if past[d] <= first[d]:
+        if not some:  # no event holds a bar
+            out[i] = rng.integers(n)
             continue
-        alive[first[d] : past[d]] += 1
-        near = order[np.searchsorted(starts, first[d] - longest, side="left") : np.searchsorted(starts, past[d], side="left")]
-        low, high = int(first[near].min()), int(max(past[near].max(), first[near].max()))
-        p[near] = uniqueness(first[near] - low, past[near] - low, alive[low:high])
-        touched = np.unique(near // block)
-        sums[touched] = blocks[touched].sum(axis=1)
+        while True:
+            d = known.place(rng.random() * known.total())
+            was = known.values[d] * lengths[d]
+            if was <= 0:  # rounding led to an event without bars
+                continue
+            bar = rng.random() * was
+            low, high = alive.bounds(starts[d], ends[d])
+            if low <= bar < high:
+                low = high = alive.exact(starts[d], ends[d])
+            known.put(d, min(known.values[d], high / lengths[d]))
+            if bar < low:
+                break
+        out[i] = d
+        alive.add(starts[d], ends[d])
     return out
 
 
@@ -106,6 +191,34 @@ def monte_carlo(spark: SparkSession, bar_ts: np.ndarray, t0: np.ndarray, t1: np.
     return spark.range(iterations).mapInPandas(run, "run bigint, standard double, sequential double")
 
 
+def monte_carlo_by_series(bars: DataFrame, events: DataFrame, sample_len: int | None = None, iterations: int = 100, seed: int = 0, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
+    """Mean uniqueness of standard and sequential samples of the events of each series: series, run, standard, sequential.
+
+    Each series and run is a task of its own, with a seed of its own.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
+    at = bars.select(key, F.col(ts).alias("_ts")).groupBy(key).agg(F.sort_array(F.collect_set("_ts")).alias("_bars"))
+    spans_of = F.struct("t0", F.coalesce("t1", F.to_timestamp_ntz(F.lit("9999-01-01 00:00:00"))).alias("t1"))
+    both = events.groupBy(key).agg(F.sort_array(F.collect_list(spans_of)).alias("_events")).join(at, key)
+    # places of the events' ends among the bars: the series goes to its runs as numbers
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    rows = both.select(
+        key, F.xxhash64(key).alias("_h"), F.size("_bars").alias("_n"), F.transform("_bars", micros).alias("_at"),
+        F.transform("_events", lambda e: micros(e["t0"])).alias("_t0"), F.transform("_events", lambda e: micros(e["t1"])).alias("_t1"),
+    )
+    dealt = rows.withColumn("run", every).repartition(F.col(key), F.col("run"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, h, bars_at, t0, t1, i in zip(pdf[key], pdf["_h"], pdf["_at"], pdf["_t0"], pdf["_t1"], pdf["run"], strict=True):
+                first, past = spans(np.asarray(bars_at), np.asarray(t0), np.asarray(t1))
+                out.append((name, int(i), *_compare(first, past, len(bars_at), sample_len or len(first), np.random.default_rng([seed, int(i), int(h) & (2**63 - 1)]))))
+            yield pd.DataFrame(out, columns=[key, "run", "standard", "sequential"])
+
+    return dealt.mapInPandas(run, f"{key} {bars.schema[key].dataType.simpleString()}, run bigint, standard double, sequential double")
+
+
 def random_spans(n_events: int, n_bars: int, most: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Random intervals: start anywhere in the bars, length 1 to most - 1."""
     start = rng.integers(0, n_bars, n_events)

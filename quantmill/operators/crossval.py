@@ -11,40 +11,49 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import Running, scan
+from ..functions.tables import written
+
 
 def overlaps(t0: Column, t1: Column, start: Column, end: Column) -> Column:
     """Whether an observation begins or ends in [start, end], or spans it."""
     return t0.between(start, end) | t1.between(start, end) | ((t0 <= start) & (end <= t1))
 
 
-#: Tests without a key: two times each in every task.
-MOST_TESTS = 10_000
+#: Rows of time that a task sweeps where there is no key.
+SWEEP_ROWS = 1 << 20
 
 
 def train_times(events: DataFrame, tests: DataFrame, *, key: str | None = None) -> DataFrame:
-    """Events that overlap no test interval (start, end), by an anti join.
+    """Events that overlap no test interval (start, end). Nulls overlap nothing.
 
-    With a key the join is on it. Without one, overlapping tests are merged first, and an
-    event is held against the merged tests that begin last before its start and before its end:
-    no other can overlap it unless one of these does. Nulls overlap nothing. Without a key at
-    most ``MOST_TESTS`` tests are taken, since every task gets them all.
+    With a key it is an anti join on it. Without one, time is swept: a time lies in a test if the greatest
+    end of the tests that begin up to it reaches it, and an event spans a test if the least end of the tests
+    that begin from its start on is not after its end. Both sweeps run over ranges of time side by side,
+    each with what the ranges before it leave open (functions/scans.py). Tests that end before they begin
+    are none without a key.
     """
     if key:
         on = overlaps(F.col("e.t0"), F.col("e.t1"), F.col("x.start"), F.col("x.end"))
         return events.alias("e").join(tests.alias("x"), (F.col(f"e.{key}") == F.col(f"x.{key}")) & on, "left_anti")
-    if tests.count() > MOST_TESTS:
-        raise ValueError(f"more than {MOST_TESTS} tests need a key")
-    proper = tests.where("start <= end").select("start", "end")
-    before = Window.partitionBy(F.lit(0)).orderBy("start", "end")  # the tests alone: one row for each fold
-    opens = proper.withColumn("_far", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    group = F.sum(F.when(F.col("_far") >= F.col("start"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    merged = opens.withColumn("_g", group).groupBy("_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    line = F.sort_array(F.collect_list(F.struct("start", "end")))
-    held = merged.agg(line.alias("_tests"))
-    with_tests = events.crossJoin(F.broadcast(held))  # one row
-    last = lambda t: F.try_element_at(F.filter("_tests", lambda x: x["start"] <= F.col(t)), F.lit(-1))
-    clash = lambda t: F.coalesce(overlaps(F.col("t0"), F.col("t1"), last(t)["start"], last(t)["end"]), F.lit(False))
-    return with_tests.where(~(clash("t0") | clash("t1"))).drop("_tests")
+    rows = written(events.withColumn("_id", F.monotonically_increasing_id()), "events")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    proper = tests.where("start <= end").select(micros("start").alias("_at"), micros("end").alias("_end"))
+    none = F.lit(None).cast("long")
+    points = rows.select("_id", micros("t0").alias("_t0"), micros("t1").alias("_t1"))
+
+    def swept(ends: Column, at: DataFrame, sign: int) -> DataFrame:
+        line = proper.select((sign * F.col("_at")).alias("_at"), F.lit(0).alias("_kind"), ends.cast("double").alias("_end"), none.alias("_id"), none.alias("_to"))
+        asked = at.select((sign * F.col("_at")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_end"), "_id", "_to")
+        both = line.unionAll(asked).withColumn("_all", F.lit(0))
+        return scan(both, "_all", ["_at", "_kind"], Running("_end", "_open"), SWEEP_ROWS).where("_kind = 1")
+
+    # micros of times between the years 1684 and 2255 are exact as doubles
+    each = points.select("_id", F.explode(F.array("_t0", "_t1")).alias("_at")).where("_at is not null").select("_id", "_at", F.col("_at").alias("_to"))
+    inside = swept(F.col("_end"), each, 1).where("_open >= _to").select("_id")
+    from_start = points.where("_t0 is not null and _t1 is not null").select("_id", F.col("_t0").alias("_at"), F.col("_t1").alias("_to"))
+    spans = swept(-F.col("_end"), from_start, -1).where("-_open <= _to").select("_id")
+    return rows.join(inside.unionAll(spans), "_id", "left_anti").drop("_id")
 
 
 def embargo(times: DataFrame, share: float, *, key: str | None = None, order: str = "t0") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crossing import first_crossing
 from ..functions.ranks import ranked
+from ..functions.scans import Percentile, scan
 from ..functions.windows import backward_fill, nan_to_null
 
 
@@ -120,15 +121,11 @@ def drop_rare(labels: DataFrame, min_share: float = 0.05, column: str = "bin") -
     return labels.where(~F.col(column).isin(gone)) if gone else labels
 
 
-def rolling_percentile(df: DataFrame, window: int, column: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "percentile") -> DataFrame:
-    """Percentile of each value among the window - 1 values before it (kind rank); nulls are dropped first.
+def rolling_percentile(df: DataFrame, window: int, column: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "percentile", block_rows: int | None = None) -> DataFrame:
+    """Percentile of each value among the window - 1 values before it (kind rank); null and NaN values are dropped first.
 
-    (number below + number not above + 1 if any is equal) * 50 / n.
+    (number below + number not above + 1 if any is equal) * 50 / n. Counts come from a wavelet matrix over
+    each stretch of rows, so that a row costs the logarithm of the window; block_rows deals a long series out.
     """
-    rows = df.where(F.col(column).isNotNull())
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.collect_list(column).over(w.rowsBetween(-(window - 1), -1))
-    out = rows.withColumn("_b", before)
-    count = lambda test: F.size(F.filter("_b", test))
-    less, upto = count(lambda x: x < F.col(column)), count(lambda x: x <= F.col(column))
-    return out.withColumn(name, F.when(F.size("_b") >= window - 1, (less + upto + (upto > less).cast("int")) * 50.0 / (window - 1))).drop("_b")
+    rows = df.where(nan_to_null(F.col(column).cast("double")).isNotNull())
+    return scan(rows, key, order, Percentile(column, window - 1, name), block_rows)
