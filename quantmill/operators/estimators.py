@@ -1,7 +1,7 @@
 """Return and risk estimators over long frames: ts, asset, and price or ret.
 
-Covariances are long frames too (asset_i, asset_j, cov), made by one self-join on the
-time; only the finished matrix of assets goes to a solver.
+Covariances are long frames too (asset_i, asset_j, cov), made of sums of products by blocks of
+assets and times (functions/gram.py); only the finished matrix of assets goes to a solver.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.gram import WEIGHTED, pair_sums
+from ..functions.windows import nan_to_null
+
 
 def returns(prices: DataFrame, unit: str | None = None) -> DataFrame:
     """Changes of price by asset; with a unit (day, week, month) of the last price of each bucket."""
@@ -36,21 +39,23 @@ def exponential_returns(rets: DataFrame, frequency: float = 252, span: float = 5
     return w.groupBy("asset").agg((F.sum(F.col("_w") * F.col("ret")) / F.sum("_w") * frequency).alias("mean"))
 
 
-def pairs(rets: DataFrame) -> DataFrame:
-    """ts, asset_i, asset_j, ri, rj: all pairs of assets at each time."""
-    a = rets.select("ts", F.col("asset").alias("asset_i"), F.col("ret").alias("ri"))
-    b = rets.select("ts", F.col("asset").alias("asset_j"), F.col("ret").alias("rj"))
-    return a.join(b, "ts")
+def _pairs(rets: DataFrame, value: Column | None = None, **options) -> DataFrame:
+    return pair_sums(rets.select("ts", "asset", (F.col("ret") if value is None else value).cast("double").alias("value")), **options)
+
+
+def _covariance() -> Column:
+    """Of the rows that both assets have, over their number."""
+    return F.col("sij") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")
 
 
 def sample_covariance(rets: DataFrame) -> DataFrame:
-    return pairs(rets).groupBy("asset_i", "asset_j").agg(F.covar_samp("ri", "rj").alias("cov"))
+    return _pairs(rets).select("asset_i", "asset_j", F.when(F.col("n") > 1, _covariance() * F.col("n") / (F.col("n") - 1)).alias("cov"))
 
 
 def empirical_covariance(rets: DataFrame, centered: bool = False) -> DataFrame:
     """Divided by T; centered: means are taken to be 0."""
-    value = F.avg(F.col("ri") * F.col("rj")) if centered else F.covar_pop("ri", "rj")
-    return pairs(rets).groupBy("asset_i", "asset_j").agg(value.alias("cov"))
+    value = F.col("sij") / F.col("n") if centered else _covariance()
+    return _pairs(rets, centre=not centered).select("asset_i", "asset_j", value.alias("cov"))
 
 
 def shrunk_covariance(rets: DataFrame, kind: str = "basic", delta: float = 0.1) -> DataFrame:
@@ -79,8 +84,9 @@ def shrunk_covariance(rets: DataFrame, kind: str = "basic", delta: float = 0.1)
 
 def semi_covariance(rets: DataFrame, threshold: float = 0.0, *, by_assets: bool = True) -> DataFrame:
     """Mean product of shortfalls below the threshold; by_assets divides by T * N instead of T."""
-    low = lambda c: F.least(F.col(c) - threshold, F.lit(0.0))
-    out = pairs(rets).groupBy("asset_i", "asset_j").agg((F.sum(low("ri") * low("rj")) / F.count("*")).alias("cov"))
+    short = F.when(nan_to_null(F.col("ret").cast("double")).isNotNull(), F.least(F.col("ret") - threshold, F.lit(0.0)))
+    low = _pairs(rets, short, centre=False)
+    out = low.select("asset_i", "asset_j", (F.col("sij") / F.col("n")).alias("cov"))
     if not by_assets:
         return out
     n = F.count("*").over(Window.partitionBy("asset_i"))
@@ -89,11 +95,10 @@ def semi_covariance(rets: DataFrame, threshold: float = 0.0, *, by_assets: bool
 
 def exponential_covariance(rets: DataFrame, span: float = 60) -> DataFrame:
     """Last exponentially weighted mean of the products of deviations from the mean."""
-    both = pairs(rets)
-    w = Window.partitionBy("asset_i", "asset_j")
-    product = (F.col("ri") - F.avg("ri").over(w)) * (F.col("rj") - F.avg("rj").over(w))
-    out = both.withColumn("_x", product).withColumn("_w", _last_weight(["asset_i", "asset_j"], span))
-    return out.groupBy("asset_i", "asset_j").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("cov"))
+    w, wi, wj, wij = (F.col(c) for c in WEIGHTED)
+    mi, mj = F.col("si") / F.col("n"), F.col("sj") / F.col("n")
+    product = (wij - mi * wj - mj * wi + mi * mj * w) / w
+    return _pairs(rets, keep=1 - 2 / (span + 1)).select("asset_i", "asset_j", product.alias("cov"))
 
 
 def to_correlation(cov: DataFrame) -> DataFrame:
