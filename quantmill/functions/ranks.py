@@ -27,6 +27,10 @@ def runs(column: pa.Array) -> tuple[np.ndarray, list]:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros(1, np.int64), []
+    if pa.types.is_struct(column.type):
+        inner = column.flatten()
+        bounds = np.unique(np.concatenate([runs(c)[0] for c in [*inner, column.is_null()]]))
+        return bounds, [column[int(i)].as_py() for i in bounds[:-1]]
     encoded = pc.run_end_encode(column)
     return np.concatenate([[0], encoded.run_ends.to_numpy(zero_copy_only=False).astype(np.int64)]), encoded.values.to_pylist()
 
@@ -53,11 +57,11 @@ def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank") -
 
     dealt = df.repartitionByRange(F.col(key), *map(F.col, order)).sortWithinPartitions(key, *order)
     table = written(dealt.mapInArrow(count, schema), "ranked")
-    sizes = table.groupBy(F.col(key).alias("_key"), F.col("_rank_part").alias("_of")).agg((F.max("_rank_at") + 1).alias("_size"))
-    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.sum("_size").over(earlier)).where("_before is not null").drop("_size")
-    both = table.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank_part") == F.col("_of")), "left")
-    return both.select(*df.columns, (F.col("_rank_at") + F.coalesce("_before", F.lit(0))).alias(name))
+    sizes = table.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_part").alias("_rank_of")).agg((F.max("_rank_at") + 1).alias("_rank_size"))
+    earlier = Window.partitionBy("_rank_key").orderBy("_rank_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_rank_before", F.sum("_rank_size").over(earlier)).where("_rank_before is not null").drop("_rank_size")
+    both = table.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_rank_key")) & (F.col("_rank_part") == F.col("_rank_of")), "left")
+    return both.select(*df.columns, (F.col("_rank_at") + F.coalesce("_rank_before", F.lit(0))).alias(name))
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_rank") -> DataFrame:

@@ -6,11 +6,13 @@ driver; fitting is left to pyspark.ml.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.scans import Running, scan
 from ..functions.tables import written
 
@@ -57,24 +59,41 @@ def train_times(events: DataFrame, tests: DataFrame, *, key: str | None = None)
 
 
 def embargo(times: DataFrame, share: float, *, key: str | None = None, order: str = "t0") -> DataFrame:
-    """All but the last k = int(n * share) rows."""
-    keys = [key] if key else []
-    n = F.count("*").over(Window.partitionBy(*keys))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return times.withColumns({"_n": n, "_i": place}).where(F.col("_i") <= F.col("_n") - F.floor(F.col("_n") * share)).drop("_n", "_i")
+    """All but the last k = int(n * share) rows of each key, or of all; places come from ranges of time (functions/ranks.py)."""
+    own = times if key else times.withColumn("_all", F.lit(0))
+    name = key or "_all"
+    placed = ranked(own, name, [order], "_i")
+    sizes = placed.groupBy(F.col(name).alias("_key")).agg(F.count("*").alias("_n"))
+    kept = placed.join(sizes, F.col(name).eqNullSafe(F.col("_key"))).where(F.col("_i") < F.col("_n") - F.floor(F.col("_n") * share))
+    return kept.select(times.columns)
 
 
-def purged_folds(events: DataFrame, n_splits: int = 5, embargo_share: float = 0.01, *, key: str = "series_id", id_: str = "id", textbook: bool = False) -> DataFrame:
+def _fold_of(place: Column, n: Column, splits: int) -> Column:
+    """The number of the contiguous fold of a place (from 0) among n, larger folds first."""
+    size, larger = F.floor(n / splits), n % splits
+    head = larger * (size + 1)
+    return F.when(place < head, F.floor(place / (size + 1))).otherwise(larger + F.floor((place - head) / F.greatest(size, F.lit(1)))).cast("int")
+
+
+def purged_folds(events: DataFrame, n_splits: int = 5, embargo_share: float = 0.01, *, key: str = "series_id", id_: str = "id", textbook: bool = False, ranges: bool = False) -> DataFrame:
     """Rows (series, fold, id, role) with role train or test; purged and embargoed rows are in neither.
 
     Folds are contiguous in t0, larger ones first. The test interval runs from t1 of its first
     row (textbook: from t0) to t1 of its last. The embargo takes the last k training rows,
     k = max(1, int(n * share)), or none for share 0 (textbook: the k rows after the test fold).
+    ranges: places come from ranges of time instead of a window over each series, for series that are
+    too long for a task; the rows are then written to the shared folder.
     """
     if n_splits < 2:
         raise ValueError("at least two folds")
-    w = Window.partitionBy(key).orderBy("t0", id_)
-    rows = events.select(key, id_, "t0", "t1").withColumns({"_fold": F.ntile(n_splits).over(w) - 1, "_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(key))})
+    base = events.select(key, id_, "t0", "t1")
+    if ranges:
+        placed = ranked(base, key, ["t0", id_], "_i")
+        sizes = placed.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+        rows = placed.join(sizes, F.col(key) == F.col("_key")).drop("_key").withColumn("_fold", _fold_of(F.col("_i"), F.col("_n"), n_splits)).withColumn("_i", F.col("_i") + 1)
+    else:
+        w = Window.partitionBy(key).orderBy("t0", id_)
+        rows = base.withColumns({"_fold": F.ntile(n_splits).over(w) - 1, "_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(key))})
     ordered = F.struct("t0", id_)
     windows = rows.groupBy(key, F.col("_fold").alias("fold")).agg(F.min_by("t0" if textbook else "t1", ordered).alias("start"), F.max_by("t1", ordered).alias("end"), F.max("_i").alias("_last"))
     both = rows.join(windows, key)  # n_splits rows for each row of the series
@@ -84,7 +103,11 @@ def purged_folds(events: DataFrame, n_splits: int = 5, embargo_share: float = 0.
     train = both.where(~is_test & ~clash)
     if textbook:
         train = train.where(~((F.col("_i") > F.col("_last")) & (F.col("_i") <= F.col("_last") + k)))
-    else:
+    elif ranges and embargo_share > 0:
+        lasts = ranked(train.withColumn("_of", F.struct(key, "fold")), "_of", ["t0", id_], "_place")
+        counts = lasts.groupBy(F.col("_of").alias("_o")).agg(F.count("*").alias("_size"))
+        train = lasts.join(counts, F.col("_of") == F.col("_o")).where(F.col("_size") - F.col("_place") > k)
+    elif embargo_share > 0:
         back = F.row_number().over(Window.partitionBy(key, "fold").orderBy(F.desc("t0"), F.desc(id_)))
         train = train.withColumn("_b", back).where(F.col("_b") > k)
     role = lambda df, name: df.select(key, "fold", id_, F.lit(name).alias("role"))
@@ -207,19 +230,35 @@ def hyper_fit(estimator, grid: Sequence[dict], data: DataFrame, folds: DataFrame
     kept.unpersist()
     best = max(results, key=lambda r: r[0])[1]
     tuned = estimator.copy(best)
-    return (Bag(tuned, *bagging, seed=seed).fit(data) if bagging else tuned.fit(data)), results
+    return (Bag(tuned, *bagging, seed=seed, id_=id_).fit(data) if bagging else tuned.fit(data)), results
 
 
 class Bag:
-    """Copies of a classifier, each fitted on rows drawn with replacement; probabilities are averaged."""
+    """Copies of a classifier, each fitted on rows drawn with replacement; probabilities are averaged.
+
+    How often a member draws a row is a Poisson number from a hash of seed, member and id, so that it
+    does not depend on how the rows are dealt out, and a lost partition comes back the same.
+    """
 
-    def __init__(self, estimator, members: int = 10, share: float = 1.0, seed: int = 0):
+    def __init__(self, estimator, members: int = 10, share: float = 1.0, seed: int = 0, id_: str = "id"):
         if members < 1 or share <= 0:
             raise ValueError("a bag needs members and rows")
-        self.estimator, self.members, self.share, self.seed, self.models = estimator, members, share, seed, []
+        self.estimator, self.members, self.share, self.seed, self.id_, self.models = estimator, members, share, seed, id_, []
+
+    def drawn(self, data: DataFrame, member: int) -> DataFrame:
+        """The rows that a member draws, as often as it draws them."""
+        u = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(member), self.id_), F.lit(1 << 53)) / float(1 << 53)
+        p = upto = math.exp(-self.share)
+        times, k = F.lit(0), 0
+        while 1 - upto > 1e-15 and k < 1000:
+            times = times + (u >= upto).cast("int")
+            k += 1
+            p *= self.share / k
+            upto += p
+        return data.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_time")
 
     def fit(self, data: DataFrame) -> Bag:
-        self.models = [self.estimator.fit(data.sample(True, self.share, self.seed + m)) for m in range(self.members)]
+        self.models = [self.estimator.fit(self.drawn(data, m)) for m in range(self.members)]
         return self
 
     def transform(self, data: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +31,10 @@ def seq_bootstrap(spark, d):
 
 @_plain("bootstrap_monte_carlo")
 def bootstrap_monte_carlo(spark, d):
-    rng = np.random.default_rng(3)
-    first, past = bootstrap.random_spans(40, 200, 8, rng)
-    return bootstrap.summary(bootstrap.monte_carlo(spark, np.arange(int(past.max())), first, past - 1, iterations=50))
+    """Samples of 50 of the day-long events of each event type, 100 times."""
+    p = events_series(spark, d, "event_type")
+    e = labels.vertical_barrier(p, p.select("series_id", F.col("ts").alias("t0")))
+    return bootstrap.summary(bootstrap.monte_carlo_by_series(p, e, sample_len=50, iterations=100))
 
 
 @_plain("random_monte_carlo")
@@ -52,7 +52,7 @@ def samples(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 
 
 def _folds(data: DataFrame, n: int = 3) -> DataFrame:
-    return crossval.purged_folds(data.withColumn("series_id", F.lit(1)), n)
+    return crossval.purged_folds(data.withColumn("series_id", F.lit(1)), n, ranges=True)
 
 
 def _tree():

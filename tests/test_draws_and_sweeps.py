@@ -145,3 +145,26 @@ def test_train_times_sweep_equals_every_pair(spark, monkeypatch, rows):
     got = crossval.train_times(e, t)
     assert got.columns == e.columns and sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 20
     assert crossval.train_times(e, t.where("false")).count() == e.count() and crossval.train_times(e.where("false"), t).count() == 0
+
+
+@pytest.mark.parametrize("textbook", [True, False])
+@pytest.mark.parametrize("share", [0.0, 0.05])
+def test_folds_by_ranges_are_those_by_windows(spark, textbook, share):
+    rng = random.Random(9)
+    rows = [(k, i, T0 + dt.timedelta(hours=rng.randrange(60)), None) for k, n in ((1, 83), (2, 7), (3, 2)) for i in range(n)]
+    rows = [(k, i, t0, t0 + dt.timedelta(hours=rng.randrange(1, 6))) for k, i, t0, _ in rows]
+    e = spark.createDataFrame(rows, "series_id int, id int, t0 timestamp_ntz, t1 timestamp_ntz").repartition(3)
+    a, b = (sorted(map(tuple, crossval.purged_folds(e, 5, share, textbook=textbook, ranges=r).collect())) for r in (False, True))
+    assert a == b and len(a) > 200
+    kept = crossval.embargo(e, 0.1, key="series_id")
+    assert kept.columns == e.columns and {r.series_id: r["count"] for r in kept.groupBy("series_id").count().collect()} == {1: 75, 2: 7, 3: 2}
+    assert crossval.embargo(e, 0.5).count() == 46 and crossval.embargo(e.where("false"), 0.5).count() == 0
+
+
+def test_bags_draw_the_same_however_rows_are_dealt_out(spark):
+    rows = spark.range(4000).withColumn("x", F.col("id") * 2)
+    bag = crossval.Bag(None, 3, 1.5, seed=2)
+    draw = lambda df, m=0: {r.id: r["count"] for r in bag.drawn(df, m).groupBy("id").count().collect()}
+    first = draw(rows)
+    assert first == draw(rows.repartition(5)) != draw(rows, 1) and bag.drawn(rows, 0).columns == ["id", "x"]
+    assert sum(first.values()) == pytest.approx(6000, rel=0.05) and 4000 - len(first) == pytest.approx(4000 * np.exp(-1.5), rel=0.1)
