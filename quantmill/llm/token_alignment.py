@@ -47,22 +47,24 @@ from .token_count import _require, byte_letters, read_vocabulary
 
 #: The space that both tokenizers start at: between two visible ASCII characters, letters or digits.
 SAFE_CUT = r" (?<=[\x21-\x7E\p{L}\p{N}] )(?=[\x21-\x7E\p{L}\p{N}])"
-#: Text of one block at most: a task holds its different pieces, and sorts all of them.
+#: Text of one block, as large on the average: a task holds its pieces and what becomes of them.
 BLOCK_BYTES = 20 << 20
 #: Id pairs up to this number are broadcast (some 40 bytes each).
 MOST_BROADCAST = 500_000
 
 #: Aggregations in the order of the rows; joins on (block, piece) of sides dealt out by block; shuffles that go with their query.
 PLANNING = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Texts are put together in a hash table, whose size the text of a block bounds, and in the order in which they are read.
+TOGETHER = {"spark.sql.execution.useObjectHashAggregateExec": "true", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(1 << 30)}
 
 _TOKENS = T.StructType([T.StructField("valid", T.BooleanType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a_ids", "a_sizes", "b_ids", "b_sizes"))])
 
 
 @contextlib.contextmanager
-def _planning(spark: SparkSession) -> Iterator[None]:
+def _planning(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """The settings hold for what is written inside, and go back to what they were."""
-    before = {k: spark.conf.get(k, None) for k in PLANNING}
-    for k, v in PLANNING.items():
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -189,7 +191,7 @@ def align(documents: DataFrame, path_a: str, path_b: str, groups_as: Callable[[C
     cut = F.split("text", SAFE_CUT, -1) if both.separable() else F.array("text")
     words = dealt.select("block", "row", "doc_id", F.posexplode(cut).alias("pos", "piece"))
 
-    with _planning(spark):
+    with _planning(spark, PLANNING):
         # a block has a piece once: dealt out before the second grouping, which has nothing to put together before
         counted = words.groupBy("block", "piece").agg(F.count("*").alias("n")).repartition(n, "piece").groupBy("piece").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
         pieces = written(tokenized(counted, spec, model).withColumn("pid", F.monotonically_increasing_id()), "alignment_pieces")
@@ -212,17 +214,16 @@ def align(documents: DataFrame, path_a: str, path_b: str, groups_as: Callable[[C
         removed(aligned)
 
         table = weighed.select(F.explode("blocks").alias("block"), "piece", "valid", "groups", *numbers).repartition(n, "block")
-        # Sorted in reading order before the hash join, which keeps the order of this side, as does the aggregation: only
-        # short rows are sorted. The condition, which always holds, is there because the optimizer drops sorts right below joins.
-        reading = words.sortWithinPartitions("block", "row", "pos").where(F.spark_partition_id() >= 0)
-        joined = reading.join(table.hint("shuffle_hash"), ["block", "piece"])
+        # the hash join keeps the reading order of this side, and so does the aggregation: nothing is sorted
+        joined = words.join(table.hint("shuffle_hash"), ["block", "piece"])
         valid = F.bool_and("valid")
         sums = [F.when(valid, F.sum(c)).otherwise(0).cast("long").alias(c) for c in numbers]
         shown = F.when(valid, groups_as(F.concat_ws(";", F.collect_list("groups")))).otherwise("")
         found = joined.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *sums, shown.alias("groups"))
         # tokens have bytes, so that at a cut one token of each side ends: a group has one link
         result = found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")
-        done = written(result, "alignment")
+        with _planning(spark, TOGETHER):
+            done = written(result, "alignment")
         removed(weighed)
     return Alignment(done, pairs)
 

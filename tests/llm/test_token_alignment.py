@@ -112,10 +112,10 @@ def test_uncut_texts_give_the_same(spark, small_dir, monkeypatch):
 
 
 def test_empty_table_and_settings(spark):
-    before = {k: spark.conf.get(k, None) for k in ta.PLANNING}
+    before = {k: spark.conf.get(k, None) for k in ta.PLANNING | ta.TOGETHER}
     out = ta.digest(spark.createDataFrame([], "doc_id long, text string"), A, B)
     assert out.count() == 0 and out.columns == ["doc_id", *COLUMNS[:-1], "groups_sha256"]
-    assert {k: spark.conf.get(k, None) for k in ta.PLANNING} == before
+    assert {k: spark.conf.get(k, None) for k in before} == before
 
 
 @pytest.mark.parametrize("text", ["a b", "x. Y", "é 9"])
