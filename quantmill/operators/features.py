@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.linalg import adf
-from ..functions.windows import forward_fill, ordered
+from ..functions.ranks import ranked
+from ..functions.scans import Filled, scan
+from ..functions.windows import forward_fill, nan_to_null, ordered
 
 
 def weights(d: float, size: int) -> list[float]:
@@ -67,8 +70,92 @@ def expanding_diff(x: np.ndarray, d: float, threshold: float) -> np.ndarray:
     return full
 
 
-def frac_diff(df: DataFrame, d: float, threshold: float = 0.01, column: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "frac_diff") -> DataFrame:
-    """Expanding-window fractional difference by series (a series must fit a task)."""
+def _weights_from(first: float, k: int, d: float, size: int) -> np.ndarray:
+    """Weights k, k + 1 ... of order d, so many, from weight k."""
+    steps = np.arange(k + 1, k + size)
+    return np.concatenate([[first], first * np.cumprod(-(d - steps + 1) / steps)])[:size]
+
+
+def _left_out(d: float, n: int, threshold: float, chunk: int = 1 << 20) -> int:
+    """Rows of a series of n whose left-out weights have more than a share of all; holds a chunk of weights at a time."""
+    sums, first, k = [], 1.0, 0
+    while k < n:
+        w = _weights_from(first, k, d, min(chunk, n - k) + 1)
+        sums.append(float(np.abs(w[: min(chunk, n - k)]).sum()))
+        first, k = float(w[-1]), k + chunk
+    total, tail = sum(sums), 0.0
+    for c in range(len(sums) - 1, -1, -1):  # from the last weight on
+        if tail + sums[c] > threshold * total:
+            first, k = 1.0, 0
+            for _ in range(c):
+                first, k = float(_weights_from(first, k, d, chunk + 1)[-1]), k + chunk
+            inner = tail + np.cumsum(np.abs(_weights_from(first, k, d, min(chunk, n - k)))[::-1])
+            place = int(np.searchsorted(inner, threshold * total, side="right"))
+            return n - (sum(min(chunk, n - j * chunk) for j in range(c + 1, len(sums))) + place)
+        tail += sums[c]
+    return 0
+
+
+#: Products of blocks that one task adds up before the next adds those.
+PRODUCTS = 64
+
+
+def _frac_diff_in_blocks(df: DataFrame, d: float, threshold: float, column: str, key: str, order: Sequence[str], name: str, size: int) -> DataFrame:
+    """Overlap-save convolution by blocks of time: a block of the result is the sum of products of all blocks up to it.
+
+    A task holds blocks of `size` values only, never the series.
+    """
+    own = df.columns
+    line = scan(df.withColumn("_v", nan_to_null(F.col(column).cast("double"))), key, order, Filled("_v", "_x"), size)
+    placed = ranked(line.where("_x is not null"), key, order, "_t")
+    lengths = placed.groupBy(F.col(key).alias("_l")).agg((F.max("_t") + 1).alias("_n"))
+    longest = lengths.agg(F.max("_n")).first()[0] or 0
+    starts, first = [], 1.0  # the weight that each block of weights begins with
+    for k in range(0, longest + size, size):
+        starts.append(first)
+        first = float(_weights_from(first, k, d, size + 1)[-1])
+    shared = df.sparkSession.sparkContext.broadcast(starts)
+    blocks = placed.groupBy(F.col(key).alias("_k"), F.floor(F.col("_t") / size).cast("int").alias("_i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_t", "_x"))), lambda r: r["_x"]).alias("_xs"))
+    pairs = blocks.join(lengths, F.col("_k").eqNullSafe(F.col("_l"))).select("_k", "_i", "_xs", F.explode(F.sequence("_i", F.floor((F.col("_n") - 1) / size).cast("int"))).alias("_j")).withColumn("_part", F.floor(F.col("_i") / PRODUCTS).cast("int"))
+    kind = df.schema[key].dataType
+
+    def add_products(table: pa.Table) -> pa.Table:
+        j, total = table.column("_j")[0].as_py(), np.zeros(2 * size)
+        for i, x in zip(table.column("_i").to_pylist(), table.column("_xs"), strict=True):
+            m, x = j - i, x.values.to_numpy(zero_copy_only=False)
+            w = np.zeros(2 * size)
+            w[:size] = _weights_from(shared.value[m], m * size, d, size)
+            if m:
+                w[size + 1 :] = _weights_from(shared.value[m - 1], (m - 1) * size, d, size)[1:]
+            total += np.fft.irfft(np.fft.rfft(x, 2 * size) * np.fft.rfft(w), 2 * size)
+        return pa.table([table.column("_k")[:1], pa.array([j], pa.int32()), pa.array([total[:size]], pa.list_(pa.float64()))], names=["_k", "_j", "_sum"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(x.values.to_numpy(zero_copy_only=False) for x in table.column("_sum"))
+        return pa.table([table.column("_k")[:1], table.column("_j")[:1], pa.array([total], pa.list_(pa.float64()))], names=["_k", "_j", "_sum"])
+
+    schema = T.StructType([T.StructField("_k", kind), T.StructField("_j", T.IntegerType()), T.StructField("_sum", T.ArrayType(T.DoubleType()))])
+    sums = pairs.groupBy("_k", "_j", "_part").applyInArrow(add_products, schema).groupBy("_k", "_j").applyInArrow(add, schema)
+    values = sums.select("_k", "_j", F.posexplode("_sum").alias("_p", "_d")).select("_k", (F.col("_j").cast("long") * size + F.col("_p")).alias("_at"), "_d")
+
+    def skipped(batches):
+        for batch in batches:
+            yield batch.append_column("_skip", pa.array([_left_out(d, n, threshold) for n in batch.column("_n").to_pylist()], pa.int64()))
+
+    skips = lengths.mapInArrow(skipped, T.StructType([*lengths.schema.fields, T.StructField("_skip", T.LongType())])).select("_l", "_skip")
+    there = placed.join(values, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_at"))).join(skips, F.col(key).eqNullSafe(F.col("_l")))
+    result = there.select(*own, F.when(F.col("_v").isNotNull() & (F.col("_t") >= F.col("_skip")), F.col("_d")).alias(name))
+    none = line.where("_x is null").select(*own, F.lit(None).cast("double").alias(name))
+    return result.unionAll(none)
+
+
+def frac_diff(df: DataFrame, d: float, threshold: float = 0.01, column: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "frac_diff", block_rows: int | None = None) -> DataFrame:
+    """Expanding-window fractional difference by series.
+
+    A series must fit a task unless block_rows is given: then products of blocks of so many rows are added up.
+    """
+    if block_rows is not None:
+        return _frac_diff_in_blocks(df, d, threshold, column, key, order, name, block_rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[column].astype(float).ffill()
