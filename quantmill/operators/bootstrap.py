@@ -113,6 +113,46 @@ class Alive:
 
 
 def sequential_draws(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Draw with replacement, each time in proportion to the uniqueness given the draws so far: one uniform number a draw.
+
+    What `lazy_draws` draws from too, by looking at every event that a draw meets.
+
+    A draw changes the uniqueness of the events that meet it only: those are found by their first bar, and sums
+    over blocks of events give the place of the next draw. Events that all meet cost one pass a draw.
+    """
+    n, block = len(first), 256
+    alive, out = np.zeros(n_bars), np.zeros(size, np.int64)
+    if not n:
+        return out[:0]
+    order = np.argsort(first, kind="stable")
+    starts, longest = first[order], max(int((past - first).max()), 0)
+    p = np.zeros(-(-n // block) * block)
+    p[:n] = uniqueness(first, past, alive)
+    blocks = p.reshape(-1, block)  # a view
+    sums = blocks.sum(axis=1)
+    for i in range(size):
+        upto = np.cumsum(sums)
+        if upto[-1] > 0:
+            u = rng.random() * upto[-1]
+            b = min(int(np.searchsorted(upto, u, side="right")), int(np.flatnonzero(sums)[-1]))
+            inner = np.cumsum(blocks[b])
+            k = min(int(np.searchsorted(inner, u - (upto[b] - sums[b]), side="right")), int(np.flatnonzero(blocks[b])[-1]))
+            d = b * block + k
+        else:
+            d = int(rng.integers(n))
+        out[i] = d
+        if past[d] <= first[d]:
+            continue
+        alive[first[d] : past[d]] += 1
+        near = order[np.searchsorted(starts, first[d] - longest, side="left") : np.searchsorted(starts, past[d], side="left")]
+        low, high = int(first[near].min()), int(max(past[near].max(), first[near].max()))
+        p[near] = uniqueness(first[near] - low, past[near] - low, alive[low:high])
+        touched = np.unique(near // block)
+        sums[touched] = blocks[touched].sum(axis=1)
+    return out
+
+
+def lazy_draws(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> np.ndarray:
     """Draw with replacement, each time in proportion to the uniqueness given the draws so far.
 
     Uniqueness only falls as draws come. So what it was when last looked at bounds it: an event is
@@ -166,7 +206,7 @@ def sequential_bootstrap(bars: DataFrame, events: DataFrame, sample_len: int | N
         at = np.sort(b[ts].to_numpy())
         e = e.sort_values(["t0", "t1"])
         first, past = spans(at, e["t0"].to_numpy(), e["t1"].fillna(b[ts].max()).to_numpy())
-        draws = sequential_draws(first, past, len(at), sample_len or len(e), np.random.default_rng([seed, len(e)]))
+        draws = lazy_draws(first, past, len(at), sample_len or len(e), np.random.default_rng([seed, len(e)]))
         return pd.DataFrame({key: e[key].iloc[0], "draw": np.arange(len(draws)), "t0": e["t0"].to_numpy()[draws], "t1": e["t1"].to_numpy()[draws]})
 
     kind = bars.schema[key].dataType.simpleString()
@@ -175,7 +215,7 @@ def sequential_bootstrap(bars: DataFrame, events: DataFrame, sample_len: int | N
 
 def _compare(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> tuple[float, float]:
     standard = sample_uniqueness(first, past, n_bars, rng.integers(len(first), size=size))
-    return standard, sample_uniqueness(first, past, n_bars, sequential_draws(first, past, n_bars, size, rng))
+    return standard, sample_uniqueness(first, past, n_bars, lazy_draws(first, past, n_bars, size, rng))
 
 
 def monte_carlo(spark: SparkSession, bar_ts: np.ndarray, t0: np.ndarray, t1: np.ndarray, sample_len: int | None = None, iterations: int = 100, seed: int = 0) -> DataFrame:

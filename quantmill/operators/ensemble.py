@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bootstrap import sequential_draws, spans
+from .bootstrap import lazy_draws, spans
 
 
 def _size(asked: int | float, n: int) -> int:
@@ -72,7 +72,7 @@ class SequentialBagging:
             first, past = spans(times, e["t0"].to_numpy(), e["t1"].to_numpy())
             m = int(e["m"].iloc[0])
             rng = np.random.default_rng([seed, m, int(e["h"].iloc[0])])
-            places, n = np.unique(sequential_draws(first, past, len(times), _size(asked, len(e)), rng), return_counts=True)
+            places, n = np.unique(lazy_draws(first, past, len(times), _size(asked, len(e)), rng), return_counts=True)
             return pd.DataFrame({"m": m, "id": e["id"].to_numpy()[places], "n": n})
 
         schema = T.StructType([T.StructField("m", T.IntegerType()), data.schema["id"], T.StructField("n", T.LongType())])

@@ -36,7 +36,7 @@ def test_draws_have_the_law_of_plain_draws(monkeypatch, block, events):
     expected, n, rng = law(first, past, 12, 3), 12_000, np.random.default_rng(block)
     seen = dict.fromkeys(expected, 0)
     for _ in range(n):
-        seen[tuple(bootstrap.sequential_draws(first, past, 12, 3, rng).tolist())] += 1
+        seen[tuple(bootstrap.lazy_draws(first, past, 12, 3, rng).tolist())] += 1
     assert all(seen[d] == 0 for d, p in expected.items() if p == 0)
     likely = [d for d, p in expected.items() if p > 0]
     chi = sum((seen[d] - n * expected[d]) ** 2 / (n * expected[d]) for d in likely)
@@ -68,7 +68,7 @@ def test_events_that_all_meet_cost_few_looks_a_draw():
     n = 20_000
     first, past = np.arange(n), np.full(n, n)
     began = time.time()
-    draws = bootstrap.sequential_draws(first, past, n, n, np.random.default_rng(0))
+    draws = bootstrap.lazy_draws(first, past, n, n, np.random.default_rng(0))
     assert len(draws) == n and time.time() - began < 60
     assert len(np.unique(draws)) > 0.55 * n
 
