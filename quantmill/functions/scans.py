@@ -129,7 +129,8 @@ def scan(df: DataFrame, key: str, order: Sequence[str], kernel: Kernel, block_ro
     numbers = T.ArrayType(T.DoubleType())
     summaries = dealt(placed.select(*keys, "_rank", *reads)).mapInArrow(summed, T.StructType([*name, T.StructField("_piece", T.LongType()), T.StructField("_summary", numbers)]))
     states = summaries.groupBy(key).applyInArrow(composed, T.StructType([*name, T.StructField("_state", numbers)])).toDF("_key", "_b", "_state")
-    begun = placed.join(states, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b"))).drop("_key", "_b")
+    # the state, which may be long, goes with the first row of its block only
+    begun = placed.join(states, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank") == F.col("_b") * block_rows), "left").drop("_key", "_b")
     return _scanned(dealt(begun), keys, kernel, "_state").drop("_rank", "_block")
 
 
