@@ -23,14 +23,21 @@ def variances(params: Sequence[float], e: np.ndarray) -> np.ndarray:
     return out
 
 
+def logistic(x: float) -> float:
+    """1 / (1 + exp(-x)), without overflow at either end."""
+    e = math.exp(-abs(x))
+    return 1 / (1 + e) if x >= 0 else e / (1 + e)
+
+
 def fit(x: np.ndarray) -> tuple[float, float, float, float, float, float]:
-    """mu, omega, alpha, beta, log likelihood and the deviation forecast; x in per cent."""
-    v0 = float(x.var())
+    """mu, omega, alpha, beta, log likelihood and the deviation forecast; x in per cent. Returns that are not finite are left out."""
+    x = x[np.isfinite(x)]
+    v0 = float(x.var()) if len(x) else 0.0
     if len(x) < 20 or v0 == 0:
         return (math.nan,) * 6
 
     def unpack(p: np.ndarray) -> tuple[float, float, float, float]:
-        persist, share = 1 / (1 + math.exp(-p[2])) * 0.9999, 1 / (1 + math.exp(-p[3]))
+        persist, share = logistic(p[2]) * 0.9999, logistic(p[3])
         return float(p[0]), math.exp(min(p[1], 50.0)), persist * share, persist * (1 - share)
 
     def loss(p: np.ndarray) -> float:
