@@ -10,10 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Stands for an end that is open, in microseconds.
+OPEN = 1 << 62
+
+
+def micros(t: Column, missing: int | None = None) -> Column:
+    """A time as microseconds: pandas holds times to the year 2262 only."""
+    whole = F.unix_micros(t.cast("timestamp"))
+    return whole if missing is None else F.coalesce(whole, F.lit(missing))
+
+
 def spans(bar_ts: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last bar of each event."""
     return np.searchsorted(bar_ts, t0, side="left"), np.searchsorted(bar_ts, t1, side="right")
@@ -205,12 +215,16 @@ def sequential_bootstrap(bars: DataFrame, events: DataFrame, sample_len: int | N
             return pd.DataFrame({key: [], "draw": [], "t0": [], "t1": []})
         at = np.sort(b[ts].to_numpy())
         e = e.sort_values(["t0", "t1"])
-        first, past = spans(at, e["t0"].to_numpy(), e["t1"].fillna(b[ts].max()).to_numpy())
+        first, past = spans(at, e["t0"].to_numpy(), e["t1"].to_numpy())
         draws = lazy_draws(first, past, len(at), sample_len or len(e), np.random.default_rng([seed, len(e)]))
         return pd.DataFrame({key: e[key].iloc[0], "draw": np.arange(len(draws)), "t0": e["t0"].to_numpy()[draws], "t1": e["t1"].to_numpy()[draws]})
 
     kind = bars.schema[key].dataType.simpleString()
-    return bars.select(key, ts).groupBy(key).cogroup(events.select(key, "t0", "t1").groupBy(key)).applyInPandas(run, f"{key} {kind}, draw bigint, t0 timestamp_ntz, t1 timestamp_ntz")
+    at = bars.where(F.col(ts).isNotNull()).select(key, micros(F.col(ts)).alias(ts))
+    numbers = events.select(key, micros(F.col("t0"), OPEN).alias("t0"), micros(F.col("t1"), OPEN).alias("t1"))
+    drawn = at.groupBy(key).cogroup(numbers.groupBy(key)).applyInPandas(run, f"{key} {kind}, draw bigint, t0 bigint, t1 bigint")
+    time = lambda c: F.when(F.col(c) != OPEN, F.timestamp_micros(c)).cast("timestamp_ntz").alias(c)
+    return drawn.select(key, "draw", time("t0"), time("t1"))
 
 
 def _compare(first: np.ndarray, past: np.ndarray, n_bars: int, size: int, rng: np.random.Generator) -> tuple[float, float]:
@@ -231,29 +245,34 @@ def monte_carlo(spark: SparkSession, bar_ts: np.ndarray, t0: np.ndarray, t1: np.
     return spark.range(iterations).mapInPandas(run, "run bigint, standard double, sequential double")
 
 
+#: Runs of a series that share one copy of it.
+RUNS_AT_ONCE = 8
+
+
 def monte_carlo_by_series(bars: DataFrame, events: DataFrame, sample_len: int | None = None, iterations: int = 100, seed: int = 0, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Mean uniqueness of standard and sequential samples of the events of each series: series, run, standard, sequential.
 
-    Each series and run is a task of its own, with a seed of its own.
+    Each run has a seed of its own. A series goes out once for every RUNS_AT_ONCE runs, as numbers.
     """
-    every = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(RUNS_AT_ONCE)))
     at = bars.select(key, F.col(ts).alias("_ts")).groupBy(key).agg(F.sort_array(F.collect_set("_ts")).alias("_bars"))
     spans_of = F.struct("t0", F.coalesce("t1", F.to_timestamp_ntz(F.lit("9999-01-01 00:00:00"))).alias("t1"))
     both = events.groupBy(key).agg(F.sort_array(F.collect_list(spans_of)).alias("_events")).join(at, key)
     # places of the events' ends among the bars: the series goes to its runs as numbers
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
     rows = both.select(
         key, F.xxhash64(key).alias("_h"), F.size("_bars").alias("_n"), F.transform("_bars", micros).alias("_at"),
         F.transform("_events", lambda e: micros(e["t0"])).alias("_t0"), F.transform("_events", lambda e: micros(e["t1"])).alias("_t1"),
     )
-    dealt = rows.withColumn("run", every).repartition(F.col(key), F.col("run"))
+    parts = max(2 * bars.sparkSession.sparkContext.defaultParallelism, -(-iterations // RUNS_AT_ONCE))
+    dealt = rows.withColumn("_run", starts).repartition(parts, key, "_run")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for name, h, bars_at, t0, t1, i in zip(pdf[key], pdf["_h"], pdf["_at"], pdf["_t0"], pdf["_t1"], pdf["run"], strict=True):
+            for name, h, bars_at, t0, t1, start in zip(pdf[key], pdf["_h"], pdf["_at"], pdf["_t0"], pdf["_t1"], pdf["_run"], strict=True):
                 first, past = spans(np.asarray(bars_at), np.asarray(t0), np.asarray(t1))
-                out.append((name, int(i), *_compare(first, past, len(bars_at), sample_len or len(first), np.random.default_rng([seed, int(i), int(h) & (2**63 - 1)]))))
+                for i in range(int(start), min(int(start) + RUNS_AT_ONCE, iterations)):
+                    out.append((name, i, *_compare(first, past, len(bars_at), sample_len or len(first), np.random.default_rng([seed, i, int(h) & (2**63 - 1)]))))
             yield pd.DataFrame(out, columns=[key, "run", "standard", "sequential"])
 
     return dealt.mapInPandas(run, f"{key} {bars.schema[key].dataType.simpleString()}, run bigint, standard double, sequential double")

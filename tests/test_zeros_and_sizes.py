@@ -1,11 +1,16 @@
 """Prices of zero as SQL has them, and what must hold on large tables."""
 
+import datetime as dt
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quantmill.operators import garch
+from quantmill.operators import bootstrap, garch, importance, labels
+from quantmill.operators.ensemble import SequentialBagging
+
+T0 = dt.datetime(2024, 1, 1)
 
 
 @pytest.mark.parametrize("seed", [50, 109, 111])
@@ -18,3 +23,58 @@ def test_garch_far_from_its_start(seed):
 def test_garch_leaves_out_infinite_returns():
     x = np.random.default_rng(7).normal(0, 1, 200)
     assert garch.fit(np.insert(x, [3, 90], [math.inf, -math.inf])) == garch.fit(x)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_no_fill_reads_the_rest_of_a_series_for_each_row(spark):
+    prices = spark.createDataFrame([(1, T0 + dt.timedelta(hours=h), float(h)) for h in range(60)], "series_id int, ts timestamp_ntz, close double")
+    events = labels.vertical_barrier(prices, prices.selectExpr("series_id", "ts AS t0"))
+    assert {(r.t1 - r.t0) for r in events.collect()} == {dt.timedelta(days=1)} and events.count() == 36
+    out = labels.meta_label(prices, events)
+    assert out.where("abs(ret - 24 / ((unix_micros(CAST(t0 AS timestamp)) - unix_micros(timestamp'2024-01-01')) / 3600e6)) < 1e-12").count() == 35  # not the first, whose price is 0
+    for df in (events, out):
+        assert "unboundedfollowing" not in plan(df)
+
+
+def test_monte_carlo_runs_do_not_depend_on_their_groups(spark, monkeypatch):
+    bars = spark.range(300).selectExpr("id % 3 AS series_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS int)) AS ts")
+    events = bars.selectExpr("series_id", "ts AS t0", "ts + interval 7 hours AS t1")
+    runs = lambda: {tuple(r) for r in bootstrap.monte_carlo_by_series(bars, events, 10, 11).collect()}
+    got = runs()
+    assert len(got) == 33 and {r[1] for r in got} == set(range(11))
+    monkeypatch.setattr(bootstrap, "RUNS_AT_ONCE", 1)
+    assert runs() == got
+
+
+def test_draws_at_times_that_pandas_does_not_hold(spark):
+    """Rows of 120,000 days reach the year 2348; nanoseconds end in 2262."""
+    rows = spark.range(1500).selectExpr("id * 80 AS id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(CAST(id * 80 AS int)) AS t0", "CAST(id % 2 AS double) AS label", "CAST(id AS double) AS f0").selectExpr("*", "t0 + interval 200 days AS t1", "1 AS series_id")
+    bars = rows.select("series_id", F.col("t0").alias("ts"))
+    model = SequentialBagging(["f0"], n_estimators=2, seed=1).fit(rows, bars)
+    assert model.drawn.groupBy("m").agg(F.sum("n")).collect() and model.predict(rows).where("prediction is null").count() == 0
+    drawn = bootstrap.sequential_bootstrap(bars, rows.withColumn("t1", F.when(F.col("id") != 80, F.col("t1"))), 1000)
+    assert drawn.count() == 1000 and drawn.join(rows.select("t0"), "t0").count() == 1000
+    assert drawn.where("t1 is null").where("t0 != timestamp_ntz'2020-03-21'").count() == 0
+    assert drawn.where("t1 != t0 + interval 200 days").count() == 0
+
+
+def test_projections_are_one_product_whatever_the_number_of_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 12)) @ rng.normal(0, 1, (12, 12))
+    names = [f"f{i}" for i in range(12)]
+    rows = [(i, *(None if (i, j) == (5, 3) else float(v) for j, v in enumerate(r))) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
+    out = importance.orthogonal(df, names)
+    assert len(plan(out)) < 4000
+    stats, corr = importance._standard(df, names)
+    _, vectors = importance.eigenvectors(corr)
+    for r in out.collect():
+        made = [r[f"PC_{k + 1}"] for k in range(vectors.shape[1])]
+        if r.id == 5:
+            assert made == [None] * len(made)
+        else:
+            z = np.array([(r[n] - stats[n][0]) / stats[n][1] for n in names])
+            np.testing.assert_allclose(made, z @ vectors, atol=1e-9)
