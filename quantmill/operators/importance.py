@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ranks
 from .crossval import SCORERS, SCORES, _fold_scores, _scored, fold_numbers
@@ -176,11 +177,29 @@ def _standard(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, tuple[floa
 
 
 def orthogonal(df: DataFrame, names: Sequence[str], threshold: float = 0.95) -> DataFrame:
-    """Adds PC_1 ...: standardised columns projected on the eigenvectors of their correlations, as expressions."""
+    """Adds PC_1 ...: standardised columns projected on the eigenvectors of their correlations, by a product with
+    their matrix in each batch; null where a column is."""
     stats, corr = _standard(df, names)
     _, vectors = eigenvectors(corr, threshold)
-    z = [(F.col(n) - stats[n][0]) / (stats[n][1] or 1.0) for n in names]
-    return df.withColumns({f"PC_{k + 1}": sum((x * float(v) for x, v in zip(z, vectors[:, k], strict=True)), F.lit(0.0)) for k in range(vectors.shape[1])})
+    mean = np.array([math.nan if stats[n][0] is None else stats[n][0] for n in names])
+    scale = np.array([stats[n][1] or 1.0 for n in names])
+    added = [f"PC_{k + 1}" for k in range(vectors.shape[1])]
+    places = [df.columns.index(n) for n in names]
+
+    def project(batches):
+        for batch in batches:
+            columns = [batch.column(i) for i in places]
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            missing = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in columns], axis=0)
+            z = (x - mean) / scale
+            # sums over the columns in their order, whatever the batch
+            out = np.zeros((len(z), len(added)))
+            for j in range(z.shape[1]):
+                out += z[:, j, None] * vectors[j]
+            made = [pa.array(out[:, k], pa.float64(), mask=missing) for k in range(len(added))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *added])
+
+    return df.mapInArrow(project, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in added)]))
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
