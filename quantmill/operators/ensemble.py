@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bootstrap import lazy_draws, spans
+from .bootstrap import OPEN, lazy_draws, micros, spans
 
 
 def _size(asked: int | float, n: int) -> int:
@@ -62,8 +62,8 @@ class SequentialBagging:
         seed, asked = self.seed, self.max_samples
         series = F.col(self.key) if self.key else F.lit(0)
         every = F.explode(F.array(*(F.lit(m) for m in members)))
-        events = data.select("id", "t0", "t1", series.alias("s")).withColumn("m", every)
-        at = bars.select(F.col(ts).alias("ts"), series.alias("s")).distinct().withColumn("m", every)
+        events = data.select("id", micros(F.col("t0"), OPEN).alias("t0"), micros(F.col("t1"), OPEN).alias("t1"), series.alias("s")).withColumn("m", every)
+        at = bars.select(micros(F.col(ts), OPEN).alias("ts"), series.alias("s")).distinct().withColumn("m", every)
 
         def draw(_key, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if e.empty:
