@@ -21,8 +21,8 @@ def cusum_step(state: list, value: float | None, limit: float) -> bool:
     last, state[0] = state[0], value
     if last is None:
         return False
-    d = value - last
-    state[1], state[2] = max(0.0, state[1] + d), min(0.0, state[2] + d)
+    # added before the last value goes, in the order of the formula: at the limit the last bit decides
+    state[1], state[2] = max(0.0, state[1] + value - last), min(0.0, state[2] + value - last)
     if state[1] >= limit:
         state[1] = 0.0
         return True
