@@ -16,7 +16,7 @@ from ..functions.draws import normal as normal_draw
 from ..functions.draws import uniform
 from ..functions.folds import ordered_fold
 from ..functions.intervals import covering
-from ..functions.windows import expanding, ordered
+from ..functions.windows import divided, expanding, ordered
 
 YEAR_DAYS = 365.2425
 EULER = 0.5772156649015329
@@ -89,7 +89,7 @@ def time_weighted(book: DataFrame, *, key: str = "series_id", block_days: int |
 
 
 def _hhi(x: Column) -> Column:
-    n, share = F.count(x), F.try_divide(F.sum(x * x), F.pow(F.sum(x), F.lit(2.0)))
+    n, share = F.count(x), divided(F.sum(x * x), F.pow(F.sum(x), F.lit(2.0)))
     return F.when(n > 2, (share - 1 / n) / (1 - 1 / n))
 
 
