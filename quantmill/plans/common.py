@@ -11,8 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def r6(x: Column | str, digits: int = 6) -> Column:
-    """Rounded, without negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
+    """Rounded, without negative zero; scaled and rounded as doubles, as the SQL does it, not by decimal digits: at a half the last bit decides."""
+    scale = F.lit(10.0**digits)
+    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * scale) / scale + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *keep: str, digits: int = 6, **values: Column | str) -> DataFrame:
