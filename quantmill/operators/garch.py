@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import nelder_mead
-from ..functions.windows import ordered, rolling
+from ..functions.windows import divided, logarithm, ordered, rolling
 from .reports import _per_series
 
 
@@ -62,8 +62,8 @@ def garch(returns: DataFrame, column: str = "ret", *, key: str = "series_id", or
 
 def returns_of(df: DataFrame, column: str = "close", *, log: bool = False, key: str = "series_id", order: Sequence[str] = ("ts",)) -> DataFrame:
     before = F.lag(column).over(ordered(key, *order))
-    ratio = F.try_divide(F.col(column), before)
-    ret = F.log(ratio) if log else ratio - 1
+    ratio = divided(F.col(column), before)
+    ret = logarithm(ratio) if log else ratio - 1
     return df.withColumn("ret", ret).where("ret is not null")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import microstructure as ms
 from ..operators import volatility as vol
 from ..sources.tables import TICK_ORDER, daily_bars, ticks
-from ..functions.windows import ordered
+from ..functions.windows import divided, logarithm, ordered
 from .common import BARS, TICKS, Registry, r6, rounded, sql6
 from .common import TICK_ORDER as SQL_TICK_ORDER
 
@@ -83,7 +83,7 @@ _TRADES = f"""WITH {TICKS.replace("l_returnflag AS series_id", "l_suppkey AS ser
 def _trades(spark, d):
     t = ticks(spark, d).withColumn("series_id", F.col("l_suppkey"))
     w = ordered("series_id", *TICK_ORDER)
-    t = t.withColumns({"price_diff": F.col("price") - F.lag("price").over(w), "log_ret": F.log(F.try_divide(F.col("price"), F.lag("price").over(w)))}).where("price_diff is not null")
+    t = t.withColumns({"price_diff": F.col("price") - F.lag("price").over(w), "log_ret": logarithm(divided(F.col("price"), F.lag("price").over(w)))}).where("price_diff is not null")
     return t.withColumns({"flag": F.when(F.col("price_diff") >= 0, 1.0).otherwise(-1.0), "volume": F.col("size"), "dollar_volume": F.col("dollars")})
 
 
