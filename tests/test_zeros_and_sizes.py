@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantmill.operators import bootstrap, filters, garch, importance, labels
+from quantmill.operators import bootstrap, crossval, filters, garch, importance, labels
 from quantmill.operators.ensemble import SequentialBagging
 
 T0 = dt.datetime(2024, 1, 1)
@@ -123,3 +123,46 @@ def test_filter_adds_in_the_order_of_its_formula():
         plain.append(u >= 20.0 or m <= -20.0)
         u, m = (0.0, m) if u >= 20.0 else (u, 0.0 if m <= -20.0 else m)
     assert fired == plain
+
+
+def test_folds_meet_the_rows_once(spark, monkeypatch):
+    """However many features and models there are, the rows are joined to their folds once and nothing is broadcast."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    rows = spark.range(400).selectExpr("id", "CAST(id % 2 AS double) AS label", *(f"CAST((id % 2) * {i} + hash(id, {i}) % 7 AS double) AS f{i}" for i in range(5)), "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(id AS int)) AS t0").selectExpr("*", "t0 + interval 1 day AS t1", "1 AS series_id").cache()
+    names, folds = [f"f{i}" for i in range(5)], crossval.purged_folds(rows, 2, ranges=True)
+    tree, made = DecisionTreeClassifier(labelCol="label", featuresCol="features", maxDepth=2, seed=1), []
+    kept = crossval.written
+    monkeypatch.setattr(crossval, "written", lambda df, name: made.append((name, plan(df))) or kept(df, name))
+    table = crossval.with_roles(rows, folds)
+    whole = {(r.id, r.fold, r.role) for r in folds.collect()}
+    assert {(r.id, k, role) for k in (0, 1) for role in ("train", "test") for r in crossval.in_fold(table, k, role).collect()} == whole
+    made.clear()
+    importance.sfi(tree, rows, names, folds)
+    assert [n for n, _ in made] == ["folds"]
+    crossval.hyper_fit(tree, ParamGridBuilder().addGrid(tree.maxDepth, [1, 2, 3]).build(), importance.assemble(rows, names), folds)
+    crossval.cv_score(tree, importance.assemble(rows, names), folds)
+    assert [n for n, _ in made] == ["folds"] * 3
+    for _, p in made:  # the folds themselves join a few rows
+        assert 0 < p.index("sortmergejoin") < (p.find("broadcasthashjoin") % (1 << 30))
+
+
+def test_long_series_of_the_query_go_in_blocks(spark, monkeypatch):
+    from quantmill.operators import features
+    from quantmill.plans import allocations
+
+    asked = []
+    monkeypatch.setattr(features, "frac_diff", lambda df, d, **named: asked.append(named) or df.withColumn("frac_diff", F.col("close")))
+    allocations.frac_diff(spark, "/root/testdata/sf0.001")
+    assert asked[0]["block_rows"] <= 1 << 18
+
+
+def test_fourier_features_are_products_in_batches(spark):
+    from quantmill.operators import kernel
+
+    df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(9)], "id int, x double, y double")
+    out = kernel.fourier(df, ["x", "y"], 0.1, n=512)
+    assert "aggregate(" not in plan(out) and out.count() == 9
+    with pytest.raises(Exception, match="null"):
+        kernel.fourier(df.withColumn("x", F.lit(None).cast("double")), ["x", "y"], 0.1, n=4).collect()
