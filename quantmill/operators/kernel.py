@@ -11,8 +11,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .importance import assemble
 from .reports import classification_report, weighted_f1
@@ -30,13 +32,19 @@ def fourier(data: DataFrame, names: Sequence[str], gamma: float, n: int = 256, s
 
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, math.sqrt(2 * gamma), (n, len(names))), rng.uniform(0, 2 * math.pi, n)
-    drawn = [([(wi.tolist(), float(bi)) for wi, bi in zip(w, b, strict=True)],)]
-    held = data.sparkSession.createDataFrame(drawn, "_w array<struct<w:array<double>,b:double>>")
-    x = F.array(*(F.col(c).cast("double") for c in names))
-    dot = lambda r, v: F.aggregate(F.zip_with(r["w"], v, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    with_x = data.crossJoin(F.broadcast(held)).withColumn("_x", x)  # one row of n x names numbers
-    made = F.transform("_w", lambda r: F.cos(dot(r, F.col("_x")) + r["b"]) * math.sqrt(2 / n))
-    return with_x.withColumn("features", array_to_vector(made)).drop("_w", "_x")
+    places = [data.columns.index(c) for c in names]
+
+    def made(batches):
+        for batch in batches:
+            if any(batch.column(i).null_count for i in places):
+                raise ValueError("a feature is null")
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in places])
+            waves = np.cos(x @ w.T + b) * math.sqrt(2 / n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(waves.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "_waves"])
+
+    out = data.mapInArrow(made, T.StructType([*data.schema.fields, T.StructField("_waves", T.ArrayType(T.DoubleType()))]))
+    return out.withColumn("features", array_to_vector("_waves")).drop("_waves")
 
 
 def kernel_machine(train: DataFrame, names: Sequence[str], cost: float = 1.0, gamma: float | None = None, label: str = "label", n: int = 256, seed: int = 0, max_iter: int = 50):
