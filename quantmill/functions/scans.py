@@ -343,25 +343,3 @@ class Running(Kernel):
 
     def after(self, state, summary):
         return np.fmax(state, summary)
-
-
-class Filled(Kernel):
-    """The last value that was there, the row's own included."""
-
-    def __init__(self, column: str, name: str):
-        self.reads, self.adds = (column,), (name,)
-
-    def start(self) -> np.ndarray:
-        return np.full(1, np.nan)
-
-    def run(self, state, x):
-        line = np.concatenate([state, x])
-        out = line[np.maximum.accumulate(np.where(np.isnan(line), 0, np.arange(len(line))))]
-        return out[-1:], [out[1:]]
-
-    def summary(self, x):
-        there = x[~np.isnan(x)]
-        return there[-1:] if len(there) else np.full(1, np.nan)
-
-    def after(self, state, summary):
-        return summary if not np.isnan(summary[0]) else state

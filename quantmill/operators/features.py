@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.linalg import adf
 from ..functions.ranks import ranked
-from ..functions.scans import Filled, scan
+from ..functions.tables import written
 from ..functions.windows import forward_fill, nan_to_null, ordered
 
 
@@ -76,83 +76,131 @@ def _weights_from(first: float, k: int, d: float, size: int) -> np.ndarray:
     return np.concatenate([[first], first * np.cumprod(-(d - steps + 1) / steps)])[:size]
 
 
-def _left_out(d: float, n: int, threshold: float, chunk: int = 1 << 20) -> int:
-    """Rows of a series of n whose left-out weights have more than a share of all; holds a chunk of weights at a time."""
-    sums, first, k = [], 1.0, 0
-    while k < n:
-        w = _weights_from(first, k, d, min(chunk, n - k) + 1)
-        sums.append(float(np.abs(w[: min(chunk, n - k)]).sum()))
-        first, k = float(w[-1]), k + chunk
+def _weight_blocks(d: float, n: int, size: int) -> tuple[list[float], list[float]]:
+    """The first weight and the sum of the absolute weights of each block of so many, up to weight n."""
+    firsts, sums, first = [], [], 1.0
+    for k in range(0, n, size):
+        w = _weights_from(first, k, d, size + 1)
+        firsts.append(first)
+        sums.append(float(np.abs(w[:size]).sum()))
+        first = float(w[-1])
+    return firsts, sums
+
+
+def _left_out(d: float, n: int, threshold: float, chunk: int = 1 << 20, known: tuple[list[float], list[float]] | None = None) -> int:
+    """Rows of a series of n whose left-out weights have more than a share of all; holds a chunk of weights at a time.
+
+    known: the blocks of weights of so many, as far as n or farther.
+    """
+    firsts, sums = known or _weight_blocks(d, n, chunk)
+    chunks = -(-n // chunk)
+
+    def sizes(c: int) -> np.ndarray:
+        return np.abs(_weights_from(firsts[c], c * chunk, d, min(chunk, n - c * chunk)))
+
+    sums = [*sums[: chunks - 1], float(sizes(chunks - 1).sum())]
     total, tail = sum(sums), 0.0
-    for c in range(len(sums) - 1, -1, -1):  # from the last weight on
+    for c in range(chunks - 1, -1, -1):  # from the last weight on
         if tail + sums[c] > threshold * total:
-            first, k = 1.0, 0
-            for _ in range(c):
-                first, k = float(_weights_from(first, k, d, chunk + 1)[-1]), k + chunk
-            inner = tail + np.cumsum(np.abs(_weights_from(first, k, d, min(chunk, n - k)))[::-1])
-            place = int(np.searchsorted(inner, threshold * total, side="right"))
-            return n - (sum(min(chunk, n - j * chunk) for j in range(c + 1, len(sums))) + place)
+            place = int(np.searchsorted(tail + np.cumsum(sizes(c)[::-1]), threshold * total, side="right"))
+            return min(n, (c + 1) * chunk) - place
         tail += sums[c]
     return 0
 
 
-#: Products of blocks that one task adds up before the next adds those.
-PRODUCTS = 64
+def _filled(x: np.ndarray, before: float = np.nan) -> np.ndarray:
+    """Gaps (NaN) take the value before them, the first ones that of `before`."""
+    at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
+    return np.where(at >= 0, x[at], before)
+
+
+#: Frequencies times blocks of a series that one task multiplies at a time.
+PRODUCTS = 1 << 18
 
 
 def _frac_diff_in_blocks(df: DataFrame, d: float, threshold: float, column: str, key: str, order: Sequence[str], name: str, size: int) -> DataFrame:
     """Overlap-save convolution by blocks of time: a block of the result is the sum of products of all blocks up to it.
 
-    A task holds blocks of `size` values only, never the series.
+    The spectra of a series' blocks and of the blocks of weights are dealt out by bands of frequencies. In a band
+    these sums are a convolution along the blocks, done by a Fourier transform in its turn, so that rows and bytes grow
+    with the series and work with its logarithm besides. A task holds `size` rows or PRODUCTS complex numbers, never the series.
+    A series of up to `size` rows is one block, without spectra.
     """
     own = df.columns
-    line = scan(df.withColumn("_v", nan_to_null(F.col(column).cast("double"))), key, order, Filled("_v", "_x"), size)
-    placed = ranked(line.where("_x is not null"), key, order, "_t")
-    lengths = placed.groupBy(F.col(key).alias("_l")).agg((F.max("_t") + 1).alias("_n"))
-    longest = lengths.agg(F.max("_n")).first()[0] or 0
-    starts, first = [], 1.0  # the weight that each block of weights begins with
-    for k in range(0, longest + size, size):
-        starts.append(first)
-        first = float(_weights_from(first, k, d, size + 1)[-1])
-    shared = df.sparkSession.sparkContext.broadcast(starts)
-    blocks = placed.groupBy(F.col(key).alias("_k"), F.floor(F.col("_t") / size).cast("int").alias("_i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_t", "_x"))), lambda r: r["_x"]).alias("_xs"))
-    pairs = blocks.join(lengths, F.col("_k").eqNullSafe(F.col("_l"))).select("_k", "_i", "_xs", F.explode(F.sequence("_i", F.floor((F.col("_n") - 1) / size).cast("int"))).alias("_j")).withColumn("_part", F.floor(F.col("_i") / PRODUCTS).cast("int"))
-    kind = df.schema[key].dataType
-
-    def add_products(table: pa.Table) -> pa.Table:
-        j, total = table.column("_j")[0].as_py(), np.zeros(2 * size)
-        for i, x in zip(table.column("_i").to_pylist(), table.column("_xs"), strict=True):
-            m, x = j - i, x.values.to_numpy(zero_copy_only=False)
-            w = np.zeros(2 * size)
-            w[:size] = _weights_from(shared.value[m], m * size, d, size)
-            if m:
-                w[size + 1 :] = _weights_from(shared.value[m - 1], (m - 1) * size, d, size)[1:]
-            total += np.fft.irfft(np.fft.rfft(x, 2 * size) * np.fft.rfft(w), 2 * size)
-        return pa.table([table.column("_k")[:1], pa.array([j], pa.int32()), pa.array([total[:size]], pa.list_(pa.float64()))], names=["_k", "_j", "_sum"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(x.values.to_numpy(zero_copy_only=False) for x in table.column("_sum"))
-        return pa.table([table.column("_k")[:1], table.column("_j")[:1], pa.array([total], pa.list_(pa.float64()))], names=["_k", "_j", "_sum"])
-
-    schema = T.StructType([T.StructField("_k", kind), T.StructField("_j", T.IntegerType()), T.StructField("_sum", T.ArrayType(T.DoubleType()))])
-    sums = pairs.groupBy("_k", "_j", "_part").applyInArrow(add_products, schema).groupBy("_k", "_j").applyInArrow(add, schema)
-    values = sums.select("_k", "_j", F.posexplode("_sum").alias("_p", "_d")).select("_k", (F.col("_j").cast("long") * size + F.col("_p")).alias("_at"), "_d")
+    placed = ranked(df.withColumn("_v", nan_to_null(F.col(column).cast("double"))), key, order, "_t").withColumn("_i", F.floor(F.col("_t") / size).cast("int"))
+    place = F.when(F.col("_v").isNotNull(), F.col("_t"))
+    parts = written(placed.groupBy(F.col(key).alias("_k"), "_i").agg(F.count("*").alias("_rows"), F.min(place).alias("_first"), F.max_by("_v", place).alias("_last")), "parts")
+    series = parts.groupBy("_k").agg(F.sum("_rows").alias("_n"), F.min("_first").alias("_lead"), F.count("*").cast("int").alias("_blocks")).where("_blocks > 1 and _lead is not null")
+    longest = series.agg(F.max("_n")).first()[0] or 0
+    known = df.sparkSession.sparkContext.broadcast(_weight_blocks(d, longest, size))
 
     def skipped(batches):
         for batch in batches:
-            yield batch.append_column("_skip", pa.array([_left_out(d, n, threshold) for n in batch.column("_n").to_pylist()], pa.int64()))
-
-    skips = lengths.mapInArrow(skipped, T.StructType([*lengths.schema.fields, T.StructField("_skip", T.LongType())])).select("_l", "_skip")
-    there = placed.join(values, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_at"))).join(skips, F.col(key).eqNullSafe(F.col("_l")))
-    result = there.select(*own, F.when(F.col("_v").isNotNull() & (F.col("_t") >= F.col("_skip")), F.col("_d")).alias(name))
-    none = line.where("_x is null").select(*own, F.lit(None).cast("double").alias(name))
-    return result.unionAll(none)
+            lengths = zip(batch.column("_n").to_pylist(), batch.column("_lead").to_pylist(), strict=True)
+            yield batch.append_column("_from", pa.array([lead + _left_out(d, n - lead, threshold, size, known.value) for n, lead in lengths], pa.int64()))
+
+    skips = series.mapInArrow(skipped, T.StructType([*series.schema.fields, T.StructField("_from", T.LongType())]))
+    long = F.broadcast(skips.select(F.col("_k").alias("_l"), "_from"))
+    earlier = Window.partitionBy("_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    begun = parts.select("_k", "_i", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    begun = begun.join(F.broadcast(series.select(F.col("_k").alias("_l"), "_blocks")), F.col("_k").eqNullSafe(F.col("_l"))).select("_k", "_i", "_before", F.greatest(F.lit(1), F.floor(F.lit(PRODUCTS) / F.col("_blocks"))).cast("int").alias("_width"))
+
+    def values(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows in their block; its values by place."""
+        at = table.column("_t").to_numpy() % size
+        x = np.full(table.num_rows, np.nan)
+        x[at] = table.column("_v").to_numpy()
+        return at, x
+
+    def spectra(rows: pa.Table, start: pa.Table) -> pa.Table:
+        (i,), (before,), (width,) = (start.column(c).to_pylist() for c in ("_i", "_before", "_width"))
+        x = _filled(values(rows)[1], before or 0.0)
+        w = np.zeros(2 * size)
+        w[:size] = _weights_from(known.value[0][i], i * size, d, size)
+        if i:
+            w[size + 1 :] = _weights_from(known.value[0][i - 1], (i - 1) * size, d, size)[1:]
+        x, w = np.fft.rfft(x, 2 * size), np.fft.rfft(w)
+        cuts = range(0, size + 1, width)
+        first = [0] * len(cuts)
+        columns = [start.column("_k").take(first), pa.array(range(len(cuts)), pa.int32()), start.column("_i").take(first), *(pa.array([f[c : c + width].tobytes() for c in cuts], pa.binary()) for f in (x, w))]
+        return pa.table(columns, names=["_k", "_band", "_i", "_x", "_w"])
+
+    def along(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        n = 2 * table.num_rows
+        x, w = (np.fft.fft(np.stack([np.frombuffer(f, np.complex128) for f in table.column(c).to_pylist()]), n, axis=0) for c in ("_x", "_w"))
+        x *= w
+        total = np.fft.ifft(x, axis=0)[: table.num_rows]
+        return pa.table([table.column("_k"), table.column("_band"), table.column("_i"), pa.array([row.tobytes() for row in total], pa.binary())], names=["_k", "_band", "_i", "_sum"])
+
+    def finish(rows: pa.Table, bands: pa.Table) -> pa.Table:
+        at, x = values(rows)
+        gaps = np.isnan(x)
+        if bands.num_rows:
+            bands = bands.sort_by("_band")
+            y = np.fft.irfft(np.frombuffer(b"".join(bands.column("_sum").to_pylist()), np.complex128), 2 * size)[at]
+            y[rows.column("_t").to_numpy() < rows.column("_from")[0].as_py()] = np.nan
+        else:  # a series of one block, or without values
+            x = _filled(x)
+            y, there = np.full(len(x), np.nan), ~np.isnan(x)
+            y[there] = expanding_diff(x[there], d, threshold)
+            y = y[at]
+        y[gaps[at]] = np.nan
+        return rows.select(own).append_column(name, pa.array(y, from_pandas=True))
+
+    places = [T.StructField("_k", df.schema[key].dataType), T.StructField("_band", T.IntegerType()), T.StructField("_i", T.IntegerType())]
+    banded, summed = (T.StructType([*places, *(T.StructField(c, T.BinaryType()) for c in names)]) for names in (("_x", "_w"), ("_sum",)))
+    result = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    marked = placed.join(long, F.col(key).eqNullSafe(F.col("_l")), "left").drop("_l")
+    cut = marked.where("_from is not null").select(F.col(key).alias("_k"), "_i", "_t", "_v").groupBy("_k", "_i").cogroup(begun.groupBy("_k", "_i")).applyInArrow(spectra, banded)
+    sums = cut.groupBy("_k", "_band").applyInArrow(along, summed)
+    return marked.groupBy(key, "_i").cogroup(sums.groupBy("_k", "_i")).applyInArrow(finish, result)
 
 
 def frac_diff(df: DataFrame, d: float, threshold: float = 0.01, column: str = "close", *, key: str = "series_id", order: Sequence[str] = ("ts",), name: str = "frac_diff", block_rows: int | None = None) -> DataFrame:
     """Expanding-window fractional difference by series.
 
-    A series must fit a task unless block_rows is given: then products of blocks of so many rows are added up.
+    A series must fit a task unless block_rows is given: then it is cut into blocks of so many rows.
     """
     if block_rows is not None:
         return _frac_diff_in_blocks(df, d, threshold, column, key, order, name, block_rows)

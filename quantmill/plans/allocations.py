@@ -182,7 +182,7 @@ def _plain(name, build):
   f AS (SELECT a.series_id, a.ts, a.t, a.n, sum(w * b.close) AS v FROM x a JOIN x b ON a.series_id = b.series_id AND b.t <= a.t JOIN g ON k = a.t - b.t GROUP BY ALL)
   SELECT series_id, ts, CASE WHEN t >= skip THEN {sql6("v")} END AS frac_diff FROM f JOIN skip USING (n)""")
 def frac_diff(spark, d):
-    return rounded(feat.frac_diff(events_series(spark, d, "event_type"), 0.4), "series_id", "ts", frac_diff="frac_diff")
+    return rounded(feat.frac_diff(events_series(spark, d, "event_type"), 0.4, order=("ts", "seq"), block_rows=1 << 14), "series_id", "ts", frac_diff="frac_diff")
 
 
 _plain("frac_diff_orders", lambda s, d: feat.order_table(events_series(s, d, "event_type"), [i / 10 for i in range(11)]))
