@@ -35,11 +35,12 @@ def runs(column: pa.Array) -> tuple[np.ndarray, list]:
     return np.concatenate([[0], encoded.run_ends.to_numpy(zero_copy_only=False).astype(np.int64)]), encoded.values.to_pylist()
 
 
-def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank") -> DataFrame:
+def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank", of: str | None = None) -> DataFrame:
     """The rows with their place (from 0) among those of their key, in order.
 
     The rows are written to the shared folder, so that the places stay what they are; rows that
-    agree in key and order are placed as they come.
+    agree in key and order are placed as they come. of: a boolean column; a place is then the number
+    of rows before for which it holds.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("_rank_part", T.IntegerType()), T.StructField("_rank_at", T.LongType())])
 
@@ -47,17 +48,20 @@ def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "_rank") -
         part, last, n = TaskContext.get().partitionId(), object(), 0
         for batch in batches:
             bounds, values = runs(batch.column(key))
-            at = np.arange(batch.num_rows, dtype=np.int64)
+            counts = np.ones(batch.num_rows, np.int64) if of is None else batch.column(of).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(counts)
+            at = upto - counts
             for i, value in enumerate(values):
                 lo, hi = bounds[i], bounds[i + 1]
                 n = n if i == 0 and value == last else 0
-                at[lo:hi] += n - lo
-                n, last = n + int(hi - lo), value
+                first = int(at[lo])
+                at[lo:hi] += n - first
+                n, last = n + int(upto[hi - 1]) - first, value
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at)], [*batch.schema.names, "_rank_part", "_rank_at"])
 
     dealt = df.repartitionByRange(F.col(key), *map(F.col, order)).sortWithinPartitions(key, *order)
     table = written(dealt.mapInArrow(count, schema), "ranked")
-    sizes = table.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_part").alias("_rank_of")).agg((F.max("_rank_at") + 1).alias("_rank_size"))
+    sizes = table.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_part").alias("_rank_of")).agg((F.max("_rank_at") + 1 if of is None else F.sum(F.col(of).cast("long"))).alias("_rank_size"))
     earlier = Window.partitionBy("_rank_key").orderBy("_rank_of").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_rank_before", F.sum("_rank_size").over(earlier)).where("_rank_before is not null").drop("_rank_size")
     both = table.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_rank_key")) & (F.col("_rank_part") == F.col("_rank_of")), "left")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+from ..functions.tables import written
 
 #: Stands for an end that is open, in microseconds.
 OPEN = 1 << 62
@@ -252,8 +254,103 @@ RUNS_AT_ONCE = 8
 def monte_carlo_by_series(bars: DataFrame, events: DataFrame, sample_len: int | None = None, iterations: int = 100, seed: int = 0, *, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Mean uniqueness of standard and sequential samples of the events of each series: series, run, standard, sequential.
 
-    Each run has a seed of its own. A series goes out once for every RUNS_AT_ONCE runs, as numbers.
+    Each run has a seed of its own. With sample_len a task holds the events that one run proposes, however long the
+    series is (`_proposed_runs`). Without it a sample is as long as the series, and a run takes all of it.
     """
+    return (_whole_runs if sample_len is None else _proposed_runs)(bars, events, sample_len, iterations, seed, key, ts)
+
+
+def _places(bars: DataFrame, events: DataFrame, key: str, ts: str) -> DataFrame:
+    """For each event _first and _past, the first and one past the last of its bars, and _rank: its place in the series, events that hold a bar first.
+
+    Bars are counted by ranges of time (functions/ranks.py), not in one window for a series.
+    """
+    own = events.select(key, micros(F.col("t0"), OPEN).alias("_t0"), micros(F.col("t1"), OPEN).alias("_t1"))
+    own = written(own.withColumn("_id", F.monotonically_increasing_id()), "events")
+    at = bars.where(F.col(ts).isNotNull()).select(key, micros(F.col(ts)).alias("_at")).distinct()
+    end = lambda kind, c: F.struct(F.lit(kind).alias("_kind"), F.col(c).alias("_at"))
+    # at equal times starts come before bars and ends after them
+    ends = own.select(key, "_id", F.explode(F.array(end(0, "_t0"), end(2, "_t1"))).alias("_end")).select(key, "_end._at", "_end._kind", "_id")
+    line = ends.unionByName(at.select(key, "_at", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"))).withColumn("_bar", F.col("_kind") == 1)
+    counted = ranked(line, key, ["_at", "_kind"], "_before", of="_bar").where(~F.col("_bar"))
+    both = counted.groupBy(key, "_id").agg(*(F.max(F.when(F.col("_kind") == kind, F.col("_before"))).alias(n) for kind, n in ((0, "_first"), (2, "_past"))))
+    return ranked(both.withColumn("_bare", F.col("_past") <= F.col("_first")), key, ["_bare", "_first", "_past"])
+
+
+def share_alone(first: np.ndarray, past: np.ndarray, lo: int, hi: int, extra: int) -> float:
+    """Mean of 1 / (alive + extra) over the bars from lo on before hi, alive being how many of the intervals hold a bar."""
+    if hi <= lo:
+        return 0.0
+    at = np.concatenate([[lo, hi], np.clip(first, lo, hi), np.clip(past, lo, hi)])
+    change = np.concatenate([[0, 0], np.ones(len(first), np.int64), np.full(len(past), -1)])
+    order = np.argsort(at, kind="stable")
+    alive = np.cumsum(change[order])[:-1]
+    return float((np.diff(at[order]) / np.maximum(alive + extra, 1)).sum() / (hi - lo))
+
+
+def accepted(first: np.ndarray, past: np.ndarray, chance: np.ndarray, size: int) -> list[int] | None:
+    """Draws in proportion to the uniqueness given the draws so far, from events proposed with equal chances.
+
+    A proposal is taken if its chance (uniform) is below its uniqueness, so that what is taken has the law of
+    `lazy_draws`. None if the proposals do not suffice.
+    """
+    taken: list[int] = []
+    for i in range(len(first)):
+        if len(taken) == size:
+            break
+        if chance[i] < share_alone(first[taken], past[taken], first[i], past[i], 1):
+            taken.append(i)
+    return taken if len(taken) == size else None
+
+
+def _sample_share(first: np.ndarray, past: np.ndarray) -> float:
+    return float(np.mean([share_alone(first, past, a, b, 0) for a, b in zip(first, past, strict=True)])) if len(first) else float("nan")
+
+
+def _proposed_runs(bars: DataFrame, events: DataFrame, sample_len: int, iterations: int, seed: int, key: str, ts: str) -> DataFrame:
+    """Each run proposes places of events, which meet the events in one join; a run that takes too few proposes more in another round."""
+    placed = _places(bars, events, key, ts)
+    sizes = placed.groupBy(key).agg(F.count("*").alias("_n"), F.sum((~F.col("_bare")).cast("long")).alias("_holding")).withColumn("_h", F.xxhash64(key))
+    open_runs = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("run"))
+    kind = bars.schema[key].dataType.simpleString()
+    numbers = lambda which, run, h: np.random.default_rng([seed, int(run), int(h) & (2**63 - 1), which])
+
+    def round_of(runs: DataFrame, n_proposals: int) -> DataFrame:
+        def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for name, n, holding, h, run in zip(*(pdf[c] for c in (key, "_n", "_holding", "_h", "run")), strict=True):
+                    standard = np.floor(numbers(0, run, h).random(sample_len) * n)
+                    proposed = np.floor(numbers(1, run, h).random(n_proposals) * (holding or n))
+                    places = np.concatenate([standard, proposed]).astype(np.int64)
+                    yield pd.DataFrame({key: name, "run": int(run), "_h": int(h), "_holding": int(holding), "_i": np.arange(len(places)), "_place": places})
+
+        def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i")
+            name, run, h, holding = (pdf[c].iloc[0] for c in (key, "run", "_h", "_holding"))
+            first, past = pdf["_first"].to_numpy(), np.maximum(pdf["_first"], pdf["_past"]).to_numpy()
+            standard = _sample_share(first[:sample_len], past[:sample_len])
+            first, past = first[sample_len:], past[sample_len:]
+            # where no event holds a bar all have equal chances
+            taken = accepted(first, past, numbers(2, run, h).random(n_proposals), sample_len) if holding else list(range(sample_len))
+            return pd.DataFrame({key: [name], "run": [int(run)], "standard": [standard], "sequential": [_sample_share(first[taken], past[taken]) if taken is not None else None], "_done": [taken is not None]})
+
+        asked = runs.repartition(key, "run").mapInPandas(propose, f"{key} {kind}, run bigint, _h bigint, _holding bigint, _i bigint, _place bigint")
+        met = asked.join(placed.select(F.col(key).alias("_key"), "_rank", "_first", "_past"), (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_rank")))
+        return written(met.drop("_key", "_rank").groupBy(key, "run").applyInPandas(draw, f"{key} {kind}, run bigint, standard double, sequential double, _done boolean"), "runs")
+
+    done, n_proposals = None, 4 * sample_len
+    while True:
+        found = round_of(open_runs, n_proposals)
+        part = found.where("_done").drop("_done")
+        done = part if done is None else done.unionAll(part)
+        again = found.where("not _done").select(key, "run")
+        if again.isEmpty():
+            return done
+        open_runs, n_proposals = open_runs.join(again, [key, "run"], "left_semi"), 4 * n_proposals
+
+
+def _whole_runs(bars: DataFrame, events: DataFrame, sample_len: int | None, iterations: int, seed: int, key: str, ts: str) -> DataFrame:
+    """A series goes out once for every RUNS_AT_ONCE runs, as numbers."""
     starts = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(RUNS_AT_ONCE)))
     at = bars.select(key, F.col(ts).alias("_ts")).groupBy(key).agg(F.sort_array(F.collect_set("_ts")).alias("_bars"))
     spans_of = F.struct("t0", F.coalesce("t1", F.to_timestamp_ntz(F.lit("9999-01-01 00:00:00"))).alias("t1"))
