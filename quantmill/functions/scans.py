@@ -200,8 +200,9 @@ class Filling(Kernel):
 
     State: the sum so far. A block does this to it: there is a first end for each sum that comes in, and
     what is left after the last end that follows. Only the rows up to the first end for a sum of 0 can be
-    first ends, so that a summary is as long as one bar: their sums, and what is left for each (a
-    difference of sums, which for other than whole numbers may be off by rounding).
+    first ends, so that a summary is as long as one bar: their values, and what is left for each. What
+    comes in is added to these values one by one, as is what is left, so that the state of a block is that
+    of a walk over all rows before it, to the last bit.
     """
 
     def __init__(self, column: str, threshold: float):
@@ -224,6 +225,33 @@ class Filling(Kernel):
         """For each row the row that ends the bar which begins after it (the number of rows: none)."""
         return np.append(np.searchsorted(sums, sums + self.threshold, side="left"), len(sums))
 
+    @staticmethod
+    def _room(sums: np.ndarray) -> float:
+        """More than a difference of these sums can be off by rounding."""
+        return 4 * len(sums) * np.finfo(float).eps * max(1.0, float(sums[-1]))
+
+    def _end_after(self, x: np.ndarray, i: int, guess: int) -> int:
+        """The row that ends the bar which begins after row i, added up row by row; guess: about where it is."""
+        upto = guess + 2
+        while True:
+            ends = np.flatnonzero(np.add.accumulate(x[i + 1 : upto]) >= self.threshold)
+            if len(ends):
+                return i + 1 + int(ends[0])
+            if upto >= len(x):
+                return len(x)
+            upto += upto - i
+
+    def _sure_links(self, x: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The links, of bars that end too close to the threshold by adding up."""
+        links, n = self._links(sums), len(x)
+        if sums[-1] < 2**52 and (x == np.floor(x)).all():
+            return links
+        near = lambda at: np.abs(sums[at] - sums - self.threshold) < self._room(sums)
+        at = links[:n]
+        for i in np.flatnonzero(near(np.minimum(at, n - 1)) | near(np.maximum(at - 1, 0))).tolist():
+            links[i] = self._end_after(x, i, int(at[i]))
+        return links
+
     def run(self, state, x):
         x = np.nan_to_num(x, nan=0.0)
         s = float(state[0])
@@ -245,7 +273,7 @@ class Filling(Kernel):
         before = np.concatenate([[-s], sums[at[:-1]]]) if len(at) else np.zeros(0)
         whole = float(s).is_integer() and sums[-1] < 2**52 and (x == np.floor(x)).all()
         if not whole:
-            room = 1e-12 * max(1.0, sums[-1])
+            room = self._room(sums)
             reached, missed = sums[at] - before, sums[at] - x[at] - before
             last = sums[-1] - (sums[at[-1]] if len(at) else -s)
             if (np.abs(reached - self.threshold) < room).any() or (np.abs(missed - self.threshold) < room).any() or abs(last - self.threshold) < room:
@@ -264,19 +292,21 @@ class Filling(Kernel):
         n = len(x)
         first = int(np.searchsorted(sums, self.threshold, side="left"))
         starts = np.arange(min(first + 1, n))
-        last, links = starts, self._links(sums)
+        last, links = starts, self._sure_links(x, sums)
         tables = [links]
         while (tables[-1][starts] < n).any():
             tables.append(tables[-1][tables[-1]])
         for jump in reversed(tables):
             last = np.where(jump[last] < n, jump[last], last)
-        return np.concatenate([[sums[-1] if n else 0.0], sums[starts], sums[-1] - sums[last] if n else []])
+        ends, which = np.unique(last, return_inverse=True)
+        left = np.array([np.add.accumulate(x[e + 1 :])[-1] if e + 1 < n else 0.0 for e in ends.tolist()])
+        return np.concatenate([x[starts], left[which]])
 
     def after(self, state, summary):
-        total, rest = summary[0], summary[1:]
-        sums, left = rest[: len(rest) // 2], rest[len(rest) // 2 :]
-        i = int(np.searchsorted(sums, self.threshold - state[0], side="left"))
-        return np.array([left[i] if i < len(sums) else state[0] + total])
+        values, left = summary[: len(summary) // 2], summary[len(summary) // 2 :]
+        sums = np.add.accumulate(np.concatenate([state, values]))
+        ends = np.flatnonzero(sums[1:] >= self.threshold)
+        return np.array([left[ends[0]] if len(ends) else sums[-1]])
 
 
 def counts_below(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
